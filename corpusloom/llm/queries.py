@@ -1,0 +1,52 @@
+"""Registered queries of the training-data operators and, where SQL can express them over whole tables, their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusloom.llm import answers, leak, unify
+from corpusloom.session import table
+
+
+def p1_found(spark, d):
+    return answers.answer_defects(table(spark, d, "raw_answers"), table(spark, d, "scenarios"))
+
+
+def p1_labels(spark, d):
+    got = answers.answer_labels(table(spark, d, "raw_answers"), table(spark, d, "scenarios"))
+    return got.withColumn("posterior", F.round("posterior", 4))
+
+
+def p3_found(spark, d):
+    return answers.truncated_answers(table(spark, d, "raw_answers"), table(spark, d, "scenarios"))
+
+
+def p3_rates(spark, d):
+    return answers.truncation_rates(table(spark, d, "raw_answers"), table(spark, d, "scenarios"))
+
+
+def p7_found(spark, d):
+    return leak.leaked_pairs(table(spark, d, "documents"), table(spark, d, "scenarios"))
+
+
+def p7_items(spark, d):
+    """(id, n_docs) for every scenario, 0 included."""
+    found = p7_found(spark, d).groupBy("id").agg(F.count("*").alias("n_docs"))
+    items = table(spark, d, "scenarios").select("id")
+    return items.join(found, "id", "left").select("id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def p9_found(spark, d):
+    return unify.look_pairs(table(spark, d, "documents"))
+
+
+def p9_unified(spark, d):
+    return table(spark, d, "documents").select("doc_id", unify.unified_udf("text").alias("text"))
+
+
+def p9_classes(spark, d):
+    return unify.look_classes(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p3_found, p3_rates, p7_found, p7_items, p9_found, p9_unified, p9_classes)}
+SQL: dict[str, str] = {}
