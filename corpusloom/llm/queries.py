@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import answers, leak, unify
+from corpusloom.llm import answers, leak, mixture, pairs, residue, splits, unify
 from corpusloom.session import table
 
 
@@ -48,5 +48,57 @@ def p9_classes(spark, d):
     return unify.look_classes(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_labels, p3_found, p3_rates, p7_found, p7_items, p9_found, p9_unified, p9_classes)}
+def p2_found(spark, d):
+    return residue.residue(table(spark, d, "augmentation_context"))
+
+
+def p2_passages(spark, d):
+    """The strongest passage of each text, with its log odds."""
+    return residue.scored(table(spark, d, "augmentation_context")).withColumn("log_odds", F.round("log_odds", 3))
+
+
+def p4_found(spark, d):
+    return pairs.split_overlaps(table(spark, d, "augmentation_context"))
+
+
+def p4_report(spark, d):
+    t = table(spark, d, "augmentation_context")
+    return pairs.overlap_report(t, pairs.split_overlaps(t))
+
+
+def p5_found(spark, d):
+    return splits.related_sets(table(spark, d, "augmentation_context"))
+
+
+def p5_assigned(spark, d):
+    return splits.assign_splits(table(spark, d, "augmentation_context"))
+
+
+def p5_balance(spark, d):
+    t = table(spark, d, "augmentation_context")
+    return splits.split_balance(t, splits.assign_splits(t))
+
+
+def p6_found(spark, d):
+    return pairs.near_duplicate_pairs(table(spark, d, "augmentation_context"))
+
+
+def p6_groups(spark, d):
+    return pairs.near_duplicate_groups(table(spark, d, "augmentation_context"))
+
+
+def p8_mixture(spark, d):
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+def p8_shares(spark, d):
+    targets = table(spark, d, "source_targets")
+    return mixture.shares(mixture.mixture(table(spark, d, "documents"), targets), targets)
+
+
+_ALL = (
+    p1_found, p1_labels, p2_found, p2_passages, p3_found, p3_rates, p4_found, p4_report, p5_found, p5_assigned, p5_balance,
+    p6_found, p6_groups, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_unified, p9_classes,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
