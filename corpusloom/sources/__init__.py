@@ -1 +1,104 @@
+"""Readers with the reference's strictness (SRC1 to SRC21)."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def csv_strings(spark: SparkSession, path: str, required: list[str] = ()) -> DataFrame:
+    """SRC1 to SRC3, SRC12: every column a string, empty stays empty, nothing is read as null; an error names missing columns."""
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="\x00", emptyValue="", inferSchema=False)
+    lacking = [c for c in required if c not in df.columns]
+    if lacking:
+        raise ValueError(f"columns missing: {', '.join(lacking)}")
+    return df
+
+
+def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """SRC4: one object per line; blank lines are skipped. A declared schema, so no pass to infer one."""
+    return spark.read.schema(schema).json(path)
+
+
+def jsonl_strict(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """SRC5, SRC6: (rows, bad lines). Bad lines are not JSON objects of the schema; they are returned, not dropped."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    wide = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    x = lines.select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | ~F.col("value").rlike(r"^\s*\{")
+    return x.where(~bad).select(*[f"r.{f.name}" for f in schema.fields]), x.where(bad).select("value")
+
+
+def unique_object(text: str) -> dict:
+    """SRC8: a JSON object without repeated keys, for small configuration files on the driver."""
+
+    def pairs(items):
+        out = {}
+        for k, v in items:
+            if k in out:
+                raise ValueError(f"repeated key {k!r}")
+            out[k] = v
+        return out
+
+    got = json.loads(text, object_pairs_hook=pairs)
+    if not isinstance(got, dict):
+        raise ValueError("not an object")
+    return got
+
+
+def query_text(df: DataFrame) -> DataFrame:
+    """SRC9, SRC10: df with text: the instruction where the table has that column, else the query; a null there stays null."""
+    return df.withColumn("text", F.trim(F.col("instruction" if "instruction" in df.columns else "query")))
+
+
+def answer_text(df: DataFrame) -> DataFrame:
+    """SRC11: the answer, or the response where it is null."""
+    have = [F.col(c) for c in ("answer", "response") if c in df.columns]
+    return df.withColumn("text", F.coalesce(*have) if have else F.lit(None).cast("string"))
+
+
+def target_maps(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """SRC13: (id, target) of JSON maps with any keys, and (id, problem) for repeated ids, blanks and control marks."""
+    from corpusloom.operators.rules import has_control_marks
+
+    text = spark.read.text(paths, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    rows = text.select(F.explode("m").alias("id", "target"))
+    blank = F.col("target").isNull() | (F.trim("target") == "")
+    problem = F.when(blank, "blank").when(has_control_marks(F.col("target")), "control_mark")
+    bad = rows.select("id", problem.alias("problem")).where("problem is not null")
+    return rows, bad.unionByName(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated").alias("problem")))
+
+
+def union_named(named: dict[str, DataFrame]) -> DataFrame:
+    """SRC15: one table of several with the name of each as origin."""
+    out = None
+    for name, df in named.items():
+        x = df.withColumn("origin", F.lit(name))
+        out = x if out is None else out.unionByName(x, allowMissingColumns=True)
+    return out
+
+
+def markdown_section(df: DataFrame, text: str, mark: str) -> DataFrame:
+    """SRC20: df with section: the lines from the first level-two heading that holds the mark to the next heading."""
+    parts = F.filter(F.split(text, r"(?m)(?=^## )"), lambda p: p.startswith("## ") & F.substring_index(p, "\n", 1).contains(mark))
+    return df.withColumn("section", F.get(parts, F.lit(0)))
+
+
+def series(df: DataFrame) -> DataFrame:
+    """SRC21: (step, kind, value) of a loss table; blank validation losses are skipped."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("v")) for k, c in (("train", "train_loss"), ("val", "val_loss"))])
+    x = df.select(F.col("step").cast("int").alias("step"), F.explode(kinds).alias("k"))
+    return x.where("trim(k.v) <> ''").select("step", "k.kind", F.col("k.v").cast("double").alias("value"))
+
+
+def vector_problems(df: DataFrame, key: str, vector: str, tolerance: float = 1e-3) -> DataFrame:
+    """SRC17: (key, problem) of cached vectors: missing, another size than the first, not finite, not of unit length."""
+    v = F.col(vector)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    size = df.where(v.isNotNull()).select(F.size(vector)).limit(1).collect()
+    n = size[0][0] if size else 0
+    problem = F.when(v.isNull(), "missing").when(F.size(v) != n, "size").when(F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), "not_finite").when(F.abs(norm - 1) > tolerance, "not_unit")
+    return df.select(key, problem.alias("problem")).where("problem is not null")
