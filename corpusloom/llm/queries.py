@@ -101,4 +101,23 @@ _ALL = (
     p6_found, p6_groups, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_unified, p9_classes,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+_NUMBER = "regexp_replace(regexp_replace(group_id, '[^0-9]', '', 'g'), '^0+(.)', '\\1')"
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'))"
+_OVER = "len(list_intersect(a.w, b.w)) >= {t} * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9"
+_BOTH = "concat_ws(chr(10), instruction, response)"
+SQL: dict[str, str] = {
+    "p4_found": f"""
+with x as (select id, nullif({_NUMBER}, '') g, case when lower(split) = 'train' then 1 else 0 end tr, coalesce({_WORDS.format('instruction')}, []) w from augmentation_context where id is not null and split is not null)
+select least(a.id, b.id) id_a, greatest(a.id, b.id) id_b from x a join x b on a.tr = 1 and b.tr = 0
+where coalesce(a.g = b.g, false) or (len(a.w) > 0 and least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w)) - 1e-9 and {_OVER.format(t=0.85)})""",
+    "p5_found": f"""
+with recursive x as (select id, nullif({_NUMBER}, '') g, case when regexp_matches(thread_ref, '[0-9]') then lower(trim(thread_ref)) end t from augmentation_context where id is not null),
+e as (select distinct 'g' || g a, 't' || t b from x where g is not null and t is not null), u as (select a, b from e union select b, a from e),
+r(n, m) as (select a, a from u union select u.b, r.m from r join u on r.n = u.a where r.m < u.b), k as (select n, min(m) m from r group by n),
+o as (select m from k where n like 'g%' group by m having count(*) > 1),
+y as (select x.id, coalesce(k1.m, k2.m) m from x left join k k1 on k1.n = 'g' || x.g left join k k2 on k2.n = 't' || x.t)
+select id, min(id) over (partition by m) root_id from y where m in (select m from o)""",
+    "p6_found": f"""
+with x as (select id, {_WORDS.format(_BOTH)} w from augmentation_context where id is not null)
+select a.id id_a, b.id id_b from x a join x b on a.id < b.id and len(a.w) > 0 and least(len(a.w), len(b.w)) >= 0.75 * greatest(len(a.w), len(b.w)) - 1e-9 where {_OVER.format(t=0.75)}""",
+}
