@@ -41,18 +41,20 @@ _MAYBE = re.compile(r"[{\[<]|@@|__|%[A-Z]|#[A-Z]")
 
 #: Unmistakable residue: what a whole passage says. Searched in the lower-cased passage.
 TRUSTED = re.compile(
-    r"\b(?:lorem|ipsum)\b.*|\bdolor sit amet\b.*|^\W*(?:please )?(?:enable|activate|turn on|allow|switch on)\b.{0,24}\b(?:javascript|scripts?|scripting)\b.{0,40}\b(?:to (?:view|use|see|continue|read)|reload|in your browser)\b"
-    r"|^\W*javascript (?:is|must be) (?:disabled|required|enabled|off)\b|^\W*(?:your|this) browser does not support\b|^\W*this (?:site|page|app|application) (?:needs|requires) (?:java)?scripts?\b"
-    r"|<noscript>.*?</noscript>|<html\b.*?</html>|\btraceback \(most recent call last\)|^\W*\{\"(?:status|error|code)\":.*?\}"
+    r"\b(?:lorem|ipsum)\b.*|\bdolor sit amet\b.*|^\W*(?:please )?(?:enable|activate|turn on|allow|switch on)\b.{0,24}\b(?:javascript|scripts?|scripting)\b.{0,40}\b(?:to (?:view|use|see|continue|read)(?: (?:this|the) (?:page|site|content|article|app))?|reload|in your browser)\b"
+    r"|^\W*you need to (?:allow|enable|activate|turn on) (?:java)?script(?:s|ing)?\b|\bscript blocker and (?:refresh|reload)\b|^\W*if nothing appears, javascript\b|^\W*javascript (?:is|must be) (?:disabled|required|enabled|off)\b|^\W*(?:your|this) browser does not support\b|^\W*this (?:site|page|app|application) (?:needs|requires) (?:java)?scripts?\b"
+    r"|<noscript>.*?</noscript>|<html\b.*?</html>|\btraceback \(most recent call last\)(?::? ?\w*(?:error|exception)\b:? ?\S*)?|^\W*\{\"(?:status|error|code)\":.*?\}"
     r"|^\W*(?:error )?[45]\d\d:? (?:not found|forbidden|unauthori[sz]ed|bad gateway|bad request|service unavailable|gateway time-?out|internal server error|too many requests|request timeout)\b"
-    r"|^\W*(?:upstream )?request timed out\b|^\W*rate limit (?:reached|exceeded)\b|^\W*(?:your )?(?:text|content|copy|title|answer|reply|description|message) (?:goes )?here\W*$|^\W*(?:sample|dummy|placeholder|filler) (?:text|content|copy|response|answer|reply)\b.{0,30}(?:here|written|added|replaced|follow)\b"
-    r"|^\W*insert (?:your )?(?:text|reply|answer|content|response|copy|message) here\b|^\W*content (?:is )?coming soon\W*$|^\W*(?:tbd|tba|todo|fixme)\W*$|^\W*(?:asdf|qwerty|blah|xxx+|foo|test)(?:\W+(?:asdf|qwerty|blah|xxx+|bar|foo|test|[a-z]{1,4}df))+\W*$|^\W*dummy (?:text|content|copy|response|answer|reply)\b|^\W*copy to follow\W*$"
+    r"|^\W*(?:upstream )?request timed out\b(?: after \d+ (?:seconds|s|ms))?|^\W*rate limit (?:reached|exceeded)\b|^\W*(?:your )?(?:text|content|copy|title|answer|reply|description|message) (?:goes )?here\W*$|^\W*(?:sample|dummy|placeholder|filler) (?:text|content|copy|response|answer|reply)\b.{0,30}(?:here|written|added|replaced|follow)\b"
+    r"|^\W*insert (?:your )?(?:text|reply|answer|content|response|copy|message) here\b|^\W*content (?:is )?coming soon\W*$|^\W*(?:tbd|tba|todo|fixme)\W*$|^\W*(?:asdf|qwerty|blah|xxx+|foo|test)(?:\W+(?:asdf|qwerty|blah|xxx+|bar|foo|test|[a-z]{1,4}df))+\W*$|^\W*dummy (?:text|content|copy|response|answer|reply)\b(?:,? do not use)?|^\W*copy to follow\W*$"
     r"|^\W*something went wrong on (?:our|the server) (?:side|end)\b|^\W*(?:your )?session (?:has )?(?:expired|timed out)\W*$|^\W*access denied\W*$|^\W*this service is temporarily (?:down|unavailable)\b|^\W*checking your browser before\b|^\W*loading(?:…|\.\.\.)? .{0,20}javascript\b"
 )
 _SENT = re.compile(r"(?<=[.!?…])\s+|\n+")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\b[A-Z]{2}-\d+|\d[\d.,:]*")
 _CAP = re.compile(r"(?<=[\w,;] )[A-ZÀ-ÖØ-ÞА-Я][^\W\d_]+")
 _WORD = re.compile(r"[^\W_]+|#")
+#: A new sentence on the same line.
+_NEXT = re.compile(r"[\W\d]*(?:[A-Z]{2}-\d+\s+)?[A-ZÀ-ÖØ-ÞА-Я][^\W\d]*[ ,]")
 _TAIL = re.compile(r"^\W*(?:incident|request id|ref|id|code|#)?\W*#?\W*$")
 
 
@@ -84,7 +86,7 @@ def passages(text: str) -> list[tuple[str, bool]]:
     parts = [p for p in _SENT.split(rest.strip()) if p]
     only = "only\t" if len(parts) <= 2 else "part\t"
     for p in parts:
-        if (m := TRUSTED.search(p.lower())) and len(p) - m.end() > 30:
+        if (m := TRUSTED.search(p.lower())) and _NEXT.match(p, m.end()):
             parts.append(p[m.end() :])  # what follows on the same line is judged on its own
             p = p[: m.end()]
         masked, caps = _CAP.subn("@", _HEX.sub("#", p))
@@ -163,7 +165,7 @@ def fit(shapes: DataFrame, rounds: int = 6) -> tuple[tuple[float, float], np.nda
             acc = np.zeros(size + 2)
             for b in batches:
                 feats = [features(p) for p in b.column(0).to_pylist()]
-                n = np.minimum(b.column(1).to_numpy(zero_copy_only=False).astype(float), 50.0)
+                n = b.column(1).to_numpy(zero_copy_only=False).astype(float)
                 sure = np.array(b.column(2).to_pylist(), bool)
                 if what == "all":
                     w = n
