@@ -15,7 +15,7 @@ def csv_strings(spark: SparkSession, path: str, required: list[str] = ()) -> Dat
     lacking = [c for c in required if c not in df.columns]
     if lacking:
         raise ValueError(f"columns missing: {', '.join(lacking)}")
-    return df
+    return df.na.fill("")  # an unquoted empty field is empty too
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
