@@ -47,7 +47,7 @@ TRUSTED = re.compile(
     r"|^\W*(?:error )?[45]\d\d:? (?:not found|forbidden|unauthori[sz]ed|bad gateway|bad request|service unavailable|gateway time-?out|internal server error|too many requests|request timeout)\b"
     r"|^\W*(?:upstream )?request timed out\b(?: after \d+ (?:seconds|s|ms))?|^\W*rate limit (?:reached|exceeded)\b|^\W*(?:your )?(?:text|content|copy|title|answer|reply|description|message) (?:goes )?here\W*$|^\W*(?:sample|dummy|placeholder|filler) (?:text|content|copy|response|answer|reply)\b.{0,30}(?:here|written|added|replaced|follow)\b"
     r"|^\W*insert (?:your )?(?:text|reply|answer|content|response|copy|message) here\b|^\W*content (?:is )?coming soon\W*$|^\W*(?:tbd|tba|todo|fixme)\W*$|^\W*(?:asdf|qwerty|blah|xxx+|foo|test)(?:\W+(?:asdf|qwerty|blah|xxx+|bar|foo|test|[a-z]{1,4}df))+\W*$|^\W*dummy (?:text|content|copy|response|answer|reply)\b(?:,? do not use)?|^\W*copy to follow\W*$"
-    r"|^\W*something went wrong on (?:our|the server) (?:side|end)\b|^\W*(?:your )?session (?:has )?(?:expired|timed out)\W*$|^\W*access denied\W*$|^\W*this service is temporarily (?:down|unavailable)\b|^\W*checking your browser before\b|^\W*loading(?:…|\.\.\.)? .{0,20}javascript\b"
+    r"|^\W*something went wrong on (?:our|the server) (?:side|end)\b|^\W*(?:your )?session (?:has )?(?:expired|timed out)\W*$|^\W*access denied\W*$|^\W*(?:sorry,? )?(?:the|this) page (?:you are looking for|you requested) (?:does not exist|cannot be|could not be|has been|was not)|^\W*page not found\W*$|^\W*(?:an )?(?:unexpected|internal) (?:server )?error (?:has )?(?:occurred|happened)\b|^\W*connection (?:refused|reset|timed out)\b|^\W*unhandled exception\b|^\W*this service is temporarily (?:down|unavailable)\b|^\W*checking your browser before\b|^\W*loading(?:…|\.\.\.)? .{0,20}javascript\b"
 )
 _SENT = re.compile(r"(?<=[.!?…])\s+|\n+")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\b[A-Z]{2}-\d+|\d[\d.,:]*")
