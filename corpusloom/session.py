@@ -72,3 +72,10 @@ def let_workers_import(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer than half as many tasks as there are cores; else df as it is. For work
+    in Python that costs more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
