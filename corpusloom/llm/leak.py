@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.unify import words
+from corpusloom.session import spread
 
 K1, B = 1.2, 0.75
 
@@ -123,6 +124,7 @@ def leaks(
     n = items.count()
     shards = max(1, -(-n // items_per_index))
     src = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
+    src = spread(src)
     item_type = dict(entries.dtypes)["item"]
     out = None
     for k in range(shards):

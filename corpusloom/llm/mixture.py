@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.session import materialize, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern published with the byte-level vocabulary.
@@ -63,7 +63,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(n, pa.int64())], names=["id", "source", "tokens"])
 
     kind = dict(src.dtypes)["id"]
-    return src.mapInArrow(run, f"id {kind}, source string, tokens long")
+    return spread(src).mapInArrow(run, f"id {kind}, source string, tokens long")
 
 
 def budgets(supply: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, float]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import components
-from corpusloom.session import materialize
+from corpusloom.session import materialize, spread
 
 _WORD = re.compile(r"[^\W_]+")
 EPS = 1e-9
@@ -68,7 +68,7 @@ def word_sets(df: DataFrame) -> DataFrame:
             arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(k, pa.binary()), pa.array(n, pa.int32()), arrays], names=[*keep, "k", "n", "h"])
 
-    return df.mapInArrow(run, f"{kinds}, k binary, n int, h array<bigint>")
+    return spread(df).mapInArrow(run, f"{kinds}, k binary, n int, h array<bigint>")
 
 
 @functools.cache
@@ -115,7 +115,7 @@ def block_codes(h: np.ndarray, t: float) -> np.ndarray:
             break
         m = d + 2
         seg = np.zeros(m, np.uint64)
-        np.bitwise_xor.at(seg, (_mix(h + np.uint64(lo) * _C[0]) % np.uint64(m)).astype(np.int64), h)
+        np.bitwise_xor.at(seg, (_mix(h + np.uint64(lo * int(_C[0]) & (1 << 64) - 1)) % np.uint64(m)).astype(np.int64), h)
         i, j = _two_of(m)
         out.append(_mix(_mix(seg[i] * _C[0] + i.astype(np.uint64) * _C[1]) + seg[j] * _C[2] + j.astype(np.uint64) * _C[3] + np.uint64(lo)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize, release
+from corpusloom.session import materialize, release, spread
 
 BITS = 17
 _NAME = r"[A-Za-z][\w .\-]{0,40}?"
@@ -49,6 +49,8 @@ TRUSTED = re.compile(
     r"|^\W*insert (?:your )?(?:text|reply|answer|content|response|copy|message) here\b|^\W*content (?:is )?coming soon\W*$|^\W*(?:tbd|tba|todo|fixme)\W*$|^\W*(?:asdf|qwerty|blah|xxx+|foo|test)(?:\W+(?:asdf|qwerty|blah|xxx+|bar|foo|test|[a-z]{1,4}df))+\W*$|^\W*dummy (?:text|content|copy|response|answer|reply)\b(?:,? do not use)?|^\W*copy to follow\W*$"
     r"|^\W*something went wrong on (?:our|the server) (?:side|end)\b|^\W*(?:your )?session (?:has )?(?:expired|timed out)\W*$|^\W*access denied\W*$|^\W*(?:sorry,? )?(?:the|this) page (?:you are looking for|you requested) (?:does not exist|cannot be|could not be|has been|was not)|^\W*page not found\W*$|^\W*(?:an )?(?:unexpected|internal) (?:server )?error (?:has )?(?:occurred|happened)\b|^\W*connection (?:refused|reset|timed out)\b|^\W*unhandled exception\b|^\W*this service is temporarily (?:down|unavailable)\b|^\W*checking your browser before\b|^\W*loading(?:…|\.\.\.)? .{0,20}javascript\b"
 )
+#: A passage without any of these can hold no trusted residue; a plain search is far cheaper than the pattern.
+CUES = tuple("lorem|ipsum|dolor sit|script|browser|<html|traceback|{\"|not found|forbidden|authori|gateway|bad request|unavailable|internal server|too many|timeout|time-out|timed out|rate limit| here|coming soon|sample|dummy|placeholder|filler|tbd|tba|todo|fixme|asdf|qwerty|blah|xxx|foo|test|copy to|wrong on|session|access denied|temporarily|loading|the page|this page|unexpected|internal error|error |error:|connection|unhandled".split("|"))
 _SENT = re.compile(r"(?<=[.!?…])\s+|\n+")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\b[A-Z]{2}-\d+|\d[\d.,:]*")
 _CAP = re.compile(r"(?<=[\w,;] )[A-ZÀ-ÖØ-ÞА-Я][^\W\d_]+")
@@ -86,7 +88,8 @@ def passages(text: str) -> list[tuple[str, bool]]:
     parts = [p for p in _SENT.split(rest.strip()) if p]
     only = "only\t" if len(parts) <= 2 else "part\t"
     for p in parts:
-        if (m := TRUSTED.search(p.lower())) and _NEXT.match(p, m.end()):
+        low = p.lower()
+        if (m := TRUSTED.search(low) if any(c in low for c in CUES) else None) and _NEXT.match(p, m.end()):
             parts.append(p[m.end() :])  # what follows on the same line is judged on its own
             p = p[: m.end()]
         masked, caps = _CAP.subn("@", _HEX.sub("#", p))
@@ -209,7 +212,7 @@ def fit(shapes: DataFrame, rounds: int = 6) -> tuple[tuple[float, float], np.nda
 def scored(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("instruction", "response")) -> DataFrame:
     """(id, field, log_odds, passage) of the strongest passage of each text that has one."""
     spark = df.sparkSession
-    texts = df.select(F.explode(F.array(*[F.col(c).cast("string") for c in fields])).alias("t")).where("t is not null and t <> ''")
+    texts = spread(df.select(*fields)).select(F.explode(F.array(*[F.col(c).cast("string") for c in fields])).alias("t")).where("t is not null and t <> ''")
     raw = materialize(texts.mapInArrow(_collect, "passage string, n long, trusted boolean").groupBy("passage").agg(F.sum("n").alias("n"), F.max("trusted").alias("trusted")))
     model = fit(raw)
     release(raw)
@@ -239,7 +242,7 @@ def scored(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("instru
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.string()))], names=["id", "field", "log_odds", "passage"])
 
-    return src.mapInArrow(run, "id string, field string, log_odds double, passage string")
+    return spread(src).mapInArrow(run, "id string, field string, log_odds double, passage string")
 
 
 def residue(df: DataFrame, cutoff: float = 0.0, **kw) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.session import materialize
+from corpusloom.session import materialize, spread
 
 # Letters of Cyrillic and Greek whose usual shape is that of a Latin letter, and that letter.
 ALIKE_FROM = "АВЕЅІЈКМНОРСТХУҮԌԚԜ" + "аеорсухѕіјһԁԛԝӏү" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ" + "ονρϲϳ"
@@ -104,7 +104,7 @@ def _keys_udf(text: pd.Series) -> pd.DataFrame:
 def look_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, look, own): 128-bit digests of the unified text and of the text itself; rows with null text are left out."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    return src.select("id", _keys_udf("t").alias("k")).select("id", "k.look", "k.own")
+    return spread(src).select("id", _keys_udf("t").alias("k")).select("id", "k.look", "k.own")
 
 
 def look_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
