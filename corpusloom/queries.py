@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import plans, sources, streaming
 from corpusloom.functions import text as X
-from corpusloom.operators import grouping, joins, profile, rules, selection, stats, validate
+from corpusloom.operators import grouping, joins, profile, rules, selection, sheets, stats, validate
 from corpusloom.session import table
 from corpusloom.sources import sinks
 
@@ -647,3 +647,73 @@ def text_hashes(spark, d):
 @query()
 def canonical_rows(spark, d):
     return sinks.row_hashes(_items(spark, d))
+
+
+# --- planning and sheets --------------------------------------------------------------------------------------------
+
+_MOODS = ["calm", "terse", "angry"]
+
+
+@query("select intent, category, ['calm', 'terse', 'angry'][('0x' || substr(sha256('mood:' || intent), 1, 2))::int % 3 + 1] mood from intents")
+def deterministic_pick(spark, d):
+    return table(spark, d, "intents").select("intent", "category", sheets.pick_from("mood", F.col("intent"), _MOODS).alias("mood"))
+
+
+@query("select intent, slot::int slot, case when slot < 5 then 'ordinary' else ['typos', 'anger', 'two_requests', 'no_identifier'][(slot - 5) % 4 + 1] end style from intents, range(10) t(slot)")
+def style_plan(spark, d):
+    return sheets.style_plan(table(spark, d, "intents").select("intent"), 10, "ordinary", ["typos", "anger", "two_requests", "no_identifier"])
+
+
+_SIDE = "select id, arg_max(answer, answer_id) filter (answer is not null) answer from raw_answers where id is not null and model = '{}' group by id"
+
+
+@query(f"""with s as (select id, row_number() over (order by md5('blind:' || id), id) <= count(*) over () // 2 f from scenarios), b as ({_SIDE.format('base')}), t as ({_SIDE.format('tuned')}),
+x as (select s.id, case when f then b.answer else t.answer end a, case when f then t.answer else b.answer end c from s left join b on s.id = b.id left join t on s.id = t.id)
+select id, case when a is null or trim(a) = '' then '[no answer]' else a end "answer_A", case when c is null or trim(c) = '' then '[no answer]' else c end "answer_B", case when a is null or trim(a) = '' then 'false' else '' end "pass_A", case when c is null or trim(c) = '' then 'false' else '' end "pass_B" from x""")
+def judgment_sheet(spark, d):
+    a = _ans(spark, d).where("id is not null and answer is not null")
+    side = lambda m: a.where(F.col("model") == m).groupBy("id").agg(F.max_by("answer", "answer_id").alias("answer"))
+    return sheets.judgment_sheet(_items(spark, d), side("base"), side("tuned"), selection.balanced_sides(_items(spark, d), "id", "blind"))
+
+
+@query("with f as (select distinct intent, group_id, md5('42:' || group_id) from augmentation_context where group_id is not null) select id, c.group_id, g.split_new from augmentation_context c join (" + SQL["split_groups_hash"] + ") g on c.group_id = g.group_id and c.intent is not distinct from g.intent")
+def frozen_restore(spark, d):
+    g = split_groups_hash(spark, d).select(F.coalesce("intent", F.lit("<null>")).alias("s"), "group_id", "split_new")
+    c = _ctx(spark, d).where("group_id is not null").select("id", F.coalesce("intent", F.lit("<null>")).alias("s"), "group_id")
+    return c.join(g, ["s", "group_id"]).select("id", "group_id", "split_new")
+
+
+@query("""with v as (select sha256(instruction) text_hash, intent, max(split) verdict from augmentation_context where instruction is not null and intent is not null group by 1, 2)
+select c.id, v.verdict from augmentation_context c left join v on sha256(c.instruction) = v.text_hash and c.intent = v.intent""")
+def verdict_reuse(spark, d):
+    t = _ctx(spark, d)
+    v = t.where("instruction is not null and intent is not null").groupBy(F.sha2("instruction", 256).alias("text_hash"), "intent").agg(F.max("split").alias("verdict"))
+    return sheets.reuse_verdicts(t.select("id", "intent", "instruction"), "instruction", "intent", v).select("id", "verdict")
+
+
+@query("""with s as (select date_trunc('day', ingested_at)::date::varchar step, model, avg(latency_ms) v from raw_answers where ingested_at is not null group by 1, 2)
+select count(*) steps, round(max(abs(a.v - b.v)), 6) largest_difference, max(a.step) last_step, max(abs(a.v - b.v)) <= 100 same from s a join s b on a.step = b.step and a.model = 'base' and b.model = 'tuned'""")
+def series_comparison(spark, d):
+    s = _ans(spark, d).where("ingested_at is not null").groupBy(F.to_date("ingested_at").cast("string").alias("step"), "model").agg(F.avg("latency_ms").alias("v"))
+    return sheets.compare_series(s.where("model = 'base'"), s.where("model = 'tuned'"), "step", "v", 100.0)
+
+
+@query("select id, coalesce(facts, '') facts, coalesce(array_to_string(acceptable_actions, '; '), '') actions, coalesce(array_to_string(critical_fail_if, '; '), '') critical from scenarios")
+def rubric_projection(spark, d):
+    return sheets.rubric(_items(spark, d))
+
+
+@query("select intent, reason, count(*) n from (select intent, unnest(cleaning) reason from augmentation_context) group by 1, 2")
+def reason_counts(spark, d):
+    return sheets.reason_counts(_ctx(spark, d), "intent", F.col("cleaning"))
+
+
+@query("select intent, min(n_tokens) least, max(n_tokens) most, count(distinct response) unique_targets from augmentation_context group by intent")
+def token_stats(spark, d):
+    return sheets.token_stats(_ctx(spark, d), ["intent"], "n_tokens", "response")
+
+
+@query("select id, intent from (select id, intent from scenarios order by id limit 50)")
+def head_limit(spark, d):
+    """A limited head is the feature here."""
+    return _items(spark, d).select("id", "intent").orderBy("id").limit(50)
