@@ -50,7 +50,13 @@ TRUSTED = re.compile(
     r"|^\W*something went wrong on (?:our|the server) (?:side|end)\b|^\W*(?:your )?session (?:has )?(?:expired|timed out)\W*$|^\W*access denied\W*$|^\W*(?:sorry,? )?(?:the|this) page (?:you are looking for|you requested) (?:does not exist|cannot be|could not be|has been|was not)|^\W*page not found\W*$|^\W*(?:an )?(?:unexpected|internal) (?:server )?error (?:has )?(?:occurred|happened)\b|^\W*connection (?:refused|reset|timed out)\b|^\W*unhandled exception\b|^\W*this service is temporarily (?:down|unavailable)\b|^\W*checking your browser before\b|^\W*loading(?:…|\.\.\.)? .{0,20}javascript\b"
 )
 #: A passage without any of these can hold no trusted residue; a plain search is far cheaper than the pattern.
-CUES = tuple("lorem|ipsum|dolor sit|script|browser|<html|traceback|{\"|not found|forbidden|authori|gateway|bad request|unavailable|internal server|too many|timeout|time-out|timed out|rate limit| here|coming soon|sample|dummy|placeholder|filler|tbd|tba|todo|fixme|asdf|qwerty|blah|xxx|foo|test|copy to|wrong on|session|access denied|temporarily|loading|the page|this page|unexpected|internal error|error |error:|connection|unhandled".split("|"))
+CUES = tuple(
+    "lorem|ipsum|dolor sit|script|browser|<html|traceback|{\"|not found|forbidden|authori|gateway|bad request|unavailable|internal server|"
+    "too many|timeout|time-out|timed out|rate limit|goes here|text here|content here|copy here|title here|answer here|reply here|"
+    "description here|message here|response here|coming soon|sample |dummy|placeholder|filler|tbd|tba|todo|fixme|asdf|qwerty|blah|xxx|foo|"
+    "test test|test foo|copy to|wrong on|session expired|session has|access denied|temporarily|loading|page you|unexpected|"
+    "internal error|error has|error occ|error hap|connection re|unhandled".split("|")
+)
 _SENT = re.compile(r"(?<=[.!?…])\s+|\n+")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\b[A-Z]{2}-\d+|\d[\d.,:]*")
 _CAP = re.compile(r"(?<=[\w,;] )[A-ZÀ-ÖØ-ÞА-Я][^\W\d_]+")
@@ -86,10 +92,12 @@ def passages(text: str) -> list[tuple[str, bool]]:
     else:
         rest = text
     parts = [p for p in _SENT.split(rest.strip()) if p]
+    whole = text.lower()
+    cues = [c for c in CUES if c in whole]
     only = "only\t" if len(parts) <= 2 else "part\t"
     for p in parts:
         low = p.lower()
-        if (m := TRUSTED.search(low) if any(c in low for c in CUES) else None) and _NEXT.match(p, m.end()):
+        if (m := TRUSTED.search(low) if cues and any(c in low for c in cues) else None) and _NEXT.match(p, m.end()):
             parts.append(p[m.end() :])  # what follows on the same line is judged on its own
             p = p[: m.end()]
         masked, caps = _CAP.subn("@", _HEX.sub("#", p))
