@@ -121,8 +121,20 @@ def block_codes(h: np.ndarray, t: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _short(k: pa.Array) -> pa.Array:
+    """The first 8 bytes of each digest as a number: blocks carry it instead of the digest. Classes that share it are only
+    candidates more, as candidates are joined back to every class with that number and verified by their words."""
+    return pa.array(np.frombuffer(b"".join(x[:8] for x in k.to_pylist()), np.int64))
+
+
+def _short_column(k: str) -> F.Column:
+    """_short() as an expression: the bytes are little-endian, two halves keep the number within a long."""
+    part = lambda i: F.conv(F.concat(*[F.hex(F.substring(k, i + j, 1)) for j in (3, 2, 1, 0)]), 16, 10).cast("long")
+    return F.shiftleft(part(5), 32).bitwiseOR(part(1))
+
+
 def _blocks_of_segments(reps: DataFrame, t: float) -> DataFrame:
-    """(code, k, n, fp, train, held)."""
+    """(code, r, n, fp, train, held)."""
 
     def run(batches):
         for b in batches:
@@ -137,15 +149,19 @@ def _blocks_of_segments(reps: DataFrame, t: float) -> DataFrame:
                 fp.append(int(np.packbits(parity_sketch(h, 64)).view(np.uint64)[0]))
             at = pa.array(np.repeat(np.arange(b.num_rows), count))
             cols = [pa.array(np.concatenate(codes).view(np.int64) if codes else np.zeros(0, np.int64))]
-            cols += [b.column("k").take(at), b.column("n").take(at), pa.array(np.array(fp, np.uint64).view(np.int64)).take(at), b.column("train").take(at), b.column("held").take(at)]
-            yield pa.RecordBatch.from_arrays(cols, names=["code", "k", "n", "fp", "train", "held"])
+            cols += [_short(b.column("k")).take(at), b.column("n").take(at), pa.array(np.array(fp, np.uint64).view(np.int64)).take(at), b.column("train").take(at), b.column("held").take(at)]
+            yield pa.RecordBatch.from_arrays(cols, names=["code", "r", "n", "fp", "train", "held"])
 
-    return reps.select("k", "n", "h", "train", "held").mapInArrow(run, "code long, k binary, n int, fp long, train boolean, held boolean")
+    return reps.select("k", "n", "h", "train", "held").mapInArrow(run, "code long, r long, n int, fp long, train boolean, held boolean")
 
 
-def _verified(cand: DataFrame, reps: DataFrame, t: float) -> DataFrame:
-    """Distinct (a, b) of candidate classes whose word sets have an overlap of at least t."""
-    x = cand.join(reps.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(reps.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b")
+def _verified(cand: DataFrame, reps: DataFrame, t: float, cross: bool = False) -> DataFrame:
+    """Distinct class pairs (a, b) of candidates (ra, rb) whose word sets have an overlap of at least t. With ``cross`` a is
+    a class with train rows, b one with held-out rows."""
+    r = reps.withColumn("r", _short_column("k"))
+    one = (r.where("train") if cross else r).select(F.col("r").alias("ra"), F.col("k").alias("a"), F.col("h").alias("ha"))
+    two = (r.where("held") if cross else r).select(F.col("r").alias("rb"), F.col("k").alias("b"), F.col("h").alias("hb"))
+    x = cand.join(one, "ra").join(two, "rb").where("a <> b")
     both = F.size(F.array_intersect("ha", "hb"))
     x = x.select("a", "b", both.alias("i"), (F.size("ha") + F.size("hb") - both).alias("u"))
     return x.where(F.col("i") >= t * F.col("u") - EPS).select("a", "b")
@@ -180,10 +196,10 @@ def split_overlaps(df: DataFrame, t: float = 0.85, pairs_per_task: int = 1_000_0
     blocks = _blocks_of_segments(reps, t)
     left, right = blocks.where("train").alias("x"), blocks.where("held").alias("y")
     allowed = F.floor((F.col("x.n") + F.col("y.n")) * ((1 - t) / (1 + t)) + EPS)
-    near = (F.col("x.code") == F.col("y.code")) & (F.col("x.k") != F.col("y.k")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= allowed)
-    cand = left.join(right, near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    near = (F.col("x.code") == F.col("y.code")) & (F.col("x.r") != F.col("y.r")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= allowed)
+    cand = left.join(right, near).select(F.col("x.r").alias("ra"), F.col("y.r").alias("rb")).distinct()
     same = reps.where("train and held").select(F.col("k").alias("a"), F.col("k").alias("b"))
-    classes = _verified(cand, reps, t).unionByName(same)
+    classes = _verified(cand, reps, t, cross=True).unionByName(same)
     tr = recs.where("train").select(F.col("k").alias("a"), F.col("id").alias("ia"), F.col("g").alias("ga"))
     he = recs.where("not train").select(F.col("k").alias("b"), F.col("id").alias("ib"), F.col("g").alias("gb"))
     alike = classes.join(tr, "a").join(he, "b").where("ga is null or gb is null or ga <> gb")
@@ -207,7 +223,7 @@ def overlap_report(df: DataFrame, pairs: DataFrame) -> DataFrame:
 
 # --- problem 6 -----------------------------------------------------------------------------------------------------
 
-BANDS, ROWS, PIVOTS, SKETCH = 72, 8, 16, 1024
+BANDS, ROWS, PIVOTS, SKETCH = 80, 8, 16, 1024
 
 
 @functools.cache
@@ -229,7 +245,7 @@ def band_codes(h: np.ndarray) -> np.ndarray:
 
 
 def _blocks_of_bands(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(code, k, n, d): d are the distances to the reference fingerprints, capped to 16 bits."""
+    """(code, r, n, d): d are the distances to the reference fingerprints, capped to 16 bits."""
 
     def run(batches):
         for b in batches:
@@ -242,11 +258,11 @@ def _blocks_of_bands(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
                 dist.append((parity_sketch(h, SKETCH) ^ pivots).sum(1, dtype=np.int16))
             at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
             packed = np.array(dist, np.int16).reshape(-1, 4).view(np.int64).reshape(-1, PIVOTS // 4) if dist else np.zeros((0, PIVOTS // 4), np.int64)
-            cols = [pa.array(np.concatenate(codes).view(np.int64) if codes else np.zeros(0, np.int64)), b.column("k").take(at), b.column("n").take(at)]
+            cols = [pa.array(np.concatenate(codes).view(np.int64) if codes else np.zeros(0, np.int64)), _short(b.column("k")).take(at), b.column("n").take(at)]
             cols += [pa.array(packed[:, j].copy()).take(at) for j in range(PIVOTS // 4)]
-            yield pa.RecordBatch.from_arrays(cols, names=["code", "k", "n", *(f"d{j}" for j in range(PIVOTS // 4))])
+            yield pa.RecordBatch.from_arrays(cols, names=["code", "r", "n", *(f"d{j}" for j in range(PIVOTS // 4))])
 
-    return reps.select("k", "n", "h").mapInArrow(run, "code long, k binary, n int, " + ", ".join(f"d{j} long" for j in range(PIVOTS // 4)))
+    return reps.select("k", "n", "h").mapInArrow(run, "code long, r long, n int, " + ", ".join(f"d{j} long" for j in range(PIVOTS // 4)))
 
 
 def _reference_fingerprints(reps: DataFrame) -> np.ndarray:
@@ -266,8 +282,8 @@ def near_classes(df: DataFrame, id_col: str, text, t: float) -> tuple[DataFrame,
     x, y = blocks.alias("x"), blocks.alias("y")
     allowed = F.floor((F.col("x.n") + F.col("y.n")) * ((1 - t) / (1 + t)) + EPS)
     within = " and ".join(f"abs(shiftright(shiftleft(x.d{j}, {48 - 16 * s}), 48) - shiftright(shiftleft(y.d{j}, {48 - 16 * s}), 48)) <= bound" for j in range(PIVOTS // 4) for s in range(4))
-    met = x.join(y, F.expr("x.code = y.code and x.k < y.k"))
-    met = met.withColumn("bound", allowed).where(F.expr(within)).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    met = x.join(y, F.expr("x.code = y.code and x.r < y.r"))
+    met = met.withColumn("bound", allowed).where(F.expr(within)).select(F.col("x.r").alias("ra"), F.col("y.r").alias("rb")).distinct()
     return recs.select("id", "k"), materialize(_verified(met, reps, t))
 
 
