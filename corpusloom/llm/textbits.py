@@ -19,7 +19,8 @@ LANGS_OF: dict[str, tuple[str, ...]] = {}
 for _lang, _words in STOPWORDS.items():
     for _w in _words.split():
         LANGS_OF[_w] = (*LANGS_OF.get(_w, ()), _lang)
-EN = frozenset(STOPWORDS["en"].split())
+#: Function words of English and of no other language here.
+EN_ONLY = frozenset(w for w, langs in LANGS_OF.items() if langs == ("en",))
 ANY_STOP = frozenset(LANGS_OF)
 
 #: Letters that point to one language or script.
@@ -85,6 +86,9 @@ _VERB = r"(?:assist|help|answer|respond|reply|comment|discuss|talk|speak|engage|
 REFUSE = re.compile(
     rf"(?:(?:unable|not able|not permitted|not allowed|not comfortable|won['’]t be able|not in a position)(?: to)? ?{_VERB}|(?:can['’]?t|can not|cannot|won['’]t|will not|could not|do not wish to|don['’]t wish to|not going to) (?:\w+ )?{_VERB}|(?:must|have to|need to|would|i|will|shall) (?:\w+ )?(?:declin|refus|pass on)|(?:['’]d|would|i) (?:rather|prefer) not (?:to )?(?:{_VERB}|say|go into|get)|can(?:not|['’]t| not) be (?:processed|answered|handled|completed|fulfilled)|not something (?:i|we) (?:can|may)|(?:outside|beyond) (?:of )?(?:what (?:i|we)|my (?:scope|remit))|no (?:answer|reply|comment) can be given|(?:talk|speak) about something else|against my (?:guidelines|rules|policy)|ne (?:peux|puis) pas (?:vous )?(?:aider|répondre)|no puedo (?:ayudar|responder)|kann (?:ich )?.{{0,40}}nicht (?:helfen|beantworten)|não posso (?:ajudar|responder)|не могу (?:помочь|ответить))",
 )
+#: Cues that ordinary answers hold as well; with no other cue, a decline needs one of them before a verb of help.
+CAN = frozenset(("cannot", "can't", "can’t", "can not", "won't", "won’t"))
+CANNOT = re.compile(rf"(?:cannot|can['’]t|can not|won['’]t) (?:\w+ )?(?:{_VERB}|be (?:processed|answered|handled|completed|fulfilled|able))")
 FILLER = re.compile(
     r"^(?:[\W_]*(?:i['’]?m (?:very |so |really )?(?:sorry|afraid)|sorry|my apologies|apologies|unfortunately|with regret|regrettably|thank(?:s| you)[^.!?]{0,24}|hello[^.!?]{0,12}|hi[^.!?]{0,12}|as an? (?:automated|ai|virtual|language)[^.!?]*|please (?:ask|choose|pick|try|understand)[^.!?]*(?:topic|question|something else|understand)[^.!?]*|is there (?:something|anything) else[^.!?]*|(?:i )?(?:do not|don['’]t|have no) (?:have )?(?:any )?(?:personal )?opinions[^.!?]*|i hope you understand[^.!?]*|(?:it|this|that) (?:is|goes) (?:beyond|against|outside)[^.!?]*|let['’]?s talk about[^.!?]*)[\W_]*)$",
 )
@@ -92,10 +96,10 @@ _TURN = re.compile(r"\b(?:but|though|however|yet|although)\b.{0,20}\b(?:steps|he
 _SENT = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def refusal_votes(low: str) -> tuple[bool, bool]:
-    """(a sentence declines, every sentence declines or fills) for a lower-cased text."""
+def refusal_votes(low: str, cues=CUES) -> tuple[bool, bool]:
+    """(a sentence declines, every sentence declines or fills) for a lower-cased text; cues: those that it holds."""
     parts = [s for s in _SENT.split(low) if s]
-    decline = [any(c in s for c in CUES) and bool(REFUSE.search(s)) for s in parts]
+    decline = [any(c in s for c in cues) and bool(REFUSE.search(s)) for s in parts]
     if True not in decline:
         return False, False
     for s, d in zip(parts, decline):
