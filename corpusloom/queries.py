@@ -639,6 +639,27 @@ def prepare_audit(spark, d):
     return plans.audit(out).where("check <> 'slots_left'")
 
 
+_SLOT_NAME = "regexp_extract_all({}, '\\{{\\{{([^{{}}]+)\\}}\\}}', 1)"
+
+
+@query(f"""with x as (select id, coalesce(instruction, '') i, coalesce(response, '') r, coalesce(n_tokens, 0) n from augmentation_context),
+y as (select *, regexp_extract_all(i, '\\d+') ni, regexp_extract_all(regexp_extract(r, '(?i)\\b(?:within|in) \\d+ (?:hours?|days?|weeks?)\\b|\\b\\d+ days most likely\\b'), '\\d+') nr, {_SLOT_NAME.format('i')} si, {_SLOT_NAME.format('r')} sr from x),
+z as (select *, list_transform(list_concat(si, sr), lambda s: trim(s, E' \\n\\t\\r')) s from y where n <= 512 and trim(i, E' \\n\\t\\r') <> '' and trim(r, E' \\n\\t\\r') <> ''
+and not regexp_matches(r, '(?i)\\b(?:i have|i''ve|we have|we''ve) (?:already )?(?:cancelled|canceled|processed|refunded|updated)\\b')
+and not (regexp_matches(r, '(?i)\\b(?:within|in) \\d+ (?:hours?|days?|weeks?)\\b|\\b\\d+ days most likely\\b') and not (len(nr) > 0 and list_has_all(ni, nr)))
+and not regexp_matches(r, '(?i)\\b(?:send|share|provide|give)\\b.{{0,30}}\\b(?:password|pin|card number)\\b')),
+k as (select * from z where len(list_filter(s, lambda v: v = '' or length(v) > 48 or (regexp_matches(v, '\\d') and regexp_matches(v, '(?i)(feature|platform|city|step|channel)')))) = 0)
+select unnest(['kept', 'kept_with_slots', 'slots_left']) "check", unnest([count(*), count(*) filter (len(s) > 0), count(*) filter (contains(regexp_replace(i || chr(10) || r, '\\{{\\{{([^{{}}]+)\\}}\\}}', 'x', 'g'), '{{{{'))]) n from k""")
+def prepare_slots(spark, d):
+    """Rows that prepare() keeps, those whose raw texts have a slot, and those with a slot left; the whole SQL is counted
+    from the raw rows."""
+    out, _ = plans.prepare(_ctx(spark, d).withColumn("intent", _intent()))
+    raw = F.concat_ws("\n", "instruction", "response").rlike(X.PLACEHOLDER)
+    n = out.agg(F.count("*").alias("kept"), F.count_if(raw).alias("slots"))
+    kept = n.select(F.explode(F.array(F.struct(F.lit("kept").alias("check"), F.col("kept").alias("n")), F.struct(F.lit("kept_with_slots").alias("check"), F.col("slots").alias("n")))).alias("x")).select("x.*")
+    return kept.unionByName(plans.audit(out).where("check = 'slots_left'"))
+
+
 @query("select id, sha256(query) hash from scenarios")
 def text_hashes(spark, d):
     return _items(spark, d).select("id", F.sha2("query", 256).alias("hash"))

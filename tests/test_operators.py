@@ -256,6 +256,15 @@ def test_prepare_is_leakage_safe(spark):
     assert out.count() + bad.count() == 61
 
 
+def test_prepare_leaves_no_slot(spark):
+    data = [("a", "i0", "cancel order number {{Order Number}}", "Open the {{ Page }}.", 10), ("b", "i0", "do {{Step 1}}", "Open it.", 10), ("c", "i1", "where is it", "See {{" + "x" * 49 + "}}.", 10), ("d", "i1", "hi", "Use {{ }} now.", 10), ("e", "i1", "no slot", "None here.", 10)]
+    df = spark.createDataFrame(data, "id string, intent string, instruction string, response string, n_tokens int")
+    out, bad = plans.prepare(df)
+    assert {r.id: (r.clean_instruction, r.clean_response) for r in out.collect()} == {"a": ("cancel my order number", "Open your page."), "e": ("no slot", "None here.")}
+    assert {r.id: r.reason for r in bad.collect()} == dict.fromkeys("bcd", "reject_placeholder_no_neutral_wording")
+    assert {r["check"]: r.n for r in plans.audit(out).collect()} == {"shared_instructions": 0, "straddling_groups": 0, "slots_left": 0}
+
+
 def test_unblinding(spark):
     import hashlib
 
