@@ -46,8 +46,8 @@ def single_linkage(df: DataFrame, key: str, vector: str, stratum: str, threshold
     return with_groups(df.select(key, stratum), key, edges)
 
 
-def _average_linkage(v: np.ndarray, cut: float) -> np.ndarray:
-    """Cluster number of each row: merges of least average cosine distance, up to the cut."""
+def _average_linkage(v: np.ndarray, cut: float, complete: bool = False) -> np.ndarray:
+    """Cluster number of each row: merges of least average (or largest) cosine distance, up to the cut."""
     n = len(v)
     d = 1.0 - v @ v.T
     np.fill_diagonal(d, np.inf)
@@ -57,7 +57,7 @@ def _average_linkage(v: np.ndarray, cut: float) -> np.ndarray:
         i, j = sorted(divmod(flat, n))
         if d[i, j] > cut + 1e-12:
             break
-        new = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+        new = np.maximum(d[i], d[j]) if complete else (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
         d[i], d[:, i] = new, new
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
@@ -67,9 +67,9 @@ def _average_linkage(v: np.ndarray, cut: float) -> np.ndarray:
     return label
 
 
-def average_linkage(df: DataFrame, key: str, vector: str, stratum: str, threshold: float, largest: int = 4000) -> DataFrame:
-    """CL4: (key, stratum, cluster) by average linkage inside a stratum; cluster is its smallest key. The method needs the
-    whole distance table of a stratum, so a larger stratum is first cut into its single-linkage components at the same
+def average_linkage(df: DataFrame, key: str, vector: str, stratum: str, threshold: float, largest: int = 4000, complete: bool = False) -> DataFrame:
+    """CL4 without its unions, which linkage_groups() adds: (key, stratum, cluster) by average or complete linkage inside a
+    stratum; cluster is its smallest key. The method needs the whole distance table of a stratum, so a larger stratum is first cut into its single-linkage components at the same
     threshold: clusters whose average similarity reaches the threshold hold a pair that reaches it, so no cluster spans
     two components. A component beyond ``largest`` rows stops with an error and is never cut."""
     parts = single_linkage(df, key, vector, stratum, threshold).withColumnsRenamed({"root": "part"})
@@ -79,7 +79,7 @@ def average_linkage(df: DataFrame, key: str, vector: str, stratum: str, threshol
         if len(pdf) > largest:
             raise ValueError(f"a component of {len(pdf)} rows; raise 'largest' or the threshold")
         pdf = pdf.sort_values(key)
-        label = _average_linkage(np.array(pdf[vector].tolist(), np.float64), 1 - threshold)
+        label = _average_linkage(np.array(pdf[vector].tolist(), np.float64), 1 - threshold, complete)
         keys = pdf[key].to_numpy()
         return pd.DataFrame({key: keys, stratum: pdf[stratum].to_numpy(), "cluster": keys[label]})
 
@@ -87,6 +87,16 @@ def average_linkage(df: DataFrame, key: str, vector: str, stratum: str, threshol
     return x.groupBy("part").applyInPandas(run, f"{key} {kinds[key]}, {stratum} {kinds[stratum]}, cluster {kinds[key]}")
 
 
+def linkage_groups(df: DataFrame, key: str, vector: str, stratum: str, values: list[Column], threshold: float, complete: bool = False) -> DataFrame:
+    """CL4: (key, stratum, root): clusters of average or complete linkage, then joined where rows of a stratum share one of
+    the values (CL2). Rows without a vector are joined by values alone."""
+    made = average_linkage(df.where(F.col(vector).isNotNull()), key, vector, stratum, threshold, complete=complete)
+    edges = made.where(F.col("cluster") != F.col(key)).select(F.col("cluster").alias("a"), F.col(key).alias("b"))
+    for v in values:
+        edges = edges.unionByName(star_edges(df, key, v, stratum))
+    return with_groups(df.select(key, stratum), key, edges)
+
+
 def recommend_linkage(stats: DataFrame) -> DataFrame:
     """CL6: single if no stratum is near collapse, average otherwise."""
     return stats.agg(F.when(F.count_if("near_collapse") == 0, "single").otherwise("average").alias("linkage"))

@@ -125,3 +125,10 @@ def band(similarity: Column, edges: list[float]) -> Column:
     for lo, hi in zip(edges, edges[1:]):
         out = F.when((similarity >= lo) & (similarity < hi), f"{lo:.2f}-{hi:.2f}").otherwise(out)
     return out
+
+
+def attach_labels(pairs: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """JN22: (pairs with the label columns of their key, keys without a label). Label columns that the pairs already have
+    are replaced, so a pair without a label keeps none. Of repeated labels none is chosen here: keys are unique."""
+    bare = pairs.drop(*[c for c in labels.columns if c != key])
+    return bare.join(labels, key, "left"), pairs.select(key).join(labels.select(key), key, "left_anti")

@@ -145,3 +145,21 @@ def batches(df: DataFrame, order: Column, size: int) -> DataFrame:
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per range
     out = ranged.join(F.broadcast(sizes.select("_p", "base")), "_p").withColumn("position", F.col("base") + F.row_number().over(W.partitionBy("_p").orderBy("_o")) - 1)
     return out.withColumn("batch", F.expr(f"position div {size}")).drop("_o", "_p", "base")
+
+
+def phrase_hits(df: DataFrame, flags: dict[str, Column], phrases: Column) -> DataFrame:
+    """AG15: (kind, name, n): rows, rows with each flag, and rows with each phrase of an array column."""
+    one = df.select(F.array(F.struct(F.lit("rows").alias("kind"), F.lit("").alias("name"), F.lit(True).alias("hit")), *[F.struct(F.lit("flag").alias("kind"), F.lit(k).alias("name"), F.coalesce(v, F.lit(False)).alias("hit")) for k, v in flags.items()]).alias("f"), phrases.alias("p"))
+    said = F.transform(F.coalesce(F.array_distinct("p"), F.array().cast("array<string>")), lambda x: F.struct(F.lit("phrase").alias("kind"), x.alias("name"), F.lit(True).alias("hit")))
+    return one.select(F.explode(F.concat("f", said)).alias("x")).groupBy("x.kind", "x.name").agg(F.count_if("x.hit").alias("n"))
+
+
+def score_summary(df: DataFrame, stratum: str, group: str, values: list[str], rates: list[str]) -> DataFrame:
+    """AG16: over all rows (is_total) and per stratum: rows, distinct groups, mean and exact median of each value, rate of
+    each flag; 0 for a value that no row has, as the reference's empty list. Nulls of flags count as false."""
+    aggs = [F.count("*").alias("n"), F.countDistinct(group).alias("n_groups")]
+    for v in values:
+        aggs += [F.coalesce(F.avg(v), F.lit(0.0)).alias(f"{v}_mean"), F.coalesce(F.percentile(v, F.lit(0.5)), F.lit(0.0)).alias(f"{v}_median")]
+    aggs += [F.coalesce(F.avg(F.coalesce(F.col(r), F.lit(False)).cast("int")), F.lit(0.0)).alias(f"{r}_rate") for r in rates]
+    total = df.groupBy().agg(*aggs).select(F.lit(True).alias("is_total"), F.lit(None).cast(dict(df.dtypes)[stratum]).alias(stratum), "*")
+    return total.unionByName(df.groupBy(stratum).agg(*aggs).select(F.lit(False).alias("is_total"), "*"))

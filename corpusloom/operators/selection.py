@@ -63,15 +63,52 @@ def cap_groups(df: DataFrame, stratum: str, group: str, cap: int, seed: str = "4
 
 
 def quota(df: DataFrame, stratum: str, group: str, key: str, k: int, seed: str) -> DataFrame:
-    """SP5, SP6, SP15: up to k rows per stratum, each of another group, in hash order. A group's first row is an aggregate,
+    """SP5, SP15: up to k rows per stratum, each of another group, in hash order. A group's first row is an aggregate,
     so large groups shrink to one row before anything is ranked."""
     o = X.hash_order(seed, F.col(key))
     first = df.groupBy(stratum, group).agg(F.min(F.struct(o.alias("o"), F.col(key).alias(key))).alias("x")).select(stratum, group, "x.o", f"x.{key}")
     return first.withColumn("r", F.row_number().over(W.partitionBy(stratum).orderBy("o", key))).where(F.col("r") <= k).select(stratum, group, key, "r")
 
 
+def quota_backfilled(df: DataFrame, stratum: str, group: str, key: str, k: int, n: int, seed: str) -> DataFrame:
+    """SP6: (stratum, group, key, backfilled): up to k groups per stratum in hash order, a row each, then what is missing of
+    n taken from the groups left, strata taking turns, those with most groups left first. A group counts once over all
+    strata: it stays with the first stratum that has it. An error where all groups are fewer than n.
+
+    A stratum gives at most one group a turn, so the turn of a group is its rank among those left, and the order inside a
+    turn is the number left then, which falls by one each turn alike: the order of the first turn holds for all."""
+    o = X.hash_order(seed, F.col(key))
+    one = df.where(F.col(group).isNotNull()).groupBy(stratum, group).agg(F.min(F.struct(o.alias("o"), F.col(key).alias(key))).alias("x"))
+    owner = one.groupBy(group).agg(F.min(F.struct(F.col(stratum).isNotNull().alias("known"), F.col(stratum).alias("s"), F.col("x").alias("x"))).alias("y"))
+    g = owner.select(F.col("y.s").alias(stratum), group, F.col(f"y.x.{key}").alias(key), X.hash_order(seed + ":group", F.col(group)).alias("go"))
+    g = g.withColumn("r", F.row_number().over(W.partitionBy(stratum).orderBy("go", group)))
+    left = g.groupBy(stratum).agg(F.count("*").alias("groups")).withColumnsRenamed({stratum: "_s"})
+    taken, all_groups = left.agg(F.coalesce(F.sum(F.least("groups", F.lit(k))), F.lit(0)), F.coalesce(F.sum("groups"), F.lit(0))).first()
+    if all_groups < n:
+        raise ValueError(f"{n} distinct groups wanted, {all_groups} available")
+    base = g.where(F.col("r") <= k).select(stratum, group, key, F.lit(False).alias("backfilled"))
+    spare = g.where((F.col("r") > k) & (F.col("r") <= k + n)).join(left, F.col(stratum).eqNullSafe(F.col("_s")))
+    more = spare.orderBy("r", F.desc("groups"), F.asc_nulls_first(stratum)).limit(max(0, n - taken))
+    return base.unionByName(more.select(stratum, group, key, F.lit(True).alias("backfilled")))
+
+
+def banded_pairs(pairs: DataFrame, stratum: str, band: str, a: Column, b: Column, wanted: dict[str, int], seed: str, per: int = 80) -> DataFrame:
+    """SP7: the pairs (row_a, row_b, ...) of a sample: up to ``per`` a (stratum, band) in hash order, one of those with the
+    same unordered pair of texts a, b in a band, then strata taking turns until the band has what is wanted."""
+    h = X.hash_order(seed, F.col(band), F.col("row_a"), F.col("row_b"))
+    key = [F.col("h"), F.col("row_a"), F.col("row_b")]
+    x = pairs.where(F.col(band).isin(*wanted)).withColumns({"h": h, "t1": F.least(a, b), "t2": F.greatest(a, b)})
+    x = x.withColumn("k", F.row_number().over(W.partitionBy(stratum, band).orderBy(*key))).where(F.col("k") <= per)
+    x = x.withColumn("k", F.row_number().over(W.partitionBy(band, "t1", "t2").orderBy(*key))).where("k = 1")
+    x = x.withColumn("k", F.row_number().over(W.partitionBy(band, stratum).orderBy(*key)))
+    turn = W.partitionBy(band).orderBy("k", X.hash_order(seed + ":turn", F.col(band), F.col(stratum)), F.asc_nulls_first(stratum))
+    n = F.create_map(*[F.lit(v) for kv in wanted.items() for v in kv])
+    x = x.withColumn("place", F.row_number().over(turn)).where(F.col("place") <= n[F.col(band)])  # at most per x strata rows a band
+    return x.drop("h", "t1", "t2", "k")
+
+
 def interleave(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
-    """SP7, SP8: n rows, strata taking turns in hash order. Only the first n of each stratum can be chosen."""
+    """SP8: n rows, strata taking turns in hash order. Only the first n of each stratum can be chosen."""
     o = X.hash_order(seed, F.col(key))
     x = df.select(stratum, key, F.row_number().over(W.partitionBy(stratum).orderBy(o, key)).alias("r")).where(F.col("r") <= n)
     return x.orderBy("r", F.asc_nulls_first(stratum)).limit(n)
