@@ -223,10 +223,11 @@ def clean_reject_reasons(spark, d):
 
 @query()
 def placeholder_rewrite(spark, d):
-    """The fold over placeholders; its golden pairs are in the tests."""
-    r = {"Order Number": "your order number", "order number": "your order number"}
-    rewritten = rules.rewrite_placeholders(F.coalesce("response", F.lit("")), "response", r, ("order number",))
-    return _ctx(spark, d).select("id", rewritten.alias("rewritten"))
+    """The fold over placeholders in both fields, with the substitutions; its golden pairs are in the tests."""
+    slots = rules.Slots(substitute=rules.SUBSTITUTIONS)
+    i, r = F.coalesce("instruction", F.lit("")), F.coalesce("response", F.lit(""))
+    made = {"rewritten_instruction": rules.rewrite_slots(i, "instruction", slots), "rewritten": rules.rewrite_slots(r, "response", slots), "reject_id": F.coalesce(rules.slot_reject(i, slots), rules.slot_reject(r, slots))}
+    return _ctx(spark, d).select("id", *[c.alias(k) for k, c in made.items()])
 
 
 def _words_sql(c):

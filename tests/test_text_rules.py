@@ -86,6 +86,31 @@ def test_merged_phrases(spark):
     assert got[0] == ("contact us during ", "the hours shown") and got[1] == ("", "Our website") and got[2][0] == "look on " and got[3] == ("see ", "the page")
 
 
+@pytest.mark.parametrize("name", [" ", "x" * 49, "Step 1", "City 2"])
+def test_slots_without_a_wording_reject(spark, name):
+    text = "go to {{" + name + "}} now"
+    assert one(spark, text, rules.slot_reject) == "reject_placeholder_no_neutral_wording"
+    assert one(spark, text, lambda c: rules.rewrite_slots(c, "response")) is None
+    assert one(spark, text, lambda c: rules.rewrite_placeholders(c, "response", MAP, ())) is None
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("on our website at {{Website URL}}.", "on our website."), ("during our {{Customer Support Hours}}", "during the hours shown on our contact page"), ("{{Website URL}} helps", "Our website helps"),
+        ("our, website {{Website URL}}", "our, website our website"), ("use the {{Live Chat Support}} for {{Order Number}}", "use the live chat for your order number"),
+    ],
+)
+def test_substitutions(spark, text, want):
+    assert one(spark, text, lambda c: rules.rewrite_slots(c, "response", rules.Slots(substitute=rules.SUBSTITUTIONS))) == want
+    assert one(spark, "{{Support Phone}}", lambda c: rules.slot_reject(c, rules.Slots(reject="phone|hours"))) == "reject_placeholder_no_neutral_wording"
+
+
+def test_substitutions_are_neutral(spark):
+    df = spark.createDataFrame([(p,) for _, p, _ in rules.SUBSTITUTIONS], "p string")
+    assert df.where(~rules.phrase_is_neutral(F.col("p"))).count() == 0
+
+
 def test_rejects(spark):
     df = spark.createDataFrame([("is it 5 days", "within 5 days"), ("when", "within 5 days"), ("x", "I have cancelled it"), ("x", "fine"), (" ", "fine"), (None, "fine")], "instruction string, response string").withColumn("n_tokens", F.lit(600))
     got = rules.clean(df).select("reject_id", "over_length").collect()
