@@ -169,6 +169,7 @@ def _profile(batches, known, with_votes):
     """See the module text. known: {item: query}, or None if each row brings its query in the column q."""
     queries = _Queries(known)
     sentences, names, eot, patterns = Counter(), Counter(), defaultdict(set), Counter()
+    n_eot = 0  # (context, text) pairs held
 
     def flush():
         total, stop, vocab = [Counter() for _ in range(3)], [Counter() for _ in range(3)], Counter()
@@ -237,8 +238,8 @@ def _profile(batches, known, with_votes):
                             if len(t) > 2:
                                 sentences[" ".join(t[1:-1]) + " ,"] += 1
                             for key in _contexts(t):
-                                if len(eot[key]) < 64:
-                                    eot[key].add(h)
+                                n_eot += h not in eot[key]
+                                eot[key].add(h)
                         copied = False
                         if query:
                             ws = {x for x in map(_LOW.__getitem__, tokens) if x}
@@ -262,8 +263,9 @@ def _profile(batches, known, with_votes):
             yield _batch(out, TAILS)
         if voted:
             yield _batch(voted, VOTES)
-        if len(sentences) + len(names) + len(eot) > FLUSH:
+        if len(sentences) + len(names) + n_eot > FLUSH:
             yield flush()
+            n_eot = 0
     yield flush()
 
 

@@ -121,3 +121,11 @@ def test_label_model_recovers_a_planted_model():
     post = A.fit_label_model(seen, fns)["refusal"]
     wrong = sum(min(n, abs(truth[p] - n)) if (post[p] > 0.5) else truth[p] for p, n in seen.items())
     assert wrong < 0.02 * 20_000
+
+
+def test_every_tail_text_of_a_context_counts(spark):
+    rows = [(k, "a", "t", f"Text {chr(97 + k % 26)}{chr(97 + k // 26)}x is here.\nKind regards from the desk", 30, None, None) for k in range(200)]
+    answers = spark.createDataFrame(rows, "answer_id long, id string, tag string, answer string, gen_tokens int, truncated boolean, error string")
+    prof = A.profile(answers, spark.createDataFrame([("a", QUERY)], "id string, query string"), False)
+    eot = prof.where("kind = 'eot'").groupBy("key").count()
+    assert eot.agg({"count": "max"}).first()[0] == 200
