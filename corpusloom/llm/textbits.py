@@ -80,15 +80,15 @@ def script_language(text: str) -> str | None:
     return top if best[top] >= 2 else None
 
 
-# Refusals: cheap cues first, then sentence classes.
-CUES = ("declin", "unable", "not able", "cannot", "can't", "can’t", "can not", "won't", "won’t", "not permitted", "not allowed", "rather not", "prefer not", "something else", "pass on th", "outside ", "not something", "no answer", "guidelines", "my abilities", "refuse", "not comfortable", "another topic", "allowed to answer", "ne peux pas", "no puedo", "kann ich", "ich kann", "não posso", "не могу")
+# Refusals: cheap cues first, then sentence classes. Each alternative of REFUSE holds a cue.
+CUES = ("declin", "unable", "not able", "cannot", "can't", "can’t", "can not", "won't", "won’t", "not permitted", "not allowed", "rather not", "prefer not", "something else", "pass on", "outside ", "beyond ", "not something", "no answer", "guidelines", "my abilities", "refus", "not comfortable", "not in a position", "not going to", "not wish to", "n't wish to", "n’t wish to", "could not", "will not", "cant ", "against my ", "no reply", "no comment", "another topic", "allowed to answer", "ne peux pas", "ne puis pas", "no puedo", "nicht helfen", "nicht beantworten", "não posso", "не могу")
 _VERB = r"(?:assist|help|answer|respond|reply|comment|discuss|talk|speak|engage|provide|process|fulfil|comply|do (?:that|this|so)|address|support|get into|share|continue|advise)"
 REFUSE = re.compile(
-    rf"(?:(?:unable|not able|not permitted|not allowed|not comfortable|won['’]t be able|not in a position)(?: to)? ?{_VERB}|(?:can['’]?t|can not|cannot|won['’]t|will not|could not|do not wish to|don['’]t wish to|not going to) (?:\w+ )?{_VERB}|(?:must|have to|need to|would|i|will|shall) (?:\w+ )?(?:declin|refus|pass on)|(?:['’]d|would|i) (?:rather|prefer) not (?:to )?(?:{_VERB}|say|go into|get)|can(?:not|['’]t| not) be (?:processed|answered|handled|completed|fulfilled)|not something (?:i|we) (?:can|may)|(?:outside|beyond) (?:of )?(?:what (?:i|we)|my (?:scope|remit))|no (?:answer|reply|comment) can be given|(?:talk|speak) about something else|against my (?:guidelines|rules|policy)|ne (?:peux|puis) pas (?:vous )?(?:aider|répondre)|no puedo (?:ayudar|responder)|kann (?:ich )?.{{0,40}}nicht (?:helfen|beantworten)|não posso (?:ajudar|responder)|не могу (?:помочь|ответить))",
+    rf"(?:(?:unable|not able|not permitted|not allowed|not comfortable|won['’]t be able|not in a position)(?: to)? ?{_VERB}|(?:\bcant|can['’]t|can not|cannot|won['’]t|will not|could not|do not wish to|don['’]t wish to|not going to) (?:\w+ )?{_VERB}|(?:must|have to|need to|would|i|will|shall) (?:\w+ )?(?:declin|refus|pass on)|(?:['’]d|would|i) (?:rather|prefer) not (?:to )?(?:{_VERB}|say|go into|get)|can(?:not|['’]t| not) be (?:processed|answered|handled|completed|fulfilled)|not something (?:i|we) (?:can|may)|(?:outside|beyond) (?:of )?(?:what (?:i|we)|my (?:scope|remit))|no (?:answer|reply|comment) can be given|(?:talk|speak) about something else|against my (?:guidelines|rules|policy)|ne (?:peux|puis) pas (?:vous )?(?:aider|répondre)|no puedo (?:ayudar|responder)|kann (?:ich )?.{{0,40}}nicht (?:helfen|beantworten)|não posso (?:ajudar|responder)|не могу (?:помочь|ответить))",
 )
 #: Cues that ordinary answers hold as well; with no other cue, a decline needs one of them before a verb of help.
-CAN = frozenset(("cannot", "can't", "can’t", "can not", "won't", "won’t"))
-CANNOT = re.compile(rf"(?:cannot|can['’]t|can not|won['’]t) (?:\w+ )?(?:{_VERB}|be (?:processed|answered|handled|completed|fulfilled|able))")
+CAN = frozenset(("cannot", "can't", "can’t", "can not", "won't", "won’t", "cant ", "could not", "will not"))
+CANNOT = re.compile(rf"(?:\bcant|cannot|can['’]t|can not|won['’]t|could not|will not) (?:\w+ )?(?:{_VERB}|be (?:processed|answered|handled|completed|fulfilled|able))")
 FILLER = re.compile(
     r"^(?:[\W_]*(?:i['’]?m (?:very |so |really )?(?:sorry|afraid)|sorry|my apologies|apologies|unfortunately|with regret|regrettably|thank(?:s| you)[^.!?]{0,24}|hello[^.!?]{0,12}|hi[^.!?]{0,12}|as an? (?:automated|ai|virtual|language)[^.!?]*|please (?:ask|choose|pick|try|understand)[^.!?]*(?:topic|question|something else|understand)[^.!?]*|is there (?:something|anything) else[^.!?]*|(?:i )?(?:do not|don['’]t|have no) (?:have )?(?:any )?(?:personal )?opinions[^.!?]*|i hope you understand[^.!?]*|(?:it|this|that) (?:is|goes) (?:beyond|against|outside)[^.!?]*|let['’]?s talk about[^.!?]*)[\W_]*)$",
 )

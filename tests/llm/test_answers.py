@@ -3,7 +3,7 @@ import random
 import pytest
 
 from corpusloom.llm import answers as A
-from corpusloom.llm.textbits import is_empty_answer, language, refusal_votes
+from corpusloom.llm.textbits import CAN, CANNOT, CUES, REFUSE, is_empty_answer, language, refusal_votes
 
 SCHEMA = "answer_id long, id string, tag string, answer string, gen_tokens int, truncated boolean, error string, key string, votes string"
 QUERY = "My parcel was sent to the old flat and the page shows it as waiting. Who would I have to ask in order to change the address?"
@@ -129,3 +129,21 @@ def test_every_tail_text_of_a_context_counts(spark):
     prof = A.profile(answers, spark.createDataFrame([("a", QUERY)], "id string, query string"), False)
     eot = prof.where("kind = 'eot'").groupBy("key").count()
     assert eot.agg({"count": "max"}).first()[0] == 200
+
+
+@pytest.mark.parametrize(
+    "text",
+    "i will not discuss this.|that is beyond my scope.|i could not answer.|i am not going to comment.|i do not wish to talk.|i don't wish to talk.|i don’t wish to talk.|i cant help.|this is against my rules.|against my policy.|"
+    "no reply can be given.|no comment can be given.|i am refusing.|je ne puis pas répondre.|i am not in a position to help.|i would pass on it.|das kann man nicht beantworten.|outside what i do|i am unable to help|not able to help|"
+    "not permitted to say; not permitted to answer|not allowed to help|not comfortable to talk|i won't be able to help|i won’t help|i cannot help|i can not help|i must decline|i'd rather not say|i prefer not to get|it cannot be processed|"
+    "not something we can do|beyond of my remit|no answer can be given|speak about something else|against my guidelines|ne peux pas vous aider|no puedo ayudar|kann ich leider nicht helfen|não posso ajudar|не могу помочь".split("|"),
+)
+def test_every_refusal_passes_the_cues(text):
+    assert REFUSE.search(text)
+    cues = [c for c in CUES if c in text]
+    assert cues and (not CAN.issuperset(cues) or CANNOT.search(text))
+    assert refusal_votes(text)[0]
+
+
+def test_cant_is_a_whole_word():
+    assert not refusal_votes("this gives significant support.")[0]
