@@ -54,9 +54,11 @@ CUES = tuple(
     "lorem|ipsum|dolor sit|script|browser|<html|traceback|{\"|not found|forbidden|authori|gateway|bad request|unavailable|internal server|"
     "too many|timeout|time-out|timed out|rate limit|goes here|text here|content here|copy here|title here|answer here|reply here|"
     "description here|message here|response here|coming soon|sample |dummy|placeholder|filler|tbd|tba|todo|fixme|asdf|qwerty|blah|xxx|foo|"
-    "test test|test foo|copy to|wrong on|session expired|session has|access denied|temporarily|loading|page you|unexpected|"
+    "copy to|wrong on|session expired|session has|access denied|temporarily|loading|page you|unexpected|"
     "internal error|error has|error occ|error hap|connection re|unhandled".split("|")
 )
+#: The cue of dummy words that start with "test", which is too common inside other words for a plain search.
+_TEST = re.compile(r"\W*test\W")
 _SENT = re.compile(r"(?<=[.!?…])\s+|\n+")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\b[A-Z]{2}-\d+|\d[\d.,:]*")
 _CAP = re.compile(r"(?<=[\w,;] )[A-ZÀ-ÖØ-ÞА-Я][^\W\d_]+")
@@ -94,10 +96,11 @@ def passages(text: str) -> list[tuple[str, bool]]:
     parts = [p for p in _SENT.split(rest.strip()) if p]
     whole = text.lower()
     cues = [c for c in CUES if c in whole]
+    test = "test" in whole
     only = "only\t" if len(parts) <= 2 else "part\t"
     for p in parts:
         low = p.lower()
-        if (m := TRUSTED.search(low) if cues and any(c in low for c in cues) else None) and _NEXT.match(p, m.end()):
+        if (m := TRUSTED.search(low) if cues and any(c in low for c in cues) or test and _TEST.match(low) else None) and _NEXT.match(p, m.end()):
             parts.append(p[m.end() :])  # what follows on the same line is judged on its own
             p = p[: m.end()]
         masked, caps = _CAP.subn("@", _HEX.sub("#", p))

@@ -134,3 +134,15 @@ def test_splits_keep_sets_and_shares(spark):
     slack = max(0.03, math.ceil(0) / len(got))
     assert abs(n["train"] - 0.8) <= max(slack, largest / len(got) - 0.8) and abs(n["val"] - 0.1) <= slack and abs(n["test"] - 0.1) <= slack
     assert splits.assign_splits(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    "Test, test, test|test-test|test bar|test; asdf sdf|Test sdf|test test test|foo bar|asdf asdf|blah blah|xxx xxx|qwerty asdf|Lorem ipsum|dolor sit amet|Please enable JavaScript to view this page|You need to allow scripts|script blocker and reload|If nothing appears, JavaScript|"
+    "JavaScript is disabled|This browser does not support it|This app needs JavaScript|Traceback (most recent call last)|404 not found|503 service unavailable|403 forbidden|401 unauthorised|502 bad gateway|400 bad request|500 internal server error|429 too many requests|408 request timeout|"
+    "Request timed out|Rate limit reached|Your title goes here|Description here|Sample text to be written|Filler copy is added|Insert your message here|Content coming soon|TBD|TBA|TODO|FIXME|Dummy text, do not use|Copy to follow|Something went wrong on our side|Your session has expired|Session timed out|Access denied|"
+    "The page you requested was not there|Page not found|An unexpected error occurred|Internal error has happened|Connection reset|Connection timed out|Unhandled exception|This service is temporarily down|Checking your browser before it|Loading needs javascript".split("|"),
+)
+def test_every_trusted_branch_passes_the_cues(text):
+    assert residue.TRUSTED.search(text.lower())
+    assert any(trusted for _, trusted in residue.passages(text))
