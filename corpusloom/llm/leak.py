@@ -17,6 +17,7 @@ or null is not indexed; repeated rows each give their rows; no rows give no rows
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -104,6 +105,14 @@ class ItemIndex:
 _BUILT: dict = {}
 
 
+def _index(token: str, held, run: int) -> ItemIndex:
+    """The index of a shard, built once in a worker. token names the shard of one call; an address may come again."""
+    if (token, run) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token, run] = ItemIndex(held.value, run)
+    return _BUILT[token, run]
+
+
 def leaks(
     corpus: DataFrame,
     items: DataFrame,
@@ -131,12 +140,8 @@ def leaks(
         part = entries.where(F.expr(f"pmod(xxhash64(item), {shards}) = {k}")) if shards > 1 else entries
         held = spark.sparkContext.broadcast(sorted((r.item, r.field, r.t) for r in part.collect()))
 
-        def run_part(batches, held=held, run=run, window=window):
-            key = (held.id if hasattr(held, "id") else id(held), run)
-            if key not in _BUILT:
-                _BUILT.clear()
-                _BUILT[key] = ItemIndex(held.value, run)
-            index = _BUILT[key]
+        def run_part(batches, held=held, run=run, window=window, token=uuid.uuid4().hex):
+            index = _index(token, held, run)
             for pdf in batches:
                 found = {}
                 rows = []

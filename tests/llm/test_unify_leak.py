@@ -78,3 +78,13 @@ def test_scores_reach_one_for_every_item_on_itself():
     ix = leak.ItemIndex([(i, "f", t) for i, t in enumerate(texts)])
     for i, t in enumerate(texts):
         assert i in {ix.items[d][0] for d, _ in ix.above(t.split())}
+
+
+def test_an_index_is_never_taken_for_another():
+    class Held:
+        value = None
+
+    held = Held()  # one address for both shards
+    for token in ("a", "b", "a"):
+        held.value = [(token, "query", " ".join(f"{token}{k}" for k in range(20)))]
+        assert [i for i, *_ in leak._index(token, held, 12).items] == [token]
