@@ -37,20 +37,23 @@ LABELS = frozenset("assistant|answer|response|reply|bot|ai|output|agent|system|u
 _CONTROL = re.compile(r"<\|[^|<>]{0,40}\|>|</?s>|\[/?(?:INST|EOS|PAD|BOS|END)\]|<(?:eos|bos|pad|unk|end|eot)>|<(?:start|end)_of_turn>", re.I)
 _LABEL = re.compile(r"^\W*([^\W\d_]+(?: [^\W\d_]+)?)\s*[:：>]\s*$")
 WORD = re.compile(r"[^\W_]+")
+_PIECE = re.compile(_CONTROL.pattern + r"|([^\W_]+)", re.I)
+_MOST = max(len(x.split()) for x in STAND_INS | LABELS)
 
 
 def is_empty_answer(text: str | None) -> bool:
     """No words of its own: missing, blank, marks only, a stand-in for nothing, a bare label or a control token."""
     if text is None:
         return True
-    if len(text) > 80:
-        return not WORD.search(text)
-    bare = _CONTROL.sub(" ", text)
-    w = WORD.findall(bare.lower())
+    w = []
+    for m in _PIECE.finditer(text):
+        if m[1]:
+            if len(w) == _MOST:
+                return False  # more words than any stand-in or label has
+            w.append(m[1].lower())
     if not w:
         return True
-    joined = " ".join(w)
-    return joined in STAND_INS or bool((m := _LABEL.match(bare)) and m[1].lower() in LABELS)
+    return " ".join(w) in STAND_INS or bool((m := _LABEL.match(_CONTROL.sub(" ", text))) and m[1].lower() in LABELS)
 
 
 def language(tokens: list[str]) -> tuple[str | None, float]:

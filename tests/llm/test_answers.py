@@ -147,3 +147,8 @@ def test_every_refusal_passes_the_cues(text):
 
 def test_cant_is_a_whole_word():
     assert not refusal_votes("this gives significant support.")[0]
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>" * 7, "N/A" + " " * 90, "-" * 90 + " N/A", "Answer:" + " " * 90, "</s>" * 40 + "no answer"])
+def test_empty_whatever_the_length(text):
+    assert len(text) > 80 and is_empty_answer(text) and not is_empty_answer(text + " Open the page.")
