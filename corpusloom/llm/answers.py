@@ -22,15 +22,17 @@ length are read whole.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.textbits import ANY_STOP, CAN, CANNOT, CUES, EN_ONLY, is_empty_answer, language, refusal_votes, script_language
+from corpusloom.llm.textbits import ANY_STOP, CAN, CANNOT, CUES, MAY_DECLINE, is_empty_answer, language, refusal_votes, script_language
 from corpusloom.session import materialize, spread
 
 DEFECTS = ("empty", "refusal", "copied_question", "other_language", "truncated")
@@ -40,20 +42,23 @@ LFS = (
     ("refusal", "declines"), ("refusal", "nothing_else"), ("refusal", "short"),
     ("copied_question", "covers_query"), ("copied_question", "overlap"), ("copied_question", "little_of_its_own"),
     ("other_language", "function_words"), ("other_language", "script"), ("other_language", "sentences"),
-    ("truncated", "rule"), ("truncated", "cut_word"), ("truncated", "open_context"), ("truncated", "length"), ("truncated", "flag"),
+    ("truncated", "model"), ("truncated", "cut_word"), ("truncated", "open_context"), ("truncated", "length"), ("truncated", "flag"),
 )
 N_TEXT = sum(d != "truncated" for d, _ in LFS)
-#: Posterior cutoffs, validated on the labelled fixture of tests/llm/test_answers.py.
-CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copied_question": 0.5, "other_language": 0.5, "truncated": 0.5}
+#: Posterior cutoffs: best_cutoff() over the labelled rows of tests/llm/test_answers.py, whose other rows measure the accuracy.
+CUTOFFS = {"empty": 0.49, "refusal": 0.5, "copied_question": 0.5, "other_language": 0.5, "truncated": 0.32}
 #: At most so many items are sent to the workers as a dictionary; beyond it the queries are joined.
 MAX_ITEMS = 50_000
 FLUSH = 200_000
 
-#: Addresses, reference numbers, numbers, words, line ends and marks.
-_TOK = re.compile(r"https?://\S+|[A-Z]{2}-\d+|\d(?:[\d.,:]*\d)?|[^\W\d_]+(?:['’-][^\W\d_]+)*|\n|[^\w\s]")
+#: Words in lower case first, as most are, but for those that may begin an address; then addresses, reference numbers,
+#: other words, numbers, line ends and marks. The second one gives the same for texts of ASCII only, in less time.
+_TOK = re.compile(r"[a-gi-z][a-z]*(?:['’-][^\W\d_]+|[^\W\d_]+)*|https?://\S+|[A-Z]{2}-\d+|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d(?:[\d.,:]*\d)?|\n|[^\w\s]")
+_TOK_ASCII = re.compile(r"[a-gi-z][a-z]*(?:['-][A-Za-z]+|[A-Z][A-Za-z]*)*|https?://\S+|[A-Z]{2}-\d+|[A-Za-z]+(?:['-][A-Za-z]+)*|\d(?:[\d.,:]*\d)?|\n|[^\w\s]", re.A)
 _SENT = re.compile(r"(?<=[.!?])\s+|\n+")
-_ELLIPSIS = re.compile(r"(?:\s*(?:[\[(]\s*(?:\.\.\.|…|cut|truncated|continued|more)\s*[\])]|\.{3,}|…))+$")
-_CLOSED = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
+#: What stands in brackets where a text was cut.
+_CUT_NOTES = frozenset(("...", "…", "cut", "truncated", "continued", "more"))
+_STOPS, _CLOSERS = frozenset(".!?。！？"), "\"'”’»)]"
 _OPEN = frozenset(",;:-–—([{/$€£&+=<“‘«¿¡@")
 _HINT = re.compile(r"peer closed|no bytes|timeout|reset|length|context window", re.I)
 _PAIRS = {")": "(", "]": "[", '"': '"', "”": "“„", "’": "‘’", "'": "'", "»": "«", "}": "{"}
@@ -117,6 +122,25 @@ def _sentences(masked: list[str]) -> list[str]:
     return [p for p in map(str.strip, joined.split("\n")) if p]
 
 
+def _tokens(text: str) -> list[str]:
+    return (_TOK_ASCII if text.isascii() else _TOK).findall(text)
+
+
+def _without_ellipsis(body: str) -> str:
+    """body without the ellipses and bracketed notes of a cut at its end, however many."""
+    while body:
+        if body[-1] == "…":
+            body = body[:-1]
+        elif body.endswith("..."):
+            body = body.rstrip(".")
+        elif body[-1] in ")]" and (i := max(body.rfind("["), body.rfind("("))) >= 0 and body[i + 1 : -1].strip() in _CUT_NOTES:
+            body = body[:i]
+        else:
+            break
+        body = body.rstrip()
+    return body
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -158,7 +182,7 @@ class _Queries:
         key = item if self.known is not None else text
         if key not in self.made:
             q = self.known.get(item) if self.known is not None else text
-            w = [x for x in map(_worded, _TOK.findall(q)) if x] if q else []
+            w = list(filter(None, map(_LOW.__getitem__, _tokens(q)))) if q else []
             if len(self.made) > 100_000:
                 self.made.clear()
             self.made[key] = (frozenset(w), language(w)[0] if w else None, script_language(q) if q else None) if w else None
@@ -205,21 +229,22 @@ def _profile(batches, known, with_votes):
     for batch in batches:
         out, voted = [], []
         cols = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
+        hinted = pc.match_substring_regex(batch.column("answer"), MAY_DECLINE).to_pylist() if with_votes else [False] * batch.num_rows
         qs = cols["q"] if known is None else [None] * batch.num_rows
-        for aid, item, tag, text, gen, trunc, err, q in zip(cols["answer_id"], cols["id"], cols["tag"], cols["answer"], cols["gen_tokens"], cols["truncated"], cols["error"], qs):
+        for aid, item, tag, text, gen, trunc, err, q, hint in zip(cols["answer_id"], cols["id"], cols["tag"], cols["answer"], cols["gen_tokens"], cols["truncated"], cols["error"], qs, hinted):
             empty = is_empty_answer(text)
             query = None if empty else queries.get(item, q)
-            tokens = low = None
+            tokens = None
             if not empty:
-                tokens = _TOK.findall(text)
-                masked = [_MASK[t] for t in tokens]
+                tokens = _tokens(text)
+                masked = list(map(_MASK.__getitem__, tokens))
                 body = _bare_end(text)
                 ell = False
-                if body and body[-1] in ".…])" and (m := _ELLIPSIS.search(body, max(0, len(body) - 60))):
-                    ell, body = True, _bare_end(body[: m.start()])
-                closed = bool(_CLOSED.search(body, max(0, len(body) - 8))) or bool(body) and body[-1] in _PAIRS and _paired(body)
+                if body and body[-1] in ".…])" and len(bare := _without_ellipsis(body)) < len(body):
+                    ell, body = True, _bare_end(bare)
+                closed = body.rstrip(_CLOSERS)[-1:] in _STOPS or bool(body) and body[-1] in _PAIRS and _paired(body)
                 dot = closed and not ell and body[-1] == "." and body[-2:-1].isdigit()
-                parts = _sentences([_MASK[t] for t in _TOK.findall(body)] if ell else masked)
+                parts = _sentences([_MASK[t] for t in _tokens(body)] if ell else masked)
                 caps = [t for t, m in zip(tokens, masked) if m == "@"]
                 names.update(caps if closed and not ell else caps[:-1])
                 if closed and not dot and not ell:
@@ -231,7 +256,7 @@ def _profile(batches, known, with_votes):
                     else:
                         sentences.update(parts[:-1])
                         line = max(body.rfind("\n"), body.rfind(". "), body.rfind("! "), body.rfind("? ")) + 1
-                        t = ["^", *(_MASK[x] for x in _TOK.findall(body, line))]
+                        t = ["^", *(_MASK[x] for x in _tokens(body[line:]))]
                     if len(t) > 1:
                         h = _hash(text)
                         if not dot:
@@ -242,7 +267,7 @@ def _profile(batches, known, with_votes):
                                 eot[key].add(h)
                         copied = False
                         if query:
-                            ws = {x for x in map(_LOW.__getitem__, tokens) if x}
+                            ws = set(filter(None, map(_LOW.__getitem__, tokens)))
                             both = len(ws & query[0])
                             copied = both >= 0.7 * len(query[0]) and both >= 0.75 * len(ws)
                         last = _last_word(body)
@@ -252,10 +277,10 @@ def _profile(batches, known, with_votes):
                         if last:
                             keys += ["w" + last.lower(), "p" + last.lower()]
                         flag = -1 if trunc is None else int(trunc)
-                        hint = 1 if err and _HINT.search(err) else 0
-                        out.append(("tail", h, aid, tag, last, keys, bool(body) and body[-1] in _OPEN, ell, dot, flag, hint, copied))
+                        told = 1 if err and _HINT.search(err) else 0
+                        out.append(("tail", h, aid, tag, last, keys, bool(body) and body[-1] in _OPEN, ell, dot, flag, told, copied))
             if with_votes:
-                v = _votes(text, tokens, empty, gen, err, query)
+                v = _votes(text, tokens, empty, gen, err, query, hint)
                 patterns[v] += 1
                 if "+" in v:
                     voted.append(("votes", aid, tag, v))
@@ -269,41 +294,39 @@ def _profile(batches, known, with_votes):
     yield flush()
 
 
-def _votes(text, tokens, empty, gen, err, query) -> str:
+def _votes(text, tokens, empty, gen, err, query, may_decline) -> str:
     """Votes of the text functions, a character each: + for, - against, 0 abstaining."""
     few = "0" if gen is None else "+" if gen <= 3 else "-"
     hint = "0" if not err else "+" if "empty" in err else "-"
     if empty:
         return "+" + few + hint + "-" * (N_TEXT - 3)
-    low = text.lower()
-    w = [x for x in map(_LOW.__getitem__, tokens) if x]
-    ws = set(w)
+    w = list(filter(None, map(_LOW.__getitem__, tokens)))
     declines = nothing = False
-    cues = [c for c in CUES if c in low]
-    if cues and (not CAN.issuperset(cues) or CANNOT.search(low)):
-        declines, nothing = refusal_votes(low, cues)
-    short = len(w) <= 60
-    v = "-" + few + hint + ("+" if declines else "-") + ("+" if nothing else "-") + ("0" if short else "-")
+    if may_decline:
+        low = text.lower()
+        cues = [c for c in CUES if c in low]
+        if cues and (not CAN.issuperset(cues) or CANNOT.search(low)):
+            declines, nothing = refusal_votes(low, cues)
+    v = "-" + few + hint + ("+" if declines else "-") + ("+" if nothing else "-") + ("0" if len(w) <= 60 else "-")
     if not query:
         return v + "000000"
+    ws = set(w)
     qw, qlang, qscript = query
     both = len(ws & qw)
     v += "+" if both >= 0.7 * len(qw) else "-"
-    v += "+" if both >= 0.72 * len(ws | qw) else "-"
+    v += "+" if both >= 0.72 * (len(ws) + len(qw) - both) else "-"
     v += "+" if both >= 0.75 * len(ws) and len(w) >= 4 else "-"
-    if qlang == "en" and 6 * len(ws & EN_ONLY) >= len(ws):
-        return v + "---"
     lang, share = language(w)
-    if lang is not None and lang == qlang and share >= 0.8:
-        return v + "---"
     if lang is None or qlang is None:
         v += "0"
     else:
         v += "+" if lang != qlang and share >= 0.6 else "-"
     script = script_language(text)
     v += "0" if script is None and qscript is None or script == "pt" or qscript == "pt" else "+" if script != qscript and (script or lang) != qlang else "-"
+    if share == 1 and lang == qlang:
+        return v + "-"  # each function word is one of the query's language too, so no sentence is in another one
     away = known = 0
-    for s in _SENT.split(low):
+    for s in _SENT.split(text.lower()):
         sl = language(t := s.split())[0]
         if sl:
             known += len(t)
@@ -326,15 +349,19 @@ def profile(answers: DataFrame, items: DataFrame, with_votes: bool) -> DataFrame
     return materialize(spread(src).mapInArrow(run, PROFILE))
 
 
+#: Letters of the longest trie node; longer final tokens are compared with the longer words by their first so many letters.
+NODE = 40
+
+
 def _statistics(prof: DataFrame) -> DataFrame:
     """(key, total, stop): contexts, final contexts by distinct text, known words, trie nodes and length peaks."""
     ctx = prof.where("kind = 'context'").groupBy("key").agg(F.sum("a").alias("total"), F.sum("b").alias("stop"), F.sum("a").alias("inner"))
     # nodes of a trie in context: the words that follow the same one or three words, and their proper prefixes
-    often = ctx.where("total >= 5 and key not like '1%'").select("key", F.length(F.substring_index("key", " ", -1)).alias("n")).where("n between 2 and 40")
-    longer = often.select(F.explode(F.expr("transform(sequence(1, n - 1), i -> concat('x', substr(key, 1, length(key) - i)))")).alias("key")).groupBy("key").agg(F.count("*").alias("total"))
+    often = ctx.where("total >= 5 and key not like '1%'").select("key", F.length(F.substring_index("key", " ", -1)).alias("n")).where("n >= 2")
+    longer = often.select(F.explode(F.expr(f"transform(sequence(1, least(n - 1, {NODE})), i -> concat('x', substr(key, 1, length(key) - n + i)))")).alias("key")).groupBy("key").agg(F.count("*").alias("total"))
     eot = prof.where("kind = 'eot'").select("key", "hash").distinct().groupBy("key").agg(F.count("*").alias("total"), F.count("*").alias("stop")).withColumn("inner", F.lit(0).cast("long"))
     known = prof.where("kind = 'word'").groupBy("key").agg(F.sum("a").alias("total")).where("total >= 2").withColumn("stop", F.lit(0).cast("long"))
-    nodes = known.where(F.length("key").between(3, 41)).select(F.explode(F.expr("transform(sequence(2, length(key) - 1), k -> concat('p', substr(key, 2, k - 1)))")).alias("key"))
+    nodes = known.where(F.length("key") >= 3).select(F.explode(F.expr(f"transform(sequence(2, least(length(key) - 1, {NODE + 1})), k -> concat('p', substr(key, 2, k - 1)))")).alias("key"))
     nodes = nodes.groupBy("key").agg(F.count("*").alias("total")).withColumn("stop", F.lit(0).cast("long"))
     size = prof.where("kind = 'tail' and not dot").select(F.explode("keys").alias("key")).where("key like 'l%' or key like 'g%'").groupBy("key").agg(F.count("*").alias("total"))
     near = size.select(F.substring("key", 1, 1).alias("m"), F.expr("cast(substr(key, 2) as int)").alias("v"), "total")
@@ -346,36 +373,97 @@ def _statistics(prof: DataFrame) -> DataFrame:
     return both.unionByName(rest.withColumn("inner", none))
 
 
-def tail_scores(prof: DataFrame) -> DataFrame:
-    """One row per tail: answer_id, tag, the evidence and cut (the decision)."""
+def _long_nodes(prof: DataFrame, tails: DataFrame) -> DataFrame:
+    """(answer_id, m, total): what the trie says of final tokens with more than NODE letters, which have no node of their
+    own: their proper continuations are found among the words with the same first letters. m: p, x2, x4."""
+    cut = F.expr(f"substr(key, 1, length(key) - length(w) + {NODE})")
+    word = prof.where(f"kind in ('word', 'context') and length(key) > {NODE + 2}").groupBy("kind", "key").agg(F.sum("a").alias("n"))
+    word = word.withColumn("w", F.when(F.col("kind") == "word", F.substring("key", 2, 1 << 20)).otherwise(F.substring_index("key", " ", -1)))
+    word = word.where(f"length(w) > {NODE + 1} and key not like '1%' and n >= if(kind = 'word', 2, 5)").select(cut.alias("near"), F.col("key").alias("whole"))
+    asked = tails.where(f"length(last) > {NODE} and not dot").select("answer_id", "last", F.explode(F.array(F.concat(F.lit("w"), F.lower("last")), F.get("keys", F.lit(0)), F.get("keys", F.lit(1)))).alias("key")).withColumn("w", F.col("last"))
+    met = asked.withColumn("near", cut).join(word, "near").where("startswith(whole, key) and length(whole) > length(key)")
+    m = F.when(F.col("key").startswith("w"), "p").otherwise(F.concat(F.lit("x"), F.substring("key", 1, 1)))
+    return met.groupBy("answer_id", m.alias("m")).agg(F.count("*").alias("total"))
+
+
+#: What a tail's evidence string holds, a character each, in order, and the values that each may have.
+EVIDENCE = (
+    ("cut_word", "01"), ("open", "01"), ("ends_here", "n012345"), ("length_peak", "01"), ("token_peak", "01"), ("flag", "n01"), ("error", "01"), ("ellipsis", "01"), ("number_stop", "01"),
+)
+
+
+def tail_evidence(prof: DataFrame) -> DataFrame:
+    """(answer_id, tag, e): the evidence of each tail. ends_here is the share of sentence ends after the tail's last words:
+    n unknown, 0 below 0.02, 1 below 0.1, 2 below 0.25, 3 below 0.5, 4 below 0.9, 5 above."""
     tails = prof.where("kind = 'tail' and not copied").select("answer_id", "tag", "last", "keys", "open", "ellipsis", "dot", "flag", "err")
     grown = F.when((F.col("last") != "") & ~F.col("dot"), F.transform(F.slice("keys", 1, 2), lambda k: F.concat(F.lit("x"), k))).otherwise(F.array().cast("array<string>"))
     asked = tails.select("answer_id", F.explode(F.concat("keys", grown)).alias("key"))
     m = F.when(F.col("key").startswith("x"), F.substring("key", 1, 2)).otherwise(F.substring("key", 1, 1))
     found = asked.join(_statistics(prof), "key").select("answer_id", m.alias("m"), "total", "stop", "inner")
+    none = F.lit(0).cast("long")
+    found = found.unionByName(_long_nodes(prof, tails).withColumn("stop", none).withColumn("inner", none))
     pick = lambda m, c: F.max(F.when(F.col("m") == m, F.col(c)))
     ev = found.groupBy("answer_id").agg(*[pick(m, c).alias(f"{n}_{c}") for m, n in (("4", "c4"), ("2", "c2"), ("1", "c1"), ("w", "w"), ("p", "p"), ("l", "len"), ("g", "gen")) for c in ("total", "stop")], pick("4", "inner").alias("i4"), pick("2", "inner").alias("i2"), pick("x4", "total").alias("x4"), pick("x2", "total").alias("x2"))
     x = tails.join(ev, "answer_id", "left")
-    own = F.lit(1)
-    share, seen = None, None
-    for n in ("c1", "c2", "c4"):
-        t, s = F.coalesce(F.col(f"{n}_total"), F.lit(0)) - own, F.coalesce(F.col(f"{n}_stop"), F.lit(0)) - own
-        at_least = 3
-        share = F.when(t >= at_least, F.greatest(s, F.lit(0)) / t).otherwise(share if share is not None else F.lit(None).cast("double"))
-    x = x.withColumn("p_stop", share)
-    x = x.withColumn("known", F.coalesce(F.col("w_total"), F.lit(0)) > 0)
     n0 = lambda c: F.coalesce(F.col(c), F.lit(0))
+    share = F.lit(None).cast("double")
+    for n in ("c1", "c2", "c4"):
+        t, s = n0(f"{n}_total") - 1, n0(f"{n}_stop") - 1  # without the tail's own
+        share = F.when(t >= 3, F.greatest(s, F.lit(0)) / t).otherwise(share)
     # a known word too is cut if it never stands after these words inside a text, but words that it begins often do
     inside = ((n0("i4") == 0) & (n0("x4") > 0)) | ((n0("i2") == 0) & (n0("x2") > 0))
-    x = x.withColumn("cut_word", (F.col("last") != "") & ~F.col("dot") & ((~F.col("known") & (n0("p_total") > 0)) | inside))
-    peak = lambda n: (F.coalesce(F.col(f"{n}_total"), F.lit(0)) >= 5) & (F.col(f"{n}_total") >= 4 * (F.col(f"{n}_stop") + 1))
-    x = x.withColumn("length_peak", F.coalesce(peak("len"), F.lit(False))).withColumn("gen_peak", F.coalesce(peak("gen"), F.lit(False)))
-    num = lambda c, v: F.when(c, F.lit(float(v))).otherwise(0.0)
-    ctx = F.when(F.col("p_stop").isNull(), 0.0).when(F.col("p_stop") < 0.02, 3.0).when(F.col("p_stop") < 0.1, 2.0).when(F.col("p_stop") < 0.25, 0.5).when(F.col("p_stop") < 0.5, -0.5).otherwise(-2.5)
-    x = x.withColumn("context", ctx)
-    score = num(F.col("cut_word"), 3.5) + num(F.col("open"), 3) + F.when(F.col("cut_word"), F.greatest("context", F.lit(0.0))).otherwise(F.col("context")) + num(F.col("length_peak"), 1.8) + num(F.col("gen_peak"), 1.5) + num(F.col("flag") == 1, 0.8) + num(F.col("err") == 1, 0.5) + num(F.col("ellipsis"), 4.5)
-    x = x.withColumn("score", score)
-    return x.withColumn("cut", F.when(F.col("dot"), (F.col("context") >= 3) & F.col("p_stop").isNotNull()).otherwise(F.col("score") >= 2))
+    cut_word = (F.col("last") != "") & ~F.col("dot") & (((n0("w_total") == 0) & (n0("p_total") > 0)) | inside)
+    level = F.when(share.isNull() | cut_word & (share >= 0.25), "n")  # sentence ends say nothing for an unfinished word
+    for i, top in enumerate((0.02, 0.1, 0.25, 0.5, 0.9)):
+        level = level.when(share < top, str(i))
+    peak = lambda n: F.coalesce((F.col(f"{n}_total") >= 5) & (F.col(f"{n}_total") >= 4 * (F.col(f"{n}_stop") + 1)), F.lit(False))
+    bit = lambda c: F.when(c, "1").otherwise("0")
+    flag = F.when(F.col("flag") == 1, "1").when(F.col("flag") == 0, "0").otherwise("n")
+    return x.select("answer_id", "tag", F.concat(bit(cut_word), bit(F.col("open")), level.otherwise("5"), bit(peak("len")), bit(peak("gen")), flag, bit(F.col("err") == 1), bit(F.col("ellipsis")), bit(F.col("dot"))).alias("e"))
+
+
+#: Where the fit of the evidence starts: share of each value among cut answers and among whole ones.
+START = {
+    "cut_word": {"0": (0.45, 0.99), "1": (0.55, 0.01)}, "open": {"0": (0.95, 0.998), "1": (0.05, 0.002)},
+    "ends_here": {"n": (0.3, 0.02), "0": (0.4, 0.003), "1": (0.1, 0.01), "2": (0.05, 0.02), "3": (0.05, 0.05), "4": (0.05, 0.1), "5": (0.05, 0.797)},
+    "length_peak": {"0": (0.8, 0.98), "1": (0.2, 0.02)}, "token_peak": {"0": (0.85, 0.98), "1": (0.15, 0.02)},
+    "flag": {"n": (0.05, 0.08), "0": (0.65, 0.9), "1": (0.3, 0.02)}, "error": {"0": (0.95, 0.995), "1": (0.05, 0.005)},
+    "ellipsis": {"0": (0.9, 0.9998), "1": (0.1, 0.0002)}, "number_stop": {"0": (0.995, 0.7), "1": (0.005, 0.3)},
+}
+
+
+def fit_cut_model(counts: dict[str, int], rounds: int = 40, weight: float = 40.0) -> dict[str, float]:
+    """{evidence: log odds that the answer was cut}. The weights of the evidence are fitted by expectation-maximization of
+    two classes with independent evidence, over the counted evidence strings; tails with an ellipsis, which states a cut, are
+    the labelled ones. START counts as ``weight`` tails of each class, so a few tails are judged by it and many by their own
+    fit."""
+    says = [name for name, _ in EVIDENCE].index("ellipsis")
+    total = sum(counts.values())
+    table = [{v: list(START[name][v]) for v in values} for name, values in EVIDENCE]
+    prior, odds = 0.2, {}
+    for _ in range(rounds if total else 0):
+        for e in counts:
+            odds[e] = math.log(prior / (1 - prior)) + sum(math.log(f[v][0] / f[v][1]) for f, v in zip(table, e))
+        post = {e: 1.0 if e[says] == "1" else 1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for e, x in odds.items()}
+        mass = sum(post[e] * n for e, n in counts.items())
+        prior = (mass + 2) / (total + 10)
+        for i, (f, (name, values)) in enumerate(zip(table, EVIDENCE)):
+            for v in values:
+                y = sum(post[e] * n for e, n in counts.items() if e[i] == v)
+                z = sum((1 - post[e]) * n for e, n in counts.items() if e[i] == v)
+                a, b = START[name][v]
+                f[v] = [(y + weight * a) / (mass + weight), (z + weight * b) / (total - mass + weight)]
+    return odds
+
+
+def tail_scores(prof: DataFrame) -> DataFrame:
+    """One row per tail: (answer_id, tag, e, log_odds, cut). There are at most 4,032 different evidence strings, whatever the
+    number of tails; their counts are what the model is fitted on."""
+    spark = prof.sparkSession
+    tails = materialize(tail_evidence(prof))
+    counts = {r.e: r.n for r in tails.groupBy("e").agg(F.count("*").alias("n")).collect()}
+    odds = spark.createDataFrame(list(fit_cut_model(counts).items()), "e string, log_odds double")
+    return tails.join(F.broadcast(odds), "e").withColumn("cut", F.col("log_odds") > 0)  # at most 4,032 rows
 
 
 def truncated_answers(answers: DataFrame, items: DataFrame) -> DataFrame:
@@ -391,9 +479,20 @@ def truncation_rates(answers: DataFrame, items: DataFrame) -> DataFrame:
     return got.withColumn("share", F.round(F.col("n_truncated") / F.col("n_answers"), 6))
 
 
+#: Where the tables of the labelling functions start: (share among defective, among sound answers) of each vote that is cast.
+USUAL = {"+": (0.88, 0.011), "-": (0.12, 0.989)}
+ANCHOR = {"+": (0.98, 0.0005), "-": (0.02, 0.9995)}
+HINT = {"+": (0.5, 0.06), "-": (0.5, 0.94)}
+KINDS = {"no_own_words": ANCHOR, "nothing_else": ANCHOR, "model": ANCHOR, "few_tokens": HINT, "error_hint": HINT, "flag": HINT, "length": HINT, "short": HINT}
+
+
 def fit_label_model(patterns: dict[str, int], functions: tuple[tuple[str, str], ...] = LFS, rounds: int = 25) -> dict[str, dict[str, float]]:
-    """{defect: {votes of its functions: posterior}} by expectation-maximization over counted vote patterns. The number of
-    patterns is bounded by 3 to the number of functions, whatever the number of rows."""
+    """{defect: {votes of its functions: posterior}} by expectation-maximization over counted vote patterns; the number of
+    patterns of a defect is bounded by 3 to the number of its functions, whatever the number of rows.
+
+    An abstaining function says nothing about the class. All tables are fitted. Each starts from a prior that counts as so many rows: 0.02 of all for most functions, all of them
+    and 2,000 more for the anchors, which state what the defect is: without that weight a lone strong function among hints drifts to what
+    the hints share."""
     out = {}
     for d in DEFECTS:
         at = [i for i, (x, _) in enumerate(functions) if x == d]
@@ -404,13 +503,8 @@ def fit_label_model(patterns: dict[str, int], functions: tuple[tuple[str, str],
         if not total:
             out[d] = {}
             continue
-        # Prior counts: a function is right more often than not, hints hardly so. Functions that state what the defect is
-        # keep their table: they anchor the classes, which a single strong function among hints can't do by itself.
-        strength = 0.02 * total + 5
-        usual, sure = {"+": (0.75, 0.01), "-": (0.1, 0.9), "0": (0.15, 0.09)}, {"+": (0.95, 0.0005), "-": (0.02, 0.95), "0": (0.03, 0.0495)}
-        hint = {"+": (0.4, 0.05), "-": (0.4, 0.75), "0": (0.2, 0.2)}
-        kinds = {"no_own_words": sure, "nothing_else": sure, "rule": sure, "few_tokens": hint, "error_hint": hint, "flag": hint, "length": hint, "short": hint}
-        base = [kinds.get(functions[i][1], usual) for i in at]
+        base = [KINDS.get(functions[i][1], USUAL) for i in at]
+        strength = [total + 2000 if b is ANCHOR else 0.02 * total + 5 for b in base]
         table = [{v: list(p) for v, p in b.items()} for b in base]
         prior = 0.03
         post = {}
@@ -418,47 +512,81 @@ def fit_label_model(patterns: dict[str, int], functions: tuple[tuple[str, str],
             for p in seen:
                 y, z = prior, 1 - prior
                 for f, v in zip(table, p):
-                    y, z = y * f[v][0], z * f[v][1]
+                    if v != "0":
+                        y, z = y * f[v][0], z * f[v][1]
                 post[p] = y / (y + z)
             mass = sum(post[p] * n for p, n in seen.items())
             prior = min(0.5, max(1e-4, (mass + 3) / (total + 100)))
             for j, f in enumerate(table):
-                if base[j] is sure:
-                    continue
-                for v in "+-0":
-                    y = sum(post[p] * n for p, n in seen.items() if p[j] == v)
-                    z = sum((1 - post[p]) * n for p, n in seen.items() if p[j] == v)
-                    f[v] = [(y + strength * base[j][v][0]) / (mass + strength), (z + strength * base[j][v][1]) / (total - mass + strength)]
+                cast = {v: [sum(w * n for p, n in seen.items() if p[j] == v for w in ((post[p] if y else 1 - post[p]),)) for y in (1, 0)] for v in "+-"}
+                for v in "+-":
+                    f[v] = [(cast[v][y] + strength[j] * base[j][v][y]) / (cast["+"][y] + cast["-"][y] + strength[j]) for y in (0, 1)]
         out[d] = post
     return out
 
 
-def answer_labels(answers: DataFrame, items: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:
-    """(answer_id, defect, posterior): a row for each label whose posterior exceeds its cutoff; an answer may have several."""
-    spark = answers.sparkSession
+def best_cutoff(posteriors: list[tuple[float, bool]]) -> float:
+    """The cutoff with the best F1 over labelled rows (posterior, has the defect): the middle between the two posteriors that
+    it lies between, the widest such gap where several are as good. 0.5 without a labelled defect."""
+    wanted = sum(y for _, y in posteriors)
+    if not wanted:
+        return 0.5
+    ranked = sorted(posteriors, reverse=True)
+    best, hit = (0.0, 0.0, 0.5), 0
+    for k, (p, y) in enumerate(ranked, 1):
+        hit += y
+        below = ranked[k][0] if k < len(ranked) else 0.0
+        if below < p:
+            best = max(best, (2 * hit / (k + wanted), p - below, (p + below) / 2))
+    return best[2]
+
+
+def vote_patterns(answers: DataFrame, items: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(written rows (answer_id, v) of all answers with a vote for a defect or a tail, counts of all patterns by defect).
+    Votes are counted by defect, so at most 3 to the number of its functions (27 to 243) patterns of each reach the driver."""
     prof = profile(answers, items, True)
     t = tail_scores(prof)
+    e = lambda name: F.substring("e", [n for n, _ in EVIDENCE].index(name) + 1, 1)
     sign = lambda c: F.when(c, "+").otherwise("-")
-    tv = F.concat(sign(F.col("cut")), sign(F.col("cut_word")), F.when(F.col("p_stop").isNull(), "0").otherwise(sign(F.col("context") > 1)), sign(F.col("length_peak") | F.col("gen_peak")), F.when(F.col("flag") == 1, "+").when(F.col("flag") == 0, "-").otherwise("0"))
-    none = "-" * N_TEXT
+    open_ = F.when(e("ends_here") == "n", "0").otherwise(sign(e("ends_here").isin("0", "1")))
+    length = sign((e("length_peak") == "1") | (e("token_peak") == "1"))
+    flag = F.when(e("flag") == "1", "+").when(e("flag") == "0", "-").otherwise("0")
+    tv = F.concat(sign(F.col("cut")), sign(e("cut_word") == "1"), open_, length, flag)
     tails = t.select("answer_id", F.lit(None).cast("string").alias("v"), tv.alias("t"))
     text = prof.where("kind = 'votes'").select("answer_id", F.col("votes").alias("v"), F.lit(None).cast("string").alias("t"))
-    rows = materialize(tails.unionByName(text).groupBy("answer_id").agg(F.coalesce(F.max("v"), F.lit(none)).alias("v"), F.coalesce(F.max("t"), F.lit("-----")).alias("t")))
-    counted = Counter({r.key + "-----": r.n for r in prof.where("kind = 'pattern'").groupBy("key").agg(F.sum("a").alias("n")).collect()})
-    joint = rows.groupBy("v", "t").agg(F.count("*").alias("n")).collect()
-    for r in joint:
-        counted[r.v + "-----"] -= r.n
-        counted[r.v + r.t] += r.n
-    model = fit_label_model({p: n for p, n in counted.items() if n > 0})
+    none = F.concat(F.coalesce(F.max("v"), F.lit("-" * N_TEXT)), F.coalesce(F.max("t"), F.lit("-" * (len(LFS) - N_TEXT))))
+    rows = materialize(tails.unionByName(text).groupBy("answer_id").agg(none.alias("v")))
+    bare = F.lit("-" * (len(LFS) - N_TEXT))
+    # the patterns of the texts count these rows with their text votes alone: taken back, and counted whole
+    moved = rows.select(F.explode(F.array(F.struct("v", F.lit(1).cast("long").alias("n")), F.struct(F.concat(F.substring("v", 1, N_TEXT), bare).alias("v"), F.lit(-1).cast("long").alias("n")))).alias("x")).select("x.*")
+    every = prof.where("kind = 'pattern'").select(F.concat("key", bare).alias("v"), F.col("a").alias("n")).unionByName(moved)
+    counts = every.groupBy("v").agg(F.sum("n").alias("n")).select(F.explode(_by_defect()).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).where("n > 0")
+    return rows, {r.p: r.n for r in counts.collect()}
+
+
+def _by_defect() -> F.Column:
+    """The votes v as one string a defect: its name, a colon, the votes of its functions."""
+    at = {d: [i for i, (x, _) in enumerate(LFS) if x == d] for d in DEFECTS}
+    return F.array(*[F.concat(F.lit(d + ":"), F.substring("v", i[0] + 1, len(i))) for d, i in at.items()])
+
+
+def posteriors(counts: dict[str, int]) -> dict[str, float]:
+    """{defect and votes: posterior} from the counts of vote_patterns()."""
+    out = {}
+    for d in DEFECTS:
+        mine = {p.partition(":")[2]: n for p, n in counts.items() if p.startswith(d + ":")}
+        model = fit_label_model(mine, tuple(f for f in LFS if f[0] == d))[d]
+        out |= {f"{d}:{p}": float(x) for p, x in model.items()}
+    return out
+
+
+def answer_labels(answers: DataFrame, items: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:
+    """(answer_id, defect, posterior): a row for each label whose posterior exceeds its cutoff; an answer may have several."""
+    rows, counts = vote_patterns(answers, items)
     cut = CUTOFFS | (cutoffs or {})
-    found = []
-    for p in {r.v + r.t for r in joint}:
-        for d in DEFECTS:
-            x = model[d].get("".join(p[i] for i, (c, _) in enumerate(LFS) if c == d), 0.0)
-            if x > cut[d]:
-                found.append((p[:N_TEXT], p[N_TEXT:], d, float(x)))
-    labels = spark.createDataFrame(found, "v string, t string, defect string, posterior double")
-    return rows.join(F.broadcast(labels), ["v", "t"]).select("answer_id", "defect", "posterior")
+    found = [(p, p.partition(":")[0], x) for p, x in posteriors(counts).items() if x > cut[p.partition(":")[0]]]
+    labels = rows.sparkSession.createDataFrame(found, "p string, defect string, posterior double")  # at most 351 rows
+    return rows.select("answer_id", F.explode(_by_defect()).alias("p")).join(labels, "p").select("answer_id", "defect", "posterior")
 
 
 def answer_defects(answers: DataFrame, items: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 # Frequent function words by language; a word in several languages counts for each.
 STOPWORDS = {
@@ -19,12 +20,16 @@ LANGS_OF: dict[str, tuple[str, ...]] = {}
 for _lang, _words in STOPWORDS.items():
     for _w in _words.split():
         LANGS_OF[_w] = (*LANGS_OF.get(_w, ()), _lang)
-#: Function words of English and of no other language here.
-EN_ONLY = frozenset(w for w, langs in LANGS_OF.items() if langs == ("en",))
 ANY_STOP = frozenset(LANGS_OF)
+_LANGS = tuple(STOPWORDS)
+_WIDE = 40
+#: A number for each function word with a field of _WIDE bits a language, and one for the word itself: a sum of such numbers
+#: counts the words of all languages at once, up to 2^40 words.
+_ONE_OF = {w: sum(1 << _WIDE * _LANGS.index(x) for x in langs) + (1 << _WIDE * len(_LANGS)) for w, langs in LANGS_OF.items()}
 
 #: Letters that point to one language or script.
 MARKS = {"de": "äöüß", "es": "ñ¿¡áíóú", "fr": "çàâêèîôûœ", "pt": "ãõçêá", "ru": "ыэъщжшцюя"}
+_MARKED = re.compile("[" + "".join(MARKS.values()) + "]")
 
 # Whole answers that stand for nothing, and bare labels, in lower case without marks.
 STAND_INS = frozenset(
@@ -41,10 +46,16 @@ _PIECE = re.compile(_CONTROL.pattern + r"|([^\W_]+)", re.I)
 _MOST = max(len(x.split()) for x in STAND_INS | LABELS)
 
 
+#: So many plain words at the start that no stand-in, label or control token can hold them.
+_PLAIN = re.compile(rf"(?:[^\W_]+ ){{{_MOST + 1}}}")
+
+
 def is_empty_answer(text: str | None) -> bool:
     """No words of its own: missing, blank, marks only, a stand-in for nothing, a bare label or a control token."""
     if text is None:
         return True
+    if _PLAIN.match(text):
+        return False
     w = []
     for m in _PIECE.finditer(text):
         if m[1]:
@@ -58,27 +69,25 @@ def is_empty_answer(text: str | None) -> bool:
 
 def language(tokens: list[str]) -> tuple[str | None, float]:
     """(language, share of its function words among all words that are function words of any), None if unsure."""
-    score: dict[str, float] = {}
-    n = 0
-    for w in tokens:
-        if langs := LANGS_OF.get(w):
-            n += 1
-            for x in langs:
-                score[x] = score.get(x, 0) + 1
+    total = sum(filter(None, map(_ONE_OF.get, tokens)))
+    n = total >> _WIDE * len(_LANGS)
     if n < 2:
         return None, 0.0
-    ranked = sorted(score.items(), key=lambda p: -p[1])
-    if len(ranked) > 1 and ranked[0][1] - ranked[1][1] < 1:
+    counts = [total >> _WIDE * i & (1 << _WIDE) - 1 for i in range(len(_LANGS))]
+    best = max(counts)
+    if counts.count(best) > 1:
         return None, 0.0
-    return ranked[0][0], ranked[0][1] / n
+    return _LANGS[counts.index(best)], best / n
 
 
 def script_language(text: str) -> str | None:
     """Language that the special letters point to, None without any."""
     if text.isascii():
         return None
-    low = text.lower()
-    best = {k: sum(map(low.count, v)) for k, v in MARKS.items()}
+    found = Counter(_MARKED.findall(text.lower()))
+    if not found:
+        return None
+    best = {k: sum(found[x] for x in v) for k, v in MARKS.items()}
     top = max(best, key=best.get)
     return top if best[top] >= 2 else None
 
@@ -92,6 +101,8 @@ REFUSE = re.compile(
 #: Cues that ordinary answers hold as well; with no other cue, a decline needs one of them before a verb of help.
 CAN = frozenset(("cannot", "can't", "can’t", "can not", "won't", "won’t", "cant ", "could not", "will not"))
 CANNOT = re.compile(rf"(?:\bcant|cannot|can['’]t|can not|won['’]t|could not|will not) (?:\w+ )?(?:{_VERB}|be (?:processed|answered|handled|completed|fulfilled|able))")
+#: A search that every text which may decline passes, as one automaton over a column: a cue that is no CAN, or a CANNOT.
+MAY_DECLINE = "(?i)" + "|".join([re.escape(c) for c in CUES if c not in CAN] + [rf"(?:cant|cannot|can['’]t|can not|won['’]t|could not|will not) (?:[\p{{L}}\p{{N}}_]+ )?(?:{_VERB}|be (?:processed|answered|handled|completed|fulfilled|able))"])
 FILLER = re.compile(
     r"^(?:[\W_]*(?:i['’]?m (?:very |so |really )?(?:sorry|afraid)|sorry|my apologies|apologies|unfortunately|with regret|regrettably|thank(?:s| you)[^.!?]{0,24}|hello[^.!?]{0,12}|hi[^.!?]{0,12}|as an? (?:automated|ai|virtual|language)[^.!?]*|please (?:ask|choose|pick|try|understand)[^.!?]*(?:topic|question|something else|understand)[^.!?]*|is there (?:something|anything) else[^.!?]*|(?:i )?(?:do not|don['’]t|have no) (?:have )?(?:any )?(?:personal )?opinions[^.!?]*|i hope you understand[^.!?]*|(?:it|this|that) (?:is|goes) (?:beyond|against|outside)[^.!?]*|let['’]?s talk about[^.!?]*)[\W_]*)$",
 )
