@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,19 @@ def align_violations(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return x.select("key", problem.alias("problem")).where("problem is not null")
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], lid: str, rid: str, per_task: int = 1_000_000) -> DataFrame:
+    """Inner join on ``on`` in which no task forms more than about ``per_task`` pairs of a key: rows of keys with more pairs
+    are dealt, by the hash of their ids, into a grid of cells with at most isqrt(per_task) rows of either side, and each row
+    goes to the cells of its line only. Both sides are counted per key before anything is dealt."""
+    edge = math.isqrt(per_task)
+    n = left.groupBy(*on).agg(F.count("*").alias("_nl")).join(right.groupBy(*on).agg(F.count("*").alias("_nr")), on)
+    lines = lambda c: F.when(F.col("_nl") * F.col("_nr") <= per_task, 1).otherwise(F.ceil(F.col(c) / edge)).cast("int")
+    grid = n.select(*on, lines("_nl").alias("_a"), lines("_nr").alias("_b"))
+    x = left.join(grid, on).withColumn("_i", F.expr(f"pmod(xxhash64({lid}), _a)")).withColumn("_j", F.explode(F.expr("sequence(0L, _b - 1L)"))).drop("_a", "_b")
+    y = right.join(grid, on).withColumn("_j", F.expr(f"pmod(xxhash64({rid}), _b)")).withColumn("_i", F.explode(F.expr("sequence(0L, _a - 1L)"))).drop("_a", "_b")
+    return x.join(y, [*on, "_i", "_j"]).drop("_i", "_j")
+
+
 def screen_by_grams(corpus: DataFrame, key: str, text: Column, held: DataFrame, held_text: Column, n: int = 6) -> DataFrame:
     """JN14, JN15, VA5: (key, n_shared, exact, pass): distinct n-grams a row shares with the held-out texts, and equality
     after normalisation. The corpus side is exploded per row only for rows with a shared gram: held-out grams are joined
