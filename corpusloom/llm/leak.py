@@ -6,9 +6,11 @@ by its *threshold*: the least sum of distinct-word weights over the item's own r
 holds such a run scores at least 1, so "all above threshold" provably holds every true case; verification then compares
 runs of words.
 
-Item ids are cut into blocks of neighbouring ids, and each (word, block) keeps its largest weight. The block bounds are
-summed first; blocks whose bound stays below 1 are never scored (the id-range form of block-max WAND), and of the
-others only the postings in live blocks are read.
+The passages of a text are its stretches of at least ``run`` words that the index knows: an unknown word adds nothing to a
+score and stands in no run. Item ids are cut into blocks of neighbouring ids, and each (word, block) that occurs keeps its
+largest weight. A passage whose words' largest weights stay below 1 together is left at once; then the block bounds are
+summed, blocks whose bound stays below 1 are never scored (the id-range form of block-max WAND), and of the others only the
+postings in live blocks are read. Bounds are stored like postings, so the index grows with its postings alone.
 
 Defined results: null or empty text, or a text under ``run`` words, matches nothing; an item field under ``run`` words
 or null is not indexed; repeated rows each give their rows; no rows give no rows; extra columns are ignored.
@@ -62,17 +64,20 @@ class ItemIndex:
         self.val = np.asarray(vals, np.float64)[order] if rows else np.zeros(0)
         self.ptr = np.searchsorted(np.asarray(rows)[order], np.arange(len(self.vocab) + 1)) if rows else np.zeros(1, int)
         self.n_blocks = -(-n // block) if n else 0
-        self.bound = np.zeros((len(self.vocab), self.n_blocks))
-        for t in range(len(self.vocab)):
-            lo, hi = self.ptr[t], self.ptr[t + 1]
-            np.maximum.at(self.bound[t], self.doc[lo:hi] // block, self.val[lo:hi])
-
-    def above(self, tokens: list[str]) -> list[tuple[int, float]]:
-        """(entry, score) of every indexed entry with a score of at least 1 for a passage."""
-        ids = [i for i in map(self.vocab.get, set(tokens)) if i is not None]
-        if not ids:
+        # postings lie by word and entry, so a word's block is a run of them; bounds are the largest weight of each run
+        word = np.asarray(rows)[order] if rows else np.zeros(0, int)
+        new = np.flatnonzero(np.r_[True, (np.diff(word) != 0) | (np.diff(self.doc // block) != 0)]) if rows else np.zeros(0, int)
+        self.block_of, self.block_max = self.doc[new] // block, np.maximum.reduceat(self.val, new) if rows else np.zeros(0)
+        self.block_ptr = np.searchsorted(word[new], np.arange(len(self.vocab) + 1))
+        self.top = np.maximum.reduceat(self.val, self.ptr[:-1]).tolist() if rows else []
+
+    def above(self, tokens) -> list[tuple[int, float]]:
+        """(entry, score) of every indexed entry with a score of at least 1 for a passage, given as words or word numbers."""
+        ids = [i for i in {self.vocab.get(x) if isinstance(x, str) else x for x in tokens} if i is not None]
+        if not ids or sum(map(self.top.__getitem__, ids)) < 1 - 1e-9:
             return []
-        live = self.bound[ids].sum(0) >= 1 - 1e-9
+        at = [slice(self.block_ptr[t], self.block_ptr[t + 1]) for t in ids]
+        live = np.bincount(np.concatenate([self.block_of[x] for x in at]), np.concatenate([self.block_max[x] for x in at]), self.n_blocks) >= 1 - 1e-9
         if not live.any():
             return []
         doc = np.concatenate([self.doc[self.ptr[t] : self.ptr[t + 1]] for t in ids])
@@ -87,18 +92,21 @@ class ItemIndex:
         """{entry: (best score, runs shared)} of the verified entries of a whole text."""
         w = words(text)
         run, got = self.run, {}
-        if len(w) < run:
-            return got
-        step = window - run + 1
-        for at in range(0, max(1, len(w) - run + 1), step):
-            part = w[at : at + window]
-            cand = self.above(part)
-            if cand:
-                grams = {" ".join(part[i : i + run]) for i in range(len(part) - run + 1)}
-                for d, s in cand:
-                    if hits := grams & self.grams[d]:
-                        best, seen = got.get(d, (0.0, frozenset()))
-                        got[d] = (max(best, s), seen | hits)
+        known = list(map(self.vocab.get, w))
+        ends = [i for i, x in enumerate(known) if x is None] + [len(w)]
+        start = 0
+        for end in ends:
+            for at in range(start, end - run + 1, window - run + 1):
+                last = min(at + window, end)
+                cand = self.above(known[at:last])
+                if cand:
+                    part = w[at:last]
+                    grams = {" ".join(part[i : i + run]) for i in range(len(part) - run + 1)}
+                    for d, s in cand:
+                        if hits := grams & self.grams[d]:
+                            best, seen = got.get(d, (0.0, frozenset()))
+                            got[d] = (max(best, s), seen | hits)
+            start = end + 1
         return got
 
 
@@ -126,8 +134,8 @@ def leaks(
 ) -> DataFrame:
     """(id, item, field, score, n_runs): corpus rows that hold at least ``run`` consecutive words of an item's field.
 
-    One index holds at most ``items_per_index`` items (its size bound for the broadcast); more items are cut into several
-    indexes, and each reads the corpus once."""
+    One index holds at most ``items_per_index`` items (its size bound for the broadcast: about 0.1 GB a worker with two fields
+    of 50 words); more items are cut into several indexes, and each reads the corpus once. The result is the same."""
     spark = corpus.sparkSession
     entries = items.select(F.col(item_col).alias("item"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("t")) for f in fields])).alias("e")).select("item", "e.field", "e.t").where("item is not null and t is not null")
     n = items.count()

@@ -1,14 +1,21 @@
 """Pairs of records with a given word overlap: across splits (problem 4) and in one collection (problem 6).
 
 Both work on distinct word sets: records with the same words form one class, classes are compared, members are joined to
-the verified class pairs at the end. Word sets are arrays of 64-bit word hashes, classes carry a 128-bit digest.
+the verified class pairs at the end. One pass over the texts writes both, members and classes; copies are dropped inside each
+task before anything is shuffled. Word sets are arrays of 64-bit word hashes, classes carry a 128-bit digest, blocks its
+first 64 bits (classes that share them are candidates more, as candidates meet every class with that number).
+
+Blocks are shuffled once, by code, and read in runs of one code; runs of more than 1,000 rows are left to a join in cells of
+bounded size. Candidates are thinned by small columns, survivors verified by their words.
 
 Problem 4, segmented code blocks of a similarity hash. The fingerprint of a class has a bit per bucket, the parity of the
 words hashed into it, so each differing word flips at most one bit and the Hamming distance never exceeds the number of
 differing words (the sign-projection kind has no such bound). An overlap of at least t between sets of a and b words
 leaves at most (1-t)/(1+t) (a+b) differing words. Classes meet by *levels* of set size; a level that allows d differing
 words cuts the words into d+2 segments, of which two must agree. Blocks are pairs of segments, joined across splits;
-fingerprints within the Hamming radius are verified by their words. No pair is lost.
+fingerprints within the Hamming radius are verified by their words. No pair is lost. As the pairs of segments grow with the
+square of d, levels with more than SEGMENTS of them use LONG_BANDS bands of LONG_ROWS minimum hashes instead (at overlap
+0.85 a pair is missed with probability 4e-6), so a text of any length has a bounded number of codes.
 
 Problem 6, pivot distance tables. Blocks come from bands of minimum hashes. Each class carries the Hamming distances of its
 parity fingerprint to 16 reference fingerprints; as distances to a reference differ by at most the Hamming distance, pairs
@@ -32,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import components
+from corpusloom.operators.joins import salted_join
 from corpusloom.session import materialize, spread
 
 _WORD = re.compile(r"[^\W_]+")
@@ -46,29 +54,44 @@ class _Hash(dict):
         return got
 
 
-def word_sets(df: DataFrame) -> DataFrame:
-    """df(id, t, ...) -> (id, ..., k, n, h): class digest, number of distinct words, their hashes. Wordless rows are left out."""
+def word_sets(df: DataFrame, side: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """df(id, t, ...) -> (members (id, ..., k), classes (k, r, n, h[, side])): the class digest of each record, and of the
+    classes their digest, its number r, the number of distinct words and their hashes. A class has a row per task and side
+    that has it. The k of a wordless row is null. ``side`` names a boolean column of df."""
     keep = [c for c in df.columns if c != "t"]
-    at = df.columns.index("t")
     kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes if c != "t")
+    at, at_side = df.columns.index("t"), df.columns.index(side) if side else None
+    names = [*keep, "k", "r", "n", "h"]
 
     def run(batches):
-        hashed = _Hash()
+        hashed, seen = _Hash(), set()
         for b in batches:
-            k, n, h, ok = [], [], [], []
-            for i, t in enumerate(b.column(at).to_pylist()):
+            sides = b.column(at_side).to_pylist() if side else [None] * b.num_rows
+            k, ck, cn, ch, cs = [], [], [], [], []
+            for t, s in zip(b.column(at).to_pylist(), sides):
+                k.append(None)
                 if t and (w := set(_WORD.findall(t.lower()))):
                     x = np.sort(np.fromiter((hashed[y] for y in w), np.uint64, len(w)))
-                    ok.append(i)
-                    k.append(xxhash.xxh3_128_digest(x.tobytes()))
-                    n.append(len(x))
-                    h.append(x)
-            rest = b.select(keep).take(pa.array(ok, pa.int64()))
-            flat = np.concatenate(h).view(np.int64) if h else np.zeros(0, np.int64)
-            arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(k, pa.binary()), pa.array(n, pa.int32()), arrays], names=[*keep, "k", "n", "h"])
-
-    return spread(df).mapInArrow(run, f"{kinds}, k binary, n int, h array<bigint>")
+                    digest = xxhash.xxh3_128_digest(x.tobytes())
+                    k[-1] = digest
+                    if (digest, s) not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add((digest, s))
+                        ck.append(digest)
+                        cn.append(len(x))
+                        ch.append(x)
+                        cs.append(s)
+            none = lambda t: pa.nulls(len(k), t)  # noqa: B023,E731
+            yield pa.RecordBatch.from_arrays([*b.select(keep).columns, pa.array(k, pa.binary()), none(pa.int64()), none(pa.int32()), none(pa.list_(pa.int64()))], names=names)
+            flat = np.concatenate(ch).view(np.int64) if ch else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cn)]).astype(np.int32)), pa.array(flat))
+            head = [pa.array(cs, pa.bool_()) if c == side else pa.nulls(len(ck), b.schema.field(c).type) for c in keep]
+            short = np.frombuffer(b"".join(x[:8] for x in ck), np.int64)
+            yield pa.RecordBatch.from_arrays([*head, pa.array(ck, pa.binary()), pa.array(short), pa.array(cn, pa.int32()), lists], names=names)
+
+    got = materialize(spread(df).mapInArrow(run, f"{kinds}, k binary, r long, n int, h array<bigint>"))
+    return got.where("r is null").select(*keep, "k"), got.where("r is not null").select("k", "r", "n", "h", *([side] if side else []))
 
 
 @functools.cache
@@ -104,9 +127,13 @@ def parity_sketch(h: np.ndarray, bits: int) -> np.ndarray:
     return (np.bincount((_mix(h * _C[1]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
 
 
+#: Most segments of a level; bands and rows of the levels beyond it.
+SEGMENTS, LONG_BANDS, LONG_ROWS = 32, 60, 10
+
+
 def block_codes(h: np.ndarray, t: float) -> np.ndarray:
     """Codes of all blocks of a set of word hashes (uint64)."""
-    n, out = len(h), []
+    n, out, long = len(h), [], False
     least = math.ceil(t * n - EPS)
     for lo, hi, d in levels(t, 1 << max(4, n.bit_length())):
         if hi < least or d == 0:
@@ -114,59 +141,138 @@ def block_codes(h: np.ndarray, t: float) -> np.ndarray:
         if lo > n:
             break
         m = d + 2
+        if m > SEGMENTS:
+            long = True
+            continue
         seg = np.zeros(m, np.uint64)
         np.bitwise_xor.at(seg, (_mix(h + np.uint64(lo * int(_C[0]) & (1 << 64) - 1)) % np.uint64(m)).astype(np.int64), h)
         i, j = _two_of(m)
         out.append(_mix(_mix(seg[i] * _C[0] + i.astype(np.uint64) * _C[1]) + seg[j] * _C[2] + j.astype(np.uint64) * _C[3] + np.uint64(lo)))
+    if long:
+        out.append(_mix(band_codes(h, LONG_BANDS, LONG_ROWS)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _short(k: pa.Array) -> pa.Array:
-    """The first 8 bytes of each digest as a number: blocks carry it instead of the digest. Classes that share it are only
-    candidates more, as candidates are joined back to every class with that number and verified by their words."""
-    return pa.array(np.frombuffer(b"".join(x[:8] for x in k.to_pylist()), np.int64))
-
-
-def _short_column(k: str) -> F.Column:
-    """_short() as an expression: the bytes are little-endian, two halves keep the number within a long."""
-    part = lambda i: F.conv(F.concat(*[F.hex(F.substring(k, i + j, 1)) for j in (3, 2, 1, 0)]), 16, 10).cast("long")
-    return F.shiftleft(part(5), 32).bitwiseOR(part(1))
-
-
-def _blocks_of_segments(reps: DataFrame, t: float) -> DataFrame:
-    """(code, r, n, fp, train, held)."""
+def _blocks(classes: DataFrame, codes, side: str | None = None, most: int = 2_000_000) -> DataFrame:
+    """(code, r[, side]) of classes; codes: word hashes to codes. Batches are cut at ``most`` codes."""
 
     def run(batches):
         for b in batches:
             hs = b.column("h")
             flat, off = hs.flatten().to_numpy().view(np.uint64), hs.offsets.to_numpy() - hs.offsets[0].as_py()
-            codes, count, fp = [], [], []
+            made, n, first = [], 0, 0
             for i in range(b.num_rows):
-                h = flat[off[i] : off[i + 1]]
-                c = block_codes(h, t)
-                codes.append(c)
-                count.append(len(c))
-                fp.append(int(np.packbits(parity_sketch(h, 64)).view(np.uint64)[0]))
-            at = pa.array(np.repeat(np.arange(b.num_rows), count))
-            cols = [pa.array(np.concatenate(codes).view(np.int64) if codes else np.zeros(0, np.int64))]
-            cols += [_short(b.column("k")).take(at), b.column("n").take(at), pa.array(np.array(fp, np.uint64).view(np.int64)).take(at), b.column("train").take(at), b.column("held").take(at)]
-            yield pa.RecordBatch.from_arrays(cols, names=["code", "r", "n", "fp", "train", "held"])
-
-    return reps.select("k", "n", "h", "train", "held").mapInArrow(run, "code long, r long, n int, fp long, train boolean, held boolean")
-
-
-def _verified(cand: DataFrame, reps: DataFrame, t: float, cross: bool = False) -> DataFrame:
-    """Distinct class pairs (a, b) of candidates (ra, rb) whose word sets have an overlap of at least t. With ``cross`` a is
-    a class with train rows, b one with held-out rows."""
-    r = reps.withColumn("r", _short_column("k"))
-    one = (r.where("train") if cross else r).select(F.col("r").alias("ra"), F.col("k").alias("a"), F.col("h").alias("ha"))
-    two = (r.where("held") if cross else r).select(F.col("r").alias("rb"), F.col("k").alias("b"), F.col("h").alias("hb"))
-    x = cand.join(one, "ra").join(two, "rb").where("a <> b")
+                made.append(codes(flat[off[i] : off[i + 1]]))
+                n += len(made[-1])
+                if n > most or i == b.num_rows - 1:
+                    at = pa.array(np.repeat(np.arange(first, i + 1), [len(c) for c in made]))
+                    cols = [pa.array(np.concatenate(made).view(np.int64)), b.column("r").take(at)]
+                    yield pa.RecordBatch.from_arrays(cols + ([b.column(side).take(at)] if side else []), names=["code", "r", *([side] if side else [])])
+                    made, n, first = [], 0, i + 1
+
+    return classes.select("r", "h", *([side] if side else [])).mapInArrow(run, "code long, r long" + (f", {side} boolean" if side else ""))
+
+
+_EMITTED = pa.schema([("code", pa.int64()), ("ra", pa.int64()), ("rb", pa.int64()), ("side", pa.bool_())])
+
+
+def _runs(batches, sided: bool, longest: int):
+    """From rows (code, r[, side]) in the order of code and r: the pairs (ra, rb) of each run of one code, and, with the code,
+    the rows of runs with more than ``longest`` rows, which are joined elsewhere. A run may lie in several batches."""
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+    hot = None  # the code whose rows are passed on, as its run is too long
+
+    def emit(code, ra, rb, side):
+        none = lambda t: pa.nulls(len(ra), t)
+        return pa.RecordBatch.from_arrays([none(pa.int64()) if code is None else pa.array(code), pa.array(ra), none(pa.int64()) if rb is None else pa.array(rb), none(pa.bool_()) if side is None else pa.array(side)], schema=_EMITTED)
+
+    def work(code, r, side):
+        new = np.r_[True, (code[1:] != code[:-1]) | (r[1:] != r[:-1]) | (side[1:] != side[:-1])]
+        code, r, side = code[new], r[new], side[new]
+        start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        size = np.diff(np.r_[start, len(code)])
+        keep = size > 1
+        if sided:
+            n = np.add.reduceat(side.astype(np.int64), start)
+            keep &= (n > 0) & (n < size)
+        wide = np.repeat(size > longest, size)
+        if (wide & np.repeat(keep, size)).any():
+            w = wide & np.repeat(keep, size)
+            yield emit(code[w], r[w], None, side[w])
+        ok = np.repeat(keep, size) & ~wide
+        code, r, side = code[ok], r[ok], side[ok]
+        at, step = np.arange(len(code)), 1
+        while len(at := at[at + step < len(code)]) and len(at := at[code[at] == code[at + step]]):
+            x, y = at, at + step
+            if sided:
+                cross = (side[x] != side[y]) & (r[x] != r[y])
+                x, y = np.where(side[x], x, y)[cross], np.where(side[x], y, x)[cross]
+            else:
+                x, y = x[r[x] != r[y]], y[r[x] != r[y]]
+            if len(x):
+                yield emit(None, r[x], r[y], None)
+            step += 1
+
+    for b in batches:
+        cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(bool) if sided else np.zeros(b.num_rows, bool)]
+        if hot is not None:
+            n = int(np.searchsorted(cols[0] != hot, True)) if (cols[0] != hot).any() else b.num_rows
+            if n:
+                yield emit(cols[0][:n], cols[1][:n], None, cols[2][:n])
+                cols = [c[n:] for c in cols]
+            if not len(cols[0]):
+                continue
+            hot = None
+        held = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+        if not len(held[0]):
+            continue
+        cut = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on
+        if cut:
+            yield from work(*[x[:cut] for x in held])
+            held = [x[cut:] for x in held]
+        if len(held[0]) > longest:
+            hot = int(held[0][0])
+            yield emit(held[0], held[1], None, held[2])
+            held = [x[:0] for x in held]
+    if len(held[0]):
+        yield from work(*held)
+
+
+def _met(blocks: DataFrame, side: str | None = None, longest: int = 1000, per_task: int = 1_000_000) -> DataFrame:
+    """Written distinct pairs (ra, rb) of numbers that share a code: ra < rb, or with ``side`` ra of true and rb of false
+    rows. Blocks are shuffled once, by their code, and each code's rows are read in one run; the rows of codes with more than
+    ``longest`` rows are joined in cells of bounded size."""
+    x = blocks.repartition("code").sortWithinPartitions("code", "r")
+    got = materialize(x.mapInArrow(lambda batches: _runs(batches, side is not None, longest), "code long, ra long, rb long, side boolean").distinct())
+    hot = got.where("rb is null")
+    one, two = hot.where("side") if side else hot, hot.where("not side") if side else hot
+    many = salted_join(one.select("code", "ra"), two.select("code", F.col("ra").alias("rb")), ["code"], "ra", "rb", per_task).where("ra <> rb" if side else "ra < rb")
+    return materialize(got.where("rb is not null").select("ra", "rb").unionByName(many.select("ra", "rb")).distinct())
+
+
+def _needed(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """Written (k, r, n, h), one row per class, of the classes among the candidates."""
+    ids = met.select(F.explode(F.array("ra", "rb")).alias("r")).distinct()
+    return materialize(classes.select("k", "r", "n", "h").join(ids, "r", "left_semi").dropDuplicates(["k"]))
+
+
+def _verified(met: DataFrame, small: DataFrame, near, needed: DataFrame, t: float) -> DataFrame:
+    """Distinct class pairs (a, b) of candidates (ra, rb) whose word sets have an overlap of at least t. small: (k, r, n, ...)
+    of the candidates, near: the condition on two rows x, y of it that thins them."""
+    x = met.join(small.select(F.col("r").alias("ra"), F.struct(*[c for c in small.columns if c != "r"]).alias("x")), "ra")
+    x = x.join(small.select(F.col("r").alias("rb"), F.struct(*[c for c in small.columns if c != "r"]).alias("y")), "rb")
+    x = x.where("x.k <> y.k").where(near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    x = x.join(needed.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(needed.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
     x = x.select("a", "b", both.alias("i"), (F.size("ha") + F.size("hb") - both).alias("u"))
     return x.where(F.col("i") >= t * F.col("u") - EPS).select("a", "b")
 
 
+def _allowed(t: float) -> F.Column:
+    """How many words the sets of x and y may differ in."""
+    return F.floor((F.col("x.n") + F.col("y.n")) * ((1 - t) / (1 + t)) + EPS)
+
+
 def group_number(c) -> F.Column:
     """The number in a group label, however it is written; null without one."""
     digits = F.regexp_replace(F.translate(c.cast("string"), "０１２３４５６７８９", "0123456789"), "[^0-9]", "")
@@ -183,41 +289,68 @@ def _ordered(x: DataFrame, a: str = "ia", b: str = "ib") -> DataFrame:
     return x.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))
 
 
-def split_overlaps(df: DataFrame, t: float = 0.85, pairs_per_task: int = 1_000_000) -> DataFrame:
-    """(id_a, id_b): one record in train, one in val or test, of one group or with instructions of overlap at least t.
+def _with_prints(needed: DataFrame) -> DataFrame:
+    """(k, r, n, fp): 64-bit fingerprints."""
+
+    def run(batches):
+        for b in batches:
+            hs = b.column("h")
+            flat, off = hs.flatten().to_numpy().view(np.uint64), hs.offsets.to_numpy() - hs.offsets[0].as_py()
+            fp = np.array([np.packbits(parity_sketch(flat[off[i] : off[i + 1]], 64)).view(np.uint64)[0] for i in range(b.num_rows)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("r"), b.column("n"), pa.array(fp.view(np.int64))], names=["k", "r", "n", "fp"])
+
+    return needed.select("k", "r", "n", "h").mapInArrow(run, "k binary, r long, n int, fp long")
+
 
-    A group's pairs are its train rows times its held-out rows; groups with more than ``pairs_per_task`` pairs are salted:
-    their train rows are dealt to as many parts as that takes and the held-out rows go to each part."""
+def _across(df: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """(records (id, g, train, k), written class pairs (a, b): a has train rows, b held-out rows, their words overlap). A class
+    with rows on both sides pairs with itself; k is null without words."""
     src = df.select(F.col("id").cast("string").alias("id"), group_number(F.col("group_id")).alias("g"), split_name(F.col("split")).alias("s"), F.col("instruction").cast("string").alias("t"))
     src = src.where("id is not null and s is not null").select("id", "g", (F.col("s") == "train").alias("train"), "t")
-    recs = materialize(word_sets(src))
-    reps = recs.groupBy("k").agg(F.first("n").alias("n"), F.first("h").alias("h"), F.max("train").alias("train"), F.max(~F.col("train")).alias("held"))
-    reps = materialize(reps)
-    blocks = _blocks_of_segments(reps, t)
-    left, right = blocks.where("train").alias("x"), blocks.where("held").alias("y")
-    allowed = F.floor((F.col("x.n") + F.col("y.n")) * ((1 - t) / (1 + t)) + EPS)
-    near = (F.col("x.code") == F.col("y.code")) & (F.col("x.r") != F.col("y.r")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= allowed)
-    cand = left.join(right, near).select(F.col("x.r").alias("ra"), F.col("y.r").alias("rb")).distinct()
-    same = reps.where("train and held").select(F.col("k").alias("a"), F.col("k").alias("b"))
-    classes = _verified(cand, reps, t, cross=True).unionByName(same)
-    tr = recs.where("train").select(F.col("k").alias("a"), F.col("id").alias("ia"), F.col("g").alias("ga"))
-    he = recs.where("not train").select(F.col("k").alias("b"), F.col("id").alias("ib"), F.col("g").alias("gb"))
-    alike = classes.join(tr, "a").join(he, "b").where("ga is null or gb is null or ga <> gb")
-
-    grouped = src.where("g is not null").select("id", "g", "train")
-    size = grouped.groupBy("g").agg(F.sum(F.col("train").cast("long")).alias("nt"), F.sum((~F.col("train")).cast("long")).alias("nh"))
-    hot = size.where((F.col("nt") > 0) & (F.col("nh") > 0)).select("g", F.ceil(F.col("nt") * F.col("nh") / pairs_per_task).cast("int").alias("parts"))
-    sized = grouped.join(hot, "g")
-    deal = sized.where("train").select("g", F.expr("pmod(hash(id), parts)").alias("part"), F.col("id").alias("ia"))
-    copy = sized.where("not train").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("ib"))
-    grouped_pairs = deal.join(copy, ["g", "part"])
-    return _ordered(alike).unionByName(_ordered(grouped_pairs))
-
-
-def overlap_report(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    members, classes = word_sets(src, "train")
+    met = _met(_blocks(classes, lambda h: block_codes(h, t), "train"), "train")
+    needed = _needed(met, classes)
+    alike = _verified(met, _with_prints(needed), F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= _allowed(t), needed, t)
+    sides = members.where("k is not null").groupBy("k").agg(F.max("train").alias("tr"), F.max(~F.col("train")).alias("he"))
+    return members, materialize(alike.unionByName(sides.where("tr and he").select(F.col("k").alias("a"), F.col("k").alias("b"))))
+
+
+def split_overlaps(df: DataFrame, t: float = 0.85, per_task: int = 1_000_000) -> DataFrame:
+    """(id_a, id_b): one record in train, one in val or test, of one group or with instructions of overlap at least t. The
+    pairs are the result asked for; overlap_links() has the bounded form."""
+    members, classes = _across(df, t)
+    worded, grouped = members.where("k is not null"), members.where("g is not null")
+    tr = worded.where("train").select(F.col("k").alias("a"), F.col("id").alias("ia"), F.col("g").alias("ga"))
+    he = worded.where("not train").select(F.col("k").alias("b"), F.col("id").alias("ib"), F.col("g").alias("gb"))
+    alike = salted_join(salted_join(classes, tr, ["a"], "b", "ia", per_task), he, ["b"], "ia", "ib", per_task).where("ga is null or gb is null or ga <> gb")
+    same = salted_join(grouped.where("train").select("g", F.col("id").alias("ia")), grouped.where("not train").select("g", F.col("id").alias("ib")), ["g"], "ia", "ib", per_task)
+    return _ordered(alike).unionByName(_ordered(same))
+
+
+def overlap_links(df: DataFrame, t: float = 0.85) -> DataFrame:
+    """(id, train, class_id, n_links): one row per record with a group or words; class_id is the smallest id with the same
+    words, n_links the number of records on the other side in its group or with an overlapping instruction. Counted by class
+    and group, so no pair of records is formed: those of the group, and of the classes alike, less those that are both."""
+    members, classes = _across(df, t)
+    worded = members.where("k is not null")
+    least = worded.groupBy("k").agg(F.min("id").alias("class_id"))
+    by_class = worded.groupBy("k", "train").agg(F.count("*").alias("n"))
+    by_both = worded.where("g is not null").groupBy("k", "g", "train").agg(F.count("*").alias("n"))
+    by_group = members.where("g is not null").groupBy("g", "train").agg(F.count("*").alias("n"))
+    both = classes.select(F.col("a").alias("k"), F.col("b").alias("o"), F.lit(True).alias("train")).unionByName(classes.select(F.col("b").alias("k"), F.col("a").alias("o"), F.lit(False).alias("train")))
+    other = lambda x: x.withColumn("train", ~F.col("train"))
+    alike = both.join(other(by_class).withColumnRenamed("k", "o"), ["o", "train"]).groupBy("k", "train").agg(F.sum("n").alias("n1"))
+    twice = both.join(other(by_both).withColumnRenamed("k", "o"), ["o", "train"]).groupBy("k", "g", "train").agg(F.sum("n").alias("n2"))
+    x = members.where("g is not null or k is not null").join(least, "k", "left")
+    x = x.join(alike, ["k", "train"], "left").join(twice, ["k", "g", "train"], "left").join(other(by_group).withColumnRenamed("n", "n3"), ["g", "train"], "left")
+    n = F.coalesce("n1", F.lit(0)) - F.coalesce("n2", F.lit(0)) + F.coalesce("n3", F.lit(0))
+    return x.select("id", "train", F.coalesce("class_id", "id").alias("class_id"), n.cast("long").alias("n_links"))
+
+
+def overlap_report(df: DataFrame, links: DataFrame) -> DataFrame:
     """(split, target_source, n_records, n_pairs): held-out records that overlap with train, and their pairs."""
     meta = df.select(F.col("id").cast("string").alias("id"), split_name(F.col("split")).alias("split"), "target_source").where("split in ('val', 'test')").dropDuplicates(["id"])
-    held = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    held = links.where("not train and n_links > 0").groupBy("id").agg(F.sum("n_links").alias("n"))
     return held.join(meta, "id").groupBy("split", "target_source").agg(F.count("*").alias("n_records"), F.sum("n").alias("n_pairs"))
 
 
@@ -227,48 +360,42 @@ BANDS, ROWS, PIVOTS, SKETCH = 80, 8, 16, 1024
 
 
 @functools.cache
-def _permutations():
+def _permutations(n: int):
     rng = np.random.default_rng(20)
-    return rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+    return rng.integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
 
 
-def band_codes(h: np.ndarray) -> np.ndarray:
+def band_codes(h: np.ndarray, bands: int = BANDS, per: int = ROWS) -> np.ndarray:
     """A code per band of minimum hashes."""
-    a, b = _permutations()
+    a, b = _permutations(bands * per)
     x = (_mix(h) >> np.uint64(32)).astype(np.uint32)
     low = (x[:, None] * a + b).min(0) if len(x) <= 4096 else np.min([(part[:, None] * a + b).min(0) for part in np.array_split(x, len(x) // 4096 + 1)], axis=0)
-    rows = low.reshape(BANDS, ROWS).astype(np.uint64)
-    code = np.arange(BANDS, dtype=np.uint64) * _C[1]
-    for j in range(ROWS):
+    rows = low.reshape(bands, per).astype(np.uint64)
+    code = np.arange(bands, dtype=np.uint64) * _C[1]
+    for j in range(per):
         code = _mix(code * _C[0] + rows[:, j])
     return code
 
 
-def _blocks_of_bands(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(code, r, n, d): d are the distances to the reference fingerprints, capped to 16 bits."""
+def _with_distances(needed: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(k, r, n, d): d are the distances to the reference fingerprints."""
 
     def run(batches):
         for b in batches:
             hs = b.column("h")
             flat, off = hs.flatten().to_numpy().view(np.uint64), hs.offsets.to_numpy() - hs.offsets[0].as_py()
-            codes, dist = [], []
-            for i in range(b.num_rows):
-                h = flat[off[i] : off[i + 1]]
-                codes.append(band_codes(h))
-                dist.append((parity_sketch(h, SKETCH) ^ pivots).sum(1, dtype=np.int16))
-            at = pa.array(np.repeat(np.arange(b.num_rows), BANDS))
-            packed = np.array(dist, np.int16).reshape(-1, 4).view(np.int64).reshape(-1, PIVOTS // 4) if dist else np.zeros((0, PIVOTS // 4), np.int64)
-            cols = [pa.array(np.concatenate(codes).view(np.int64) if codes else np.zeros(0, np.int64)), _short(b.column("k")).take(at), b.column("n").take(at)]
-            cols += [pa.array(packed[:, j].copy()).take(at) for j in range(PIVOTS // 4)]
-            yield pa.RecordBatch.from_arrays(cols, names=["code", "r", "n", *(f"d{j}" for j in range(PIVOTS // 4))])
+            dist = [(parity_sketch(flat[off[i] : off[i + 1]], SKETCH) ^ pivots).sum(1, dtype=np.int16) for i in range(b.num_rows)]
+            d = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(dist) if dist else np.zeros(0, np.int16)), PIVOTS).cast(pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("r"), b.column("n"), d], names=["k", "r", "n", "d"])
 
-    return reps.select("k", "n", "h").mapInArrow(run, "code long, r long, n int, " + ", ".join(f"d{j} long" for j in range(PIVOTS // 4)))
+    return needed.select("k", "r", "n", "h").mapInArrow(run, "k binary, r long, n int, d array<smallint>")
 
 
-def _reference_fingerprints(reps: DataFrame) -> np.ndarray:
+def _reference_fingerprints(classes: DataFrame) -> np.ndarray:
     """Sketches of PIVOTS classes with the smallest digests: a bounded choice that depends on no order of rows."""
-    rows = reps.select("k", "h").orderBy("k").limit(PIVOTS).collect()
-    got = [parity_sketch(np.array(r.h, np.int64).view(np.uint64), SKETCH) for r in rows]
+    least = classes.select("k").distinct().orderBy("k").limit(PIVOTS).collect()
+    rows = classes.where(F.col("k").isin([bytes(r.k) for r in least])).dropDuplicates(["k"]).select("k", "h").collect() if least else []
+    got = [parity_sketch(np.array(r.h, np.int64).view(np.uint64), SKETCH) for r in sorted(rows, key=lambda r: bytes(r.k))]
     got += [np.zeros(SKETCH, np.uint8)] * (PIVOTS - len(got))
     return np.array(got)
 
@@ -276,15 +403,13 @@ def _reference_fingerprints(reps: DataFrame) -> np.ndarray:
 def near_classes(df: DataFrame, id_col: str, text, t: float) -> tuple[DataFrame, DataFrame]:
     """(records (id, k), verified pairs (a, b) of different classes)."""
     src = df.select(F.col(id_col).cast("string").alias("id"), text.alias("t")).where("id is not null")
-    recs = materialize(word_sets(src))
-    reps = materialize(recs.groupBy("k").agg(F.first("n").alias("n"), F.first("h").alias("h")))
-    blocks = _blocks_of_bands(reps, _reference_fingerprints(reps))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    allowed = F.floor((F.col("x.n") + F.col("y.n")) * ((1 - t) / (1 + t)) + EPS)
-    within = " and ".join(f"abs(shiftright(shiftleft(x.d{j}, {48 - 16 * s}), 48) - shiftright(shiftleft(y.d{j}, {48 - 16 * s}), 48)) <= bound" for j in range(PIVOTS // 4) for s in range(4))
-    met = x.join(y, F.expr("x.code = y.code and x.r < y.r"))
-    met = met.withColumn("bound", allowed).where(F.expr(within)).select(F.col("x.r").alias("ra"), F.col("y.r").alias("rb")).distinct()
-    return recs.select("id", "k"), materialize(_verified(met, reps, t))
+    members, classes = word_sets(src)
+    members = members.where("k is not null")
+    met = _met(_blocks(classes, band_codes))
+    needed = _needed(met, classes)
+    bound = _allowed(t)
+    close = F.forall(F.zip_with("x.d", "y.d", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), lambda z: z <= bound)
+    return members, materialize(_verified(met, _with_distances(needed, _reference_fingerprints(needed)), close, needed, t))
 
 
 def both_texts() -> F.Column:
@@ -296,8 +421,8 @@ def near_duplicate_pairs(df: DataFrame, t: float = 0.75) -> DataFrame:
     """(id_a, id_b): all pairs of records whose instruction and response together have an overlap of at least t."""
     recs, pairs = near_classes(df, "id", both_texts(), t)
     a, b = recs.select(F.col("k").alias("a"), F.col("id").alias("ia")), recs.select(F.col("k").alias("b"), F.col("id").alias("ib"))
-    across = pairs.join(a, "a").join(b, "b")
-    inside = a.join(b, F.expr("a = b and ia < ib"))
+    across = salted_join(salted_join(pairs, a, ["a"], "b", "ia"), b, ["b"], "ia", "ib")
+    inside = salted_join(a.withColumnRenamed("a", "k"), b.withColumnRenamed("b", "k"), ["k"], "ia", "ib").where("ia < ib")
     return _ordered(across).unionByName(_ordered(inside))
 
 

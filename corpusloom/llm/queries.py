@@ -63,7 +63,11 @@ def p4_found(spark, d):
 
 def p4_report(spark, d):
     t = table(spark, d, "augmentation_context")
-    return pairs.overlap_report(t, pairs.split_overlaps(t))
+    return pairs.overlap_report(t, pairs.overlap_links(t))
+
+
+def p4_links(spark, d):
+    return pairs.overlap_links(table(spark, d, "augmentation_context"))
 
 
 def p5_found(spark, d):
@@ -97,7 +101,7 @@ def p8_shares(spark, d):
 
 
 _ALL = (
-    p1_found, p1_labels, p2_found, p2_passages, p3_found, p3_rates, p4_found, p4_report, p5_found, p5_assigned, p5_balance,
+    p1_found, p1_labels, p2_found, p2_passages, p3_found, p3_rates, p4_found, p4_report, p4_links, p5_found, p5_assigned, p5_balance,
     p6_found, p6_groups, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_unified, p9_classes,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -1,13 +1,15 @@
 """Template residue and error-page text (problem 2): positive-unlabelled naive Bayes by expectation-maximization.
 
 Texts are cut into passages: each slot (a name between slot marks) with its neighbours, and each sentence or line of the
-rest. Passages that hold unmistakable residue are *trusted*; all others are unlabelled. The distinct masked passages of
-the whole corpus with their counts are written once; expectation-maximization re-weights the unlabelled ones against a
-naive Bayes model over hashed features (words, word pairs, slot names, slot styles) until the posteriors settle. The model
-is a vector of fixed size, so texts are then scored where they lie, and a record is residue if one of its passages is.
+rest. Passages that hold unmistakable residue are *trusted*: they seed the positive class and decide nothing else; all others
+are unlabelled. One pass over the texts writes the masked passages of each text and, counted inside each task, the distinct
+ones of the corpus. The hashed features of the distinct passages (words, word pairs; names, words, styles and unmistakable
+marks of slots) are written once; expectation-maximization re-weights the unlabelled passages until the posteriors settle.
+The model is a vector of fixed size. It scores every passage, trusted or not, and a record is residue if one of its passages
+has positive log odds.
 
 Defined results: null and empty texts have no passages and are no case; a record is listed once, copies under other ids
-too; no rows give no rows; extra columns are ignored; texts of any length are read whole.
+too; no rows give no rows; extra columns are ignored; texts and slot names of any length and script are read whole.
 """
 
 from __future__ import annotations
@@ -19,25 +21,27 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import materialize, release, spread
 
 BITS = 17
-_NAME = r"[A-Za-z][\w .\-]{0,40}?"
+#: A slot name: a letter of any script first, then words; it ends at the next mark, so no length limit is needed.
+_NAME = r"[^\W\d_][\w .\-'’/]*?"
 #: (kind, pattern); kinds in capitals are unmistakable slots.
 SLOTS = (
     ("BRACE2", rf"\{{\{{\s*({_NAME})\s*\}}\}}"), ("BRACKET2", rf"\[\[\s*({_NAME})\s*\]\]"), ("ANGLE2", rf"<<\s*({_NAME})\s*>>"),
-    ("AT2", rf"@@\s*({_NAME})\s*@@"), ("UNDER2", r"__([A-Z][A-Z_ ]{1,40}?)__"), ("DOLLAR", rf"\$\{{\s*({_NAME})\s*\}}"),
-    ("BLOCK", r"\{%-?\s*(?:if|elif|for|include|block|set|else|end\w*)?\s*([\w .\-]{0,40}?)\s*-?%\}"), ("PERCENT", r"%([A-Z][A-Z_]{2,40})%"),
-    ("INSERT", r"<\s*(?:insert|your|enter|add)\s+([\w .\-]{2,40}?)(?:\s+here)?\s*/?>"), ("YOURS", r"\[\s*(?:your|insert|enter|add)\s+([\w .\-]{2,40}?)(?:\s+here)?\s*\]"),
-    ("TAG", r"<([A-Z][A-Z_]{2,40})\s*/>"), ("HASH", r"#([A-Z][A-Z_]{2,40})#"),
+    ("AT2", rf"@@\s*({_NAME})\s*@@"), ("UNDER2", r"__([A-Z][A-Z_ ]+?)__"), ("DOLLAR", rf"\$\{{\s*({_NAME})\s*\}}"),
+    ("BLOCK", r"\{%-?\s*(?:if|elif|for|include|block|set|else|end\w*)?\s*([\w .\-]*?)\s*-?%\}"), ("PERCENT", r"%([A-Z][A-Z_]{2,})%"),
+    ("INSERT", r"<\s*(?:insert|your|enter|add)\s+([\w .\-]{2,}?)(?:\s+here)?\s*/?>"), ("YOURS", r"\[\s*(?:your|insert|enter|add)\s+([\w .\-]{2,}?)(?:\s+here)?\s*\]"),
+    ("TAG", r"<([A-Z][A-Z_]{2,})\s*/>"), ("HASH", r"#([A-Z][A-Z_]{2,})#"),
     ("brace", rf"\{{({_NAME})\}}"), ("bracket", rf"\[({_NAME})\]"), ("angle", rf"<({_NAME})>"),
 )
 _SLOT = re.compile("|".join(p for _, p in SLOTS), re.I)
 _SLOT_EXACT = [(k, re.compile(p if k in ("UNDER2", "PERCENT", "TAG", "HASH") else "(?i:" + p + ")")) for k, p in SLOTS]
-_MAYBE = re.compile(r"[{\[<]|@@|__|%[A-Z]|#[A-Z]")
+_MAYBE = r"[{\[<]|@@|__|%[A-Za-z]|#[A-Za-z]"
 
 #: Unmistakable residue: what a whole passage says. Searched in the lower-cased passage.
 TRUSTED = re.compile(
@@ -49,16 +53,9 @@ TRUSTED = re.compile(
     r"|^\W*insert (?:your )?(?:text|reply|answer|content|response|copy|message) here\b|^\W*content (?:is )?coming soon\W*$|^\W*(?:tbd|tba|todo|fixme)\W*$|^\W*(?:asdf|qwerty|blah|xxx+|foo|test)(?:\W+(?:asdf|qwerty|blah|xxx+|bar|foo|test|[a-z]{1,4}df))+\W*$|^\W*dummy (?:text|content|copy|response|answer|reply)\b(?:,? do not use)?|^\W*copy to follow\W*$"
     r"|^\W*something went wrong on (?:our|the server) (?:side|end)\b|^\W*(?:your )?session (?:has )?(?:expired|timed out)\W*$|^\W*access denied\W*$|^\W*(?:sorry,? )?(?:the|this) page (?:you are looking for|you requested) (?:does not exist|cannot be|could not be|has been|was not)|^\W*page not found\W*$|^\W*(?:an )?(?:unexpected|internal) (?:server )?error (?:has )?(?:occurred|happened)\b|^\W*connection (?:refused|reset|timed out)\b|^\W*unhandled exception\b|^\W*this service is temporarily (?:down|unavailable)\b|^\W*checking your browser before\b|^\W*loading(?:…|\.\.\.)? .{0,20}javascript\b"
 )
-#: A passage without any of these can hold no trusted residue; a plain search is far cheaper than the pattern.
-CUES = tuple(
-    "lorem|ipsum|dolor sit|script|browser|<html|traceback|{\"|not found|forbidden|authori|gateway|bad request|unavailable|internal server|"
-    "too many|timeout|time-out|timed out|rate limit|goes here|text here|content here|copy here|title here|answer here|reply here|"
-    "description here|message here|response here|coming soon|sample |dummy|placeholder|filler|tbd|tba|todo|fixme|asdf|qwerty|blah|xxx|foo|"
-    "copy to|wrong on|session expired|session has|access denied|temporarily|loading|page you|unexpected|"
-    "internal error|error has|error occ|error hap|connection re|unhandled".split("|")
-)
-#: The cue of dummy words that start with "test", which is too common inside other words for a plain search.
-_TEST = re.compile(r"\W*test\W")
+#: TRUSTED without its anchors: a text without a match holds no trusted sentence. One automaton over a whole column.
+MAY_TRUST = TRUSTED.pattern.replace(r"^\W*", "").replace(r"\W*$", "")
+_PAGE = re.compile(r"<html\b|<noscript>|^\s*\{\"", re.I)
 _SENT = re.compile(r"(?<=[.!?…])\s+|\n+")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\b[A-Z]{2}-\d+|\d[\d.,:]*")
 _CAP = re.compile(r"(?<=[\w,;] )[A-ZÀ-ÖØ-ÞА-Я][^\W\d_]+")
@@ -82,25 +79,20 @@ def _slot(m: re.Match) -> tuple[str, bool]:
     return f"slot\t{kind}\t{plain}\t{style}", kind.isupper()
 
 
-def passages(text: str) -> list[tuple[str, bool]]:
-    """(masked passage, trusted) of a whole text."""
+def passages(text: str, slots: bool = True, seeds: bool = True) -> list[tuple[str, bool]]:
+    """(masked passage, trusted) of a whole text. slots, seeds: whether a slot mark, a trusted sentence may be in it."""
     out = []
-    if _MAYBE.search(text) and not re.search(r"<html\b|<noscript>|^\s*\{\"", text, re.I):
+    if slots and not _PAGE.search(text):
         def take(m):
             out.append(_slot(m))
             return " "
 
-        rest = _SLOT.sub(take, text)
-    else:
-        rest = text
-    parts = [p for p in _SENT.split(rest.strip()) if p]
-    whole = text.lower()
-    cues = [c for c in CUES if c in whole]
-    test = "test" in whole
+        text = _SLOT.sub(take, text)
+    parts = [p for p in _SENT.split(text.strip()) if p]
     only = "only\t" if len(parts) <= 2 else "part\t"
     for p in parts:
-        low = p.lower()
-        if (m := TRUSTED.search(low) if cues and any(c in low for c in cues) or test and _TEST.match(low) else None) and _NEXT.match(p, m.end()):
+        m = TRUSTED.search(p.lower()) if seeds else None
+        if m and _NEXT.match(p, m.end()):
             parts.append(p[m.end() :])  # what follows on the same line is judged on its own
             p = p[: m.end()]
         masked, caps = _CAP.subn("@", _HEX.sub("#", p))
@@ -116,81 +108,108 @@ HALF = 1 << (BITS - 1)
 
 
 def features(passage: str) -> list[int]:
-    """Hashed features of a masked passage; those of slots lie in the upper half. The mark of a slot is no feature, as it
-    decides which slots are trusted."""
+    """Hashed features of a masked passage; those of slots lie in the upper half. Only unmistakable marks are features: they
+    decide which slots are trusted, so the others would count as evidence against."""
     kind, _, rest = passage.partition("\t")
     if kind == "slot":
-        _, name, style = rest.split("\t")
-        f = ["n=" + name, "n2=" + name, "s=" + style]
+        mark, name, style = rest.split("\t")
+        f = ["n=" + name, "s=" + style, *("w=" + x for x in name.split(" "))]
+        if mark.isupper():
+            f.append("m=" + mark)
         return [HALF + (zlib.crc32(x.encode("utf-8", "surrogatepass")) & (HALF - 1)) for x in f]
     w = _WORD.findall(rest)
     f = w + [x + " " + y for x, y in zip(w, w[1:])] + ["len=" + str(min(len(w), 20) // 4), "where=" + kind]
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (HALF - 1) for x in f]
 
 
-_SHAPES = pa.schema([("passage", pa.string()), ("n", pa.int64()), ("trusted", pa.bool_())])
+_FIELDS = [("id", pa.string()), ("field", pa.string()), ("passages", pa.list_(pa.string())), ("passage", pa.string()), ("n", pa.int64()), ("trusted", pa.bool_())]
+_RAW = "id string, field string, passages array<string>, passage string, n long, trusted boolean"
 _SUMS = pa.schema([("f", pa.int32()), ("w", pa.float64())])
 
 
-def _collect(batches):
-    """Distinct masked passages with counts, combined in the task."""
+def _cut(batches, names):
+    """Rows (id, field, passages) of the texts, and (passage, n, trusted) counted in the task. Columns: id, then the fields."""
     seen: Counter = Counter()
     sure: set = set()
 
     def flush():
         keys = list(seen)
-        got = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([k in sure for k in keys], pa.bool_())], schema=_SHAPES)
+        cols = [pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([k in sure for k in keys], pa.bool_())]
+        got = pa.RecordBatch.from_arrays([pa.nulls(len(keys), t) for _, t in _FIELDS[:3]] + cols, schema=pa.schema(_FIELDS))
         seen.clear()
         sure.clear()
         return got
 
     for batch in batches:
-        for t in batch.column(0).to_pylist():
-            for p, trusted in passages(t):
-                seen[p] += 1
-                if trusted:
-                    sure.add(p)
+        ids, out = batch.column(0).to_pylist(), []
+        for k, name in enumerate(names, 1):
+            texts = batch.column(k)
+            slots = pc.match_substring_regex(texts, _MAYBE).to_pylist()
+            seeds = pc.match_substring_regex(texts, MAY_TRUST, ignore_case=True).to_pylist()
+            for i, t, s, x in zip(ids, texts.to_pylist(), slots, seeds):
+                if t:
+                    got = passages(t, s, x)
+                    mine = [p for p, _ in got]
+                    seen.update(mine)
+                    sure.update(p for p, trusted in got if trusted)
+                    if mine and i is not None:
+                        out.append((i, name, mine))
+        cols = list(zip(*out)) if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)] + [pa.nulls(len(out), t) for _, t in _FIELDS[3:]], schema=pa.schema(_FIELDS))
         if len(seen) > 200_000:
             yield flush()
     yield flush()
 
 
-def _log_odds(model, feats: list[list[int]]) -> np.ndarray:
+def _featured(batches):
+    """(n, trusted, f, key): the features of distinct passages."""
+    for b in batches:
+        texts = b.column(0).to_pylist()
+        f = pa.array([features(p) for p in texts], pa.list_(pa.int32()))
+        key = pa.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), f, key], names=["n", "trusted", "f", "key"])
+
+
+def _log_odds(model, flat: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Log odds of passages; flat: their features one after another, count: how many each has. A passage without features,
+    or with features the corpus never had, has the odds of its kind."""
     bias, weight = model
-    n = np.array([len(f) for f in feats])
-    if not n.sum():
-        return np.full(len(feats), -40.0)
-    at = np.concatenate([np.asarray(f, np.int64) for f in feats])
-    slot = np.array([bool(f) and f[0] >= HALF for f in feats])
-    return np.where(slot, bias[1], bias[0]) + np.bincount(np.repeat(np.arange(len(n)), n), weight[at], len(n))
+    start = np.cumsum(count) - count
+    first = flat[np.minimum(start, max(0, len(flat) - 1))] if len(flat) else np.zeros(len(count), np.int64)
+    at = np.repeat(np.arange(len(count)), count)
+    return np.where((count > 0) & (first >= HALF), bias[1], bias[0]) + np.bincount(at, weight[flat], len(count))
 
 
-def fit(shapes: DataFrame, rounds: int = 6) -> tuple[tuple[float, float], np.ndarray]:
-    """((bias of sentences, of slots), weight vector) of the naive Bayes model. shapes: written (passage, n, trusted).
-    Class counts are smoothed towards the corpus, so a feature that no positive has counts against it."""
+def fit(shapes: DataFrame, rounds: int = 6, held: float = 0.0) -> tuple[tuple[float, float], np.ndarray]:
+    """((bias of sentences, of slots), weight vector) of the naive Bayes model. shapes: written (n, trusted, f, key).
+    Class counts are smoothed towards the corpus, so a feature that no positive has counts against it. ``held`` is the share
+    of the trusted passages, by their key, that are treated as unlabelled: for measuring."""
     spark = shapes.sparkSession
     size = 1 << BITS
+    hidden = int(held * 1000)
 
     def sums(model, what):
         """Per hashed feature the sum of n ("all") or of n x posterior; the last two hold the passages themselves."""
-        held = spark.sparkContext.broadcast(model) if model is not None else None
+        sent = spark.sparkContext.broadcast(model) if model is not None else None  # a vector of fixed size
 
         def run(batches):
             acc = np.zeros(size + 2)
             for b in batches:
-                feats = [features(p) for p in b.column(0).to_pylist()]
-                n = b.column(1).to_numpy(zero_copy_only=False).astype(float)
-                sure = np.array(b.column(2).to_pylist(), bool)
+                n = b.column(0).to_numpy(zero_copy_only=False).astype(float)
+                key = b.column(3).to_numpy(zero_copy_only=False)
+                sure = b.column(1).to_numpy(zero_copy_only=False).astype(bool) & (key % 1000 >= hidden)
+                lists = b.column(2)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
                 if what == "all":
                     w = n
-                elif held is None:
+                elif sent is None:
                     w = n * sure
                 else:
-                    w = n * np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(_log_odds(held.value, feats), -40, 40))))
-                k = np.array([len(f) for f in feats])
-                if k.sum():
-                    acc[:size] += np.bincount(np.concatenate([np.asarray(f) for f in feats if f]), np.repeat(w, k), size)
-                    slot = np.array([bool(f) and f[0] >= HALF for f in feats])
+                    w = n * np.where(sure, 1.0, 1 / (1 + np.exp(-np.clip(_log_odds(sent.value, flat, count), -40, 40))))
+                if len(flat):
+                    acc[:size] += np.bincount(flat, np.repeat(w, count), size)
+                    slot = (count > 0) & (flat[np.minimum(np.cumsum(count) - count, len(flat) - 1)] >= HALF)
                     acc[size] += w[~slot].sum()
                     acc[size + 1] += w[slot].sum()
             at = np.flatnonzero(acc)
@@ -220,42 +239,57 @@ def fit(shapes: DataFrame, rounds: int = 6) -> tuple[tuple[float, float], np.nda
     return model
 
 
+def _prepared(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(written passages of the texts and of the corpus, written features of the distinct passages)."""
+    names = list(fields)
+    src = df.select(F.col(id_col).cast("string").alias("id"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(fields)])
+    raw = materialize(spread(src).mapInArrow(lambda batches: _cut(batches, names), _RAW))
+    distinct = raw.where("passage is not null").groupBy("passage").agg(F.sum("n").alias("n"), F.max("trusted").alias("trusted"))
+    return raw, materialize(distinct.mapInArrow(_featured, "n long, trusted boolean, f array<int>, key long"))
+
+
 def scored(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("instruction", "response")) -> DataFrame:
     """(id, field, log_odds, passage) of the strongest passage of each text that has one."""
-    spark = df.sparkSession
-    texts = spread(df.select(*fields)).select(F.explode(F.array(*[F.col(c).cast("string") for c in fields])).alias("t")).where("t is not null and t <> ''")
-    raw = materialize(texts.mapInArrow(_collect, "passage string, n long, trusted boolean").groupBy("passage").agg(F.sum("n").alias("n"), F.max("trusted").alias("trusted")))
-    model = fit(raw)
-    release(raw)
-    held = spark.sparkContext.broadcast(model)
-    src = df.select(F.col(id_col).cast("string").alias("id"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(fields)]).where("id is not null")
-    names = list(fields)
+    raw, shapes = _prepared(df, id_col, fields)
+    model = fit(shapes)
+    release(shapes)
+    held = df.sparkSession.sparkContext.broadcast(model)  # a vector of fixed size
 
     def run(batches):
-        bias, weight = held.value
         known: dict[str, float] = {}
         for b in batches:
-            ids, out = b.column(0).to_pylist(), []
-            for k, name in enumerate(names):
-                for i, t in zip(ids, b.column(k + 1).to_pylist()):
-                    best, what = None, None
-                    for p, trusted in passages(t) if t else ():
-                        if trusted:
-                            s = 40.0
-                        elif (s := known.get(p)) is None:
-                            s = known[p] = bias[p.startswith("slot\t")] + float(weight[features(p)].sum())
-                        if best is None or s > best:
-                            best, what = s, p
-                    if best is not None:
-                        out.append((i, name, best, what))
+            lists = b.column(2).to_pylist()
+            new = list({p for ps in lists for p in ps if p not in known})
+            if new:
+                f = [features(p) for p in new]
+                odds = _log_odds(held.value, np.concatenate([np.asarray(x, np.int64) for x in f]), np.array([len(x) for x in f]))
+                known.update(zip(new, odds.tolist()))
+            best = [max(ps, key=known.__getitem__) for ps in lists]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([known[p] for p in best], pa.float64()), pa.array(best, pa.string())], names=["id", "field", "log_odds", "passage"])
             if len(known) > 300_000:
                 known.clear()
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.string()))], names=["id", "field", "log_odds", "passage"])
 
-    return spread(src).mapInArrow(run, "id string, field string, log_odds double, passage string")
+    return raw.where("id is not null").select("id", "field", "passages").mapInArrow(run, "id string, field string, log_odds double, passage string")
 
 
 def residue(df: DataFrame, cutoff: float = 0.0, **kw) -> DataFrame:
     """(id): records with a passage whose log odds exceed the cutoff."""
     return scored(df, **kw).where(F.col("log_odds") > cutoff).select("id").distinct()
+
+
+def held_out_recall(df: DataFrame, held: float = 0.3, id_col: str = "id", fields: tuple[str, ...] = ("instruction", "response")) -> tuple[int, int]:
+    """(hidden trusted passages that the model finds, hidden trusted passages): distinct ones, fitted without their labels."""
+    raw, shapes = _prepared(df, id_col, fields)
+    model = fit(shapes, held=held)
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(0)
+            count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            odds = _log_odds(sent.value, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), count)
+            yield pa.RecordBatch.from_arrays([pa.array([int((odds > 0).sum())], pa.int64()), pa.array([len(odds)], pa.int64())], names=["found", "n"])
+
+    got = shapes.where(f"trusted and key % 1000 < {int(held * 1000)}").select("f").mapInArrow(run, "found long, n long")
+    r = got.agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return r[0], r[1]

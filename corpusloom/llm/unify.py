@@ -34,6 +34,8 @@ IGNORABLE = (
 )
 
 _WORD = re.compile(r"[^\W_]+")
+#: ASCII characters that have another form.
+_BLANKS = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f]")
 
 
 @functools.cache
@@ -48,8 +50,8 @@ def _tables() -> tuple[dict, dict]:
         tag = unicodedata.decomposition(ch)
         if tag.startswith(("<wide>", "<narrow>", "<noBreak>")) or tag.startswith("<compat>") and ch.isalpha():
             first[cp] = unicodedata.normalize("NFKC", ch)
-    first[0x09] = " "
-    first[0x0B] = first[0x0C] = "\n"
+    first |= dict.fromkeys((0x09, 0x1C, 0x1D, 0x1E, 0x1F), " ")
+    first |= dict.fromkeys((0x0B, 0x0C, 0x0D), "\n")
     for low, high in IGNORABLE:
         first.update(dict.fromkeys(range(low, high + 1)))
     return first, str.maketrans(ALIKE_FROM, ALIKE_TO)
@@ -57,7 +59,7 @@ def _tables() -> tuple[dict, dict]:
 
 def unified(text: str) -> str:
     """The form in which texts that look the same are equal; case, digits, punctuation and accents stay."""
-    if text.isascii() and "\t" not in text and "\r" not in text:
+    if text.isascii() and not _BLANKS.search(text):
         return text
     first, alike = _tables()
     text = text.replace("\r\n", "\n").translate(first)

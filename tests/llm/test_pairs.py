@@ -55,9 +55,11 @@ def test_split_overlaps_against_all_pairs(spark, seed):
             if (num(a[1]) is not None and num(a[1]) == num(b[1])) or over(a[4] or "", b[4] or "") >= 0.85:
                 want.add((min(a[0], b[0]), max(a[0], b[0])))
     df = spark.createDataFrame(rows, SCHEMA)
-    got = [tuple(r) for r in P.split_overlaps(df, pairs_per_task=3).collect()]
+    got = [tuple(r) for r in P.split_overlaps(df, per_task=3).collect()]
     assert set(got) == want and len(got) == len(want)
-    report = P.overlap_report(df, P.split_overlaps(df)).collect()
+    links = {r.id: r.n_links for r in P.overlap_links(df).collect()}
+    assert all(links.get(r[0], 0) == sum(r[0] in p for p in want) for r in rows)
+    report = P.overlap_report(df, P.overlap_links(df)).collect()
     assert sum(r.n_pairs for r in report) == len(want) and {r.split for r in report} <= {"val", "test"}
     assert P.split_overlaps(df.limit(0)).count() == 0
 
@@ -104,3 +106,55 @@ def test_reference_distances_never_discard_a_true_pair():
         b = np.concatenate([a[10:], rng.integers(0, 1 << 63, 9, dtype=np.uint64)])
         d = [np.abs((P.parity_sketch(x, P.SKETCH) ^ pivots).sum(1).astype(int)) for x in (a, b)]
         assert np.abs(d[0] - d[1]).max() <= (1 - 0.75) / (1 + 0.75) * (len(a) + len(b))
+
+
+def test_codes_of_long_texts_are_bounded():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    b = np.concatenate([a[300:], rng.integers(0, 1 << 63, 250, dtype=np.uint64)])
+    assert len(P.block_codes(a, 0.85)) <= 3 * P.SEGMENTS**2 / 2 + P.LONG_BANDS
+    assert set(P.block_codes(a, 0.85)) & set(P.block_codes(b, 0.85))
+    for n in (150, 200, 260, 400):  # around the level where the codes change, both sets use the same ones
+        for _ in range(30):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate([a[int(n * 0.07) :], rng.integers(0, 1 << 63, int(n * 0.07), dtype=np.uint64)])
+            assert set(P.block_codes(a, 0.85)) & set(P.block_codes(b, 0.85))
+
+
+def test_long_texts(spark):
+    rng = random.Random(6)
+    w = [f"w{i}" for i in range(4000)]
+    edit = lambda n: [rng.choice(w) + "x" if i < n else x for i, x in enumerate(w)]
+    rows = [("a", None, "train", "s", " ".join(w), ""), ("b", None, "test", "s", " ".join(edit(150)), ""), ("c", None, "val", "s", " ".join(edit(1000)), "")]
+    df = spark.createDataFrame(rows, "id string, group_id string, split string, target_source string, instruction string, response string")
+    assert [tuple(r) for r in P.split_overlaps(df).collect()] == [("a", "b")]
+    assert ("a", "b") in {tuple(r) for r in P.near_duplicate_pairs(df).collect()}
+
+
+@pytest.mark.parametrize("longest", [1, 4, 1000])
+def test_met_forms_each_pair_once(spark, longest):
+    rng = random.Random(7)
+    rows = [(rng.randint(0, 12), rng.randint(0, 40), rng.random() < 0.6) for _ in range(160)]
+    df = spark.createDataFrame(rows, "code long, r long, side boolean")
+    one = {(a, b) for c, a, _ in rows for d, b, _ in rows if c == d and a < b}
+    assert sorted(map(tuple, P._met(df.select("code", "r"), longest=longest, per_task=4).collect())) == sorted(one)
+    two = {(a, b) for c, a, s in rows for d, b, t in rows if c == d and a != b and s and not t}
+    assert sorted(map(tuple, P._met(df, "side", longest, 4).collect())) == sorted(two)
+
+
+@pytest.mark.parametrize("longest", [1, 3, 6, 1000])
+@pytest.mark.parametrize("cut", [1, 2, 7, 500])
+def test_runs_over_any_batches(longest, cut):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((rng.choice([1, 2, 2, 2, 3, 4, 5, 5]), rng.randint(0, 9), rng.random() < 0.5) for _ in range(60))
+    batches = [pa.RecordBatch.from_pylist([{"code": c, "r": r, "side": s} for c, r, s in rows[i : i + cut]]) for i in range(0, len(rows), cut)]
+    for sided in (False, True):
+        pairs, hot = set(), []
+        for b in P._runs(iter(batches), sided, longest):
+            for x in b.to_pylist():
+                hot.append((x["code"], x["ra"], x["side"])) if x["rb"] is None else pairs.add((x["ra"], x["rb"]))
+        pairs |= {(a, b) for c, a, s in hot for d, b, t in hot if c == d and (a != b and s and not t if sided else a < b)}
+        want = {(a, b) for c, a, s in rows for d, b, t in rows if c == d and (a != b and s and not t if sided else a < b)}
+        assert pairs == want

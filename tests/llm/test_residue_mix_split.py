@@ -143,6 +143,34 @@ def test_splits_keep_sets_and_shares(spark):
     "Request timed out|Rate limit reached|Your title goes here|Description here|Sample text to be written|Filler copy is added|Insert your message here|Content coming soon|TBD|TBA|TODO|FIXME|Dummy text, do not use|Copy to follow|Something went wrong on our side|Your session has expired|Session timed out|Access denied|"
     "The page you requested was not there|Page not found|An unexpected error occurred|Internal error has happened|Connection reset|Connection timed out|Unhandled exception|This service is temporarily down|Checking your browser before it|Loading needs javascript".split("|"),
 )
-def test_every_trusted_branch_passes_the_cues(text):
+def test_every_trusted_branch_passes_the_column_search(text):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     assert residue.TRUSTED.search(text.lower())
+    assert pc.match_substring_regex(pa.array([text]), residue.MAY_TRUST, ignore_case=True)[0].as_py()
     assert any(trusted for _, trusted in residue.passages(text))
+
+
+def test_slots_of_any_length_and_script():
+    got = residue.passages("Dear {{the full legal name of the customer as it is printed on the contract}}, {{имя клиента}} and [名前] write.")
+    assert [p.split("\t")[2] for p, _ in got if p.startswith("slot")] == ["the full legal name of the customer as it is printed on the contract", "имя клиента", "名前"]
+
+
+def test_hidden_seeds_are_found_by_the_model(spark):
+    """Trusted passages that the fit sees as unlabelled are found again: the model decides, not the seeds."""
+    rng, rows = random.Random(5), []
+    codes = ["502: Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout", "500 Internal Server Error", "404 Not Found", "403 Forbidden"]
+    names = "customer name,shop name,order number,agent name,order id,customer id,agent id,shop town,customer town,order date".split(",")
+    for i in range(600):
+        texts = [" ".join(rng.sample(GOOD, 3)), " ".join(rng.sample(GOOD, 3))]
+        if i % 6 == 0:
+            texts[i % 2] = "Error " + rng.choice(codes) + rng.choice([".", " for this page.", " while loading.", ""])
+        if i % 6 == 1:
+            texts[0] += f" Ask {{{{{rng.choice(names)}}}}} about it."
+        rows.append((f"r{i}", *texts))
+    df = spark.createDataFrame(rows, "id string, instruction string, response string")
+    found, hidden = residue.held_out_recall(df)
+    assert hidden >= 5 and found >= 0.8 * hidden
+    assert residue.held_out_recall(df.limit(0)) == (0, 0)
+    assert all(abs(r.log_odds) < 1e4 for r in residue.scored(df).collect())

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from corpusloom.llm import leak, unify
 
-ALIKE = [("Ｆｕｌｌ　width", "Full width"), ("ﬁne ﬂow", "fine flow"), ("café", "café"), ("a​b­c﻿", "abc"), ("a b c", "a b c"), ("Тһе саѕе", "The case"), ("ё", "ë"), ("Α Ο", "A O"), ("a\r\nb", "a\nb")]
+ALIKE = [("Ｆｕｌｌ　width", "Full width"), ("ﬁne ﬂow", "fine flow"), ("café", "café"), ("a​b­c﻿", "abc"), ("a b c", "a b c"), ("Тһе саѕе", "The case"), ("ё", "ë"), ("Α Ο", "A O"), ("a\r\nb", "a\nb"), ("a\x0cb", "a\nb"), ("a\rb", "a\nb"), ("a\x1fb", "a b")]
 DIFFERENT = [("Case", "case"), ("cafe", "café"), ("a1", "al"), ("a.", "a"), ("O", "0"), ("x²", "x2"), ("a  b", "a b"), ("й", "и"), ("a\nb", "a b")]
 
 
