@@ -6,7 +6,8 @@ task before anything is shuffled. Word sets are arrays of 64-bit word hashes, cl
 first 64 bits (classes that share them are candidates more, as candidates meet every class with that number).
 
 Blocks are shuffled once, by code, and read in runs of one code; runs of more than 1,000 rows are left to a join in cells of
-bounded size. Candidates are thinned by small columns, survivors verified by their words.
+bounded size. Pairs are thinned where they meet by the few numbers that blocks carry, and only the words of the classes that
+are left are moved and compared.
 
 Problem 4, segmented code blocks of a similarity hash. The fingerprint of a class has a bit per bucket, the parity of the
 words hashed into it, so each differing word flips at most one bit and the Hamming distance never exceeds the number of
@@ -19,7 +20,8 @@ square of d, levels with more than SEGMENTS of them use LONG_BANDS bands of LONG
 
 Problem 6, pivot distance tables. Blocks come from bands of minimum hashes. Each class carries the Hamming distances of its
 parity fingerprint to 16 reference fingerprints; as distances to a reference differ by at most the Hamming distance, pairs
-with a larger coordinate difference than their allowed number of differing words are discarded, and survivors verified.
+with a larger coordinate difference than their allowed number of differing words are discarded, then those whose 128-bit
+fingerprints lie further apart than that, and survivors are verified by their words.
 The reference distances alone can't replace the blocks: between short random sets they hardly differ.
 
 Defined results: null or wordless texts, null groups and null ids match nothing; repeated rows pair with one another like
@@ -153,124 +155,153 @@ def block_codes(h: np.ndarray, t: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _blocks(classes: DataFrame, codes, side: str | None = None, most: int = 2_000_000) -> DataFrame:
-    """(code, r[, side]) of classes; codes: word hashes to codes. Batches are cut at ``most`` codes."""
+def _arrays(b: pa.RecordBatch) -> list[np.ndarray]:
+    """The word hashes of each row of a batch with the column h."""
+    hs = b.column("h")
+    flat, off = hs.flatten().to_numpy().view(np.uint64), hs.offsets.to_numpy() - hs.offsets[0].as_py()
+    return [flat[x:y] for x, y in zip(off, off[1:])]
+
+
+def _blocks(classes: DataFrame, codes, small, width: int, side: str | None = None, most: int = 2_000_000) -> DataFrame:
+    """(code, r, x0, x1, ...[, side]) of classes. codes: word hashes to codes, small: word hashes to ``width`` numbers by which
+    pairs are thinned. Batches are cut at ``most`` codes."""
+    names = ["code", "r", *(f"x{i}" for i in range(width)), *([side] if side else [])]
 
     def run(batches):
         for b in batches:
-            hs = b.column("h")
-            flat, off = hs.flatten().to_numpy().view(np.uint64), hs.offsets.to_numpy() - hs.offsets[0].as_py()
-            made, n, first = [], 0, 0
-            for i in range(b.num_rows):
-                made.append(codes(flat[off[i] : off[i + 1]]))
+            made, kept, n, first = [], [], 0, 0
+            for i, h in enumerate(_arrays(b)):
+                made.append(codes(h))
+                kept.append(small(h))
                 n += len(made[-1])
                 if n > most or i == b.num_rows - 1:
-                    at = pa.array(np.repeat(np.arange(first, i + 1), [len(c) for c in made]))
-                    cols = [pa.array(np.concatenate(made).view(np.int64)), b.column("r").take(at)]
-                    yield pa.RecordBatch.from_arrays(cols + ([b.column(side).take(at)] if side else []), names=["code", "r", *([side] if side else [])])
-                    made, n, first = [], 0, i + 1
+                    at = np.repeat(np.arange(i + 1 - first), [len(c) for c in made])
+                    cols = [pa.array(np.concatenate(made).view(np.int64)), b.column("r").take(pa.array(at + first))]
+                    x = np.array(kept, np.int64)[at]
+                    cols += [pa.array(np.ascontiguousarray(x[:, j])) for j in range(width)]
+                    yield pa.RecordBatch.from_arrays(cols + ([b.column(side).take(pa.array(at + first))] if side else []), names=names)
+                    made, kept, n, first = [], [], 0, i + 1
 
-    return classes.select("r", "h", *([side] if side else [])).mapInArrow(run, "code long, r long" + (f", {side} boolean" if side else ""))
+    return classes.select("r", "h", *([side] if side else [])).mapInArrow(run, ", ".join(f"{c} {'boolean' if c == side else 'long'}" for c in names))
 
 
-_EMITTED = pa.schema([("code", pa.int64()), ("ra", pa.int64()), ("rb", pa.int64()), ("side", pa.bool_())])
+_EMITTED = pa.schema([("code", pa.int64()), ("ra", pa.int64()), ("rb", pa.int64()), ("x", pa.list_(pa.int64())), ("side", pa.bool_())])
 
 
-def _runs(batches, sided: bool, longest: int):
-    """From rows (code, r[, side]) in the order of code and r: the pairs (ra, rb) of each run of one code, and, with the code,
-    the rows of runs with more than ``longest`` rows, which are joined elsewhere. A run may lie in several batches."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+def _runs(batches, near, width: int, sided: bool, longest: int):
+    """From rows (code, r, x0, ...[, side]) in the order of code and r: the pairs (ra, rb) of each run of one code that are near
+    by their numbers, and, with the code, the rows of runs with more than ``longest`` rows, which are joined elsewhere. A run
+    may lie in several batches."""
+    held = None
     hot = None  # the code whose rows are passed on, as its run is too long
 
-    def emit(code, ra, rb, side):
-        none = lambda t: pa.nulls(len(ra), t)
-        return pa.RecordBatch.from_arrays([none(pa.int64()) if code is None else pa.array(code), pa.array(ra), none(pa.int64()) if rb is None else pa.array(rb), none(pa.bool_()) if side is None else pa.array(side)], schema=_EMITTED)
+    def passed(code, r, x, side):
+        n = len(code)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(x.reshape(-1)))
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(r), pa.nulls(n, pa.int64()), lists, pa.array(side)], schema=_EMITTED)
+
+    def pairs(ra, rb):
+        n = len(ra)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(ra), pa.array(rb), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.bool_())], schema=_EMITTED)
 
-    def work(code, r, side):
+    def work(code, r, x, side):
         new = np.r_[True, (code[1:] != code[:-1]) | (r[1:] != r[:-1]) | (side[1:] != side[:-1])]
-        code, r, side = code[new], r[new], side[new]
+        code, r, x, side = code[new], r[new], x[new], side[new]
         start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         size = np.diff(np.r_[start, len(code)])
         keep = size > 1
         if sided:
             n = np.add.reduceat(side.astype(np.int64), start)
             keep &= (n > 0) & (n < size)
-        wide = np.repeat(size > longest, size)
-        if (wide & np.repeat(keep, size)).any():
-            w = wide & np.repeat(keep, size)
-            yield emit(code[w], r[w], None, side[w])
-        ok = np.repeat(keep, size) & ~wide
-        code, r, side = code[ok], r[ok], side[ok]
+        keep, wide = np.repeat(keep, size), np.repeat(size > longest, size)
+        if (wide & keep).any():
+            yield passed(*[c[wide & keep] for c in (code, r, x, side)])
+        code, r, x, side = (c[keep & ~wide] for c in (code, r, x, side))
         at, step = np.arange(len(code)), 1
         while len(at := at[at + step < len(code)]) and len(at := at[code[at] == code[at + step]]):
-            x, y = at, at + step
+            i, j = at, at + step
             if sided:
-                cross = (side[x] != side[y]) & (r[x] != r[y])
-                x, y = np.where(side[x], x, y)[cross], np.where(side[x], y, x)[cross]
-            else:
-                x, y = x[r[x] != r[y]], y[r[x] != r[y]]
-            if len(x):
-                yield emit(None, r[x], r[y], None)
+                cross = side[i] != side[j]
+                i, j = np.where(side[i], i, j)[cross], np.where(side[i], j, i)[cross]
+            ok = (r[i] != r[j]) & near(x[i], x[j])
+            if ok.any():
+                yield pairs(r[i[ok]], r[j[ok]])
             step += 1
 
     for b in batches:
-        cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(bool) if sided else np.zeros(b.num_rows, bool)]
+        x = np.stack([b.column(2 + k).to_numpy() for k in range(width)], 1) if width else np.zeros((b.num_rows, 0), np.int64)
+        side = b.column(2 + width).to_numpy(zero_copy_only=False).astype(bool) if sided else np.zeros(b.num_rows, bool)
+        cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), x, side]
         if hot is not None:
-            n = int(np.searchsorted(cols[0] != hot, True)) if (cols[0] != hot).any() else b.num_rows
+            other = cols[0] != hot
+            n = int(other.argmax()) if other.any() else b.num_rows
             if n:
-                yield emit(cols[0][:n], cols[1][:n], None, cols[2][:n])
+                yield passed(*[c[:n] for c in cols])
                 cols = [c[n:] for c in cols]
             if not len(cols[0]):
                 continue
             hot = None
-        held = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+        held = cols if held is None else [np.concatenate([p, q]) for p, q in zip(held, cols)]
         if not len(held[0]):
             continue
         cut = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on
         if cut:
-            yield from work(*[x[:cut] for x in held])
-            held = [x[cut:] for x in held]
+            yield from work(*[c[:cut] for c in held])
+            held = [c[cut:] for c in held]
         if len(held[0]) > longest:
             hot = int(held[0][0])
-            yield emit(held[0], held[1], None, held[2])
-            held = [x[:0] for x in held]
-    if len(held[0]):
+            yield passed(*held)
+            held = None
+    if held is not None and len(held[0]):
         yield from work(*held)
 
 
-def _met(blocks: DataFrame, side: str | None = None, longest: int = 1000, per_task: int = 1_000_000) -> DataFrame:
-    """Written distinct pairs (ra, rb) of numbers that share a code: ra < rb, or with ``side`` ra of true and rb of false
-    rows. Blocks are shuffled once, by their code, and each code's rows are read in one run; the rows of codes with more than
-    ``longest`` rows are joined in cells of bounded size."""
+def _met(blocks: DataFrame, near, width: int, side: str | None = None, longest: int = 1000, per_task: int = 1_000_000) -> DataFrame:
+    """Written distinct pairs (ra, rb) of numbers that share a code and are near by their numbers: ra < rb, or with ``side`` ra
+    of true and rb of false rows. Blocks are shuffled once, by their code, and each code's rows are read in one run; the rows
+    of codes with more than ``longest`` rows are joined in cells of bounded size."""
     x = blocks.repartition("code").sortWithinPartitions("code", "r")
-    got = materialize(x.mapInArrow(lambda batches: _runs(batches, side is not None, longest), "code long, ra long, rb long, side boolean").distinct())
+    run = lambda batches: _runs(batches, near, width, side is not None, longest)
+    got = materialize(x.mapInArrow(run, "code long, ra long, rb long, x array<bigint>, side boolean").distinct())
     hot = got.where("rb is null")
     one, two = hot.where("side") if side else hot, hot.where("not side") if side else hot
-    many = salted_join(one.select("code", "ra"), two.select("code", F.col("ra").alias("rb")), ["code"], "ra", "rb", per_task).where("ra <> rb" if side else "ra < rb")
-    return materialize(got.where("rb is not null").select("ra", "rb").unionByName(many.select("ra", "rb")).distinct())
+    one, two = one.select("code", "ra", F.col("x").alias("xa")), two.select("code", F.col("ra").alias("rb"), F.col("x").alias("xb"))
+    many = salted_join(one, two, ["code"], "ra", "rb", per_task).where("ra <> rb" if side else "ra < rb").select("ra", "rb", "xa", "xb")
 
+    def thin(batches):
+        for b in batches:
+            a, c = (b.column(k).flatten().to_numpy().reshape(-1, width) for k in (2, 3))
+            ok = pa.array(near(a, c)) if b.num_rows else pa.array([], pa.bool_())
+            yield b.select(["ra", "rb"]).filter(ok)
 
-def _needed(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """Written (k, r, n, h), one row per class, of the classes among the candidates."""
-    ids = met.select(F.explode(F.array("ra", "rb")).alias("r")).distinct()
-    return materialize(classes.select("k", "r", "n", "h").join(ids, "r", "left_semi").dropDuplicates(["k"]))
+    return materialize(got.where("rb is not null").select("ra", "rb").unionByName(many.mapInArrow(thin, "ra long, rb long")).distinct())
 
 
-def _verified(met: DataFrame, small: DataFrame, near, needed: DataFrame, t: float) -> DataFrame:
-    """Distinct class pairs (a, b) of candidates (ra, rb) whose word sets have an overlap of at least t. small: (k, r, n, ...)
-    of the candidates, near: the condition on two rows x, y of it that thins them."""
-    x = met.join(small.select(F.col("r").alias("ra"), F.struct(*[c for c in small.columns if c != "r"]).alias("x")), "ra")
-    x = x.join(small.select(F.col("r").alias("rb"), F.struct(*[c for c in small.columns if c != "r"]).alias("y")), "rb")
-    x = x.where("x.k <> y.k").where(near).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
-    x = x.join(needed.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(needed.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b")
+def _verified(met: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """Distinct class pairs (a, b) of candidates (ra, rb) whose word sets have an overlap of at least t. Only the words of
+    classes among the candidates are moved."""
+    ids = met.select(F.explode(F.array("ra", "rb")).alias("r")).distinct()
+    needed = materialize(classes.select("k", "r", "h").join(ids, "r", "left_semi").dropDuplicates(["k"]))
+    x = met.join(needed.select(F.col("r").alias("ra"), F.col("k").alias("a"), F.col("h").alias("ha")), "ra")
+    x = x.join(needed.select(F.col("r").alias("rb"), F.col("k").alias("b"), F.col("h").alias("hb")), "rb").where("a <> b")
     both = F.size(F.array_intersect("ha", "hb"))
     x = x.select("a", "b", both.alias("i"), (F.size("ha") + F.size("hb") - both).alias("u"))
-    return x.where(F.col("i") >= t * F.col("u") - EPS).select("a", "b")
+    return x.where(F.col("i") >= t * F.col("u") - EPS).select("a", "b").distinct()
+
+
+def _allowed(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
+    """How many words sets of na and nb words may differ in."""
+    return np.floor((na + nb) * ((1 - t) / (1 + t)) + EPS)
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits; counted of unsigned numbers, as of signed ones those of the absolute value are."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
 
 
-def _allowed(t: float) -> F.Column:
-    """How many words the sets of x and y may differ in."""
-    return F.floor((F.col("x.n") + F.col("y.n")) * ((1 - t) / (1 + t)) + EPS)
+def _near_prints(t: float):
+    """Numbers (size, 64-bit fingerprint) within the Hamming radius."""
+    return lambda x, y: _differing(x[:, 1], y[:, 1]) <= _allowed(x[:, 0], y[:, 0], t)
 
 
 def group_number(c) -> F.Column:
@@ -289,17 +320,9 @@ def _ordered(x: DataFrame, a: str = "ia", b: str = "ib") -> DataFrame:
     return x.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))
 
 
-def _with_prints(needed: DataFrame) -> DataFrame:
-    """(k, r, n, fp): 64-bit fingerprints."""
-
-    def run(batches):
-        for b in batches:
-            hs = b.column("h")
-            flat, off = hs.flatten().to_numpy().view(np.uint64), hs.offsets.to_numpy() - hs.offsets[0].as_py()
-            fp = np.array([np.packbits(parity_sketch(flat[off[i] : off[i + 1]], 64)).view(np.uint64)[0] for i in range(b.num_rows)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("r"), b.column("n"), pa.array(fp.view(np.int64))], names=["k", "r", "n", "fp"])
-
-    return needed.select("k", "r", "n", "h").mapInArrow(run, "k binary, r long, n int, fp long")
+def _print(h: np.ndarray, bits: int = 64) -> list[int]:
+    """The parity fingerprint as numbers of 64 bits."""
+    return np.packbits(parity_sketch(h, bits)).view(np.int64).tolist()
 
 
 def _across(df: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
@@ -308,9 +331,8 @@ def _across(df: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
     src = df.select(F.col("id").cast("string").alias("id"), group_number(F.col("group_id")).alias("g"), split_name(F.col("split")).alias("s"), F.col("instruction").cast("string").alias("t"))
     src = src.where("id is not null and s is not null").select("id", "g", (F.col("s") == "train").alias("train"), "t")
     members, classes = word_sets(src, "train")
-    met = _met(_blocks(classes, lambda h: block_codes(h, t), "train"), "train")
-    needed = _needed(met, classes)
-    alike = _verified(met, _with_prints(needed), F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= _allowed(t), needed, t)
+    blocks = _blocks(classes, lambda h: block_codes(h, t), lambda h: [len(h), *_print(h)], 2, "train")
+    alike = _verified(_met(blocks, _near_prints(t), 2, "train"), classes, t)
     sides = members.where("k is not null").groupBy("k").agg(F.max("train").alias("tr"), F.max(~F.col("train")).alias("he"))
     return members, materialize(alike.unionByName(sides.where("tr and he").select(F.col("k").alias("a"), F.col("k").alias("b"))))
 
@@ -377,18 +399,26 @@ def band_codes(h: np.ndarray, bands: int = BANDS, per: int = ROWS) -> np.ndarray
     return code
 
 
-def _with_distances(needed: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(k, r, n, d): d are the distances to the reference fingerprints."""
+WIDTH = 1 + PIVOTS // 4 + 2
 
-    def run(batches):
-        for b in batches:
-            hs = b.column("h")
-            flat, off = hs.flatten().to_numpy().view(np.uint64), hs.offsets.to_numpy() - hs.offsets[0].as_py()
-            dist = [(parity_sketch(flat[off[i] : off[i + 1]], SKETCH) ^ pivots).sum(1, dtype=np.int16) for i in range(b.num_rows)]
-            d = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(dist) if dist else np.zeros(0, np.int16)), PIVOTS).cast(pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("r"), b.column("n"), d], names=["k", "r", "n", "d"])
 
-    return needed.select("k", "r", "n", "h").mapInArrow(run, "k binary, r long, n int, d array<smallint>")
+def _measures(pivots: np.ndarray):
+    """Word hashes to WIDTH numbers: the size, the distances to the reference fingerprints, four to a number, and a 128-bit
+    fingerprint."""
+    return lambda h: [len(h), *(parity_sketch(h, SKETCH) ^ pivots).sum(1, dtype=np.int16).view(np.int64).tolist(), *_print(h, 128)]
+
+
+def _near_pivots(t: float):
+    """Pairs whose reference distances nowhere differ by more than the allowed words; of those, the ones whose fingerprints
+    are within that Hamming distance. No true pair is discarded by either."""
+
+    def near(x, y):
+        most = _allowed(x[:, 0], y[:, 0], t)
+        tables = [np.ascontiguousarray(z[:, 1 : 1 + PIVOTS // 4]).view(np.int16).astype(np.int32) for z in (x, y)]
+        ok = np.abs(tables[0] - tables[1]).max(1, initial=0) <= most
+        return ok & (_differing(x[:, -2:], y[:, -2:]).sum(1) <= most)
+
+    return near
 
 
 def _reference_fingerprints(classes: DataFrame) -> np.ndarray:
@@ -405,11 +435,8 @@ def near_classes(df: DataFrame, id_col: str, text, t: float) -> tuple[DataFrame,
     src = df.select(F.col(id_col).cast("string").alias("id"), text.alias("t")).where("id is not null")
     members, classes = word_sets(src)
     members = members.where("k is not null")
-    met = _met(_blocks(classes, band_codes))
-    needed = _needed(met, classes)
-    bound = _allowed(t)
-    close = F.forall(F.zip_with("x.d", "y.d", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), lambda z: z <= bound)
-    return members, materialize(_verified(met, _with_distances(needed, _reference_fingerprints(needed)), close, needed, t))
+    blocks = _blocks(classes, band_codes, _measures(_reference_fingerprints(classes)), WIDTH)
+    return members, materialize(_verified(_met(blocks, _near_pivots(t), WIDTH), classes, t))
 
 
 def both_texts() -> F.Column:

@@ -131,15 +131,20 @@ def test_long_texts(spark):
     assert ("a", "b") in {tuple(r) for r in P.near_duplicate_pairs(df).collect()}
 
 
+near = lambda x, y: (x[:, 0] + y[:, 0]) % 3 > 0  # noqa: E731  # sent to the workers by value
+
+
+def pairs_of(rows, sided):
+    return {(a, b) for c, a, x, s in rows for d, b, y, t in rows if c == d and (x + y) % 3 and (a != b and s and not t if sided else a < b)}
+
+
 @pytest.mark.parametrize("longest", [1, 4, 1000])
 def test_met_forms_each_pair_once(spark, longest):
     rng = random.Random(7)
-    rows = [(rng.randint(0, 12), rng.randint(0, 40), rng.random() < 0.6) for _ in range(160)]
-    df = spark.createDataFrame(rows, "code long, r long, side boolean")
-    one = {(a, b) for c, a, _ in rows for d, b, _ in rows if c == d and a < b}
-    assert sorted(map(tuple, P._met(df.select("code", "r"), longest=longest, per_task=4).collect())) == sorted(one)
-    two = {(a, b) for c, a, s in rows for d, b, t in rows if c == d and a != b and s and not t}
-    assert sorted(map(tuple, P._met(df, "side", longest, 4).collect())) == sorted(two)
+    rows = [(rng.randint(0, 12), r, r % 5, rng.random() < 0.6) for r in (rng.randint(0, 40) for _ in range(160))]
+    df = spark.createDataFrame(rows, "code long, r long, x0 long, side boolean")
+    assert sorted(map(tuple, P._met(df.drop("side"), near, 1, None, longest, 4).collect())) == sorted(pairs_of(rows, False))
+    assert sorted(map(tuple, P._met(df, near, 1, "side", longest, 4).collect())) == sorted(pairs_of(rows, True))
 
 
 @pytest.mark.parametrize("longest", [1, 3, 6, 1000])
@@ -148,13 +153,25 @@ def test_runs_over_any_batches(longest, cut):
     import pyarrow as pa
 
     rng = random.Random(3)
-    rows = sorted((rng.choice([1, 2, 2, 2, 3, 4, 5, 5]), rng.randint(0, 9), rng.random() < 0.5) for _ in range(60))
-    batches = [pa.RecordBatch.from_pylist([{"code": c, "r": r, "side": s} for c, r, s in rows[i : i + cut]]) for i in range(0, len(rows), cut)]
+    rows = sorted((rng.choice([1, 2, 2, 2, 3, 4, 5, 5]), r, r % 5, rng.random() < 0.5) for r in (rng.randint(0, 9) for _ in range(60)))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("code", "r", "x0", "side"), x)) for x in rows[i : i + cut]]) for i in range(0, len(rows), cut)]
     for sided in (False, True):
-        pairs, hot = set(), []
-        for b in P._runs(iter(batches), sided, longest):
+        got, hot = set(), []
+        for b in P._runs(iter(batches), near, 1, sided, longest):
             for x in b.to_pylist():
-                hot.append((x["code"], x["ra"], x["side"])) if x["rb"] is None else pairs.add((x["ra"], x["rb"]))
-        pairs |= {(a, b) for c, a, s in hot for d, b, t in hot if c == d and (a != b and s and not t if sided else a < b)}
-        want = {(a, b) for c, a, s in rows for d, b, t in rows if c == d and (a != b and s and not t if sided else a < b)}
-        assert pairs == want
+                hot.append((x["code"], x["ra"], x["x"][0], x["side"])) if x["rb"] is None else got.add((x["ra"], x["rb"]))
+        assert got | pairs_of(hot, sided) == pairs_of(rows, sided)
+
+
+def test_thinning_keeps_every_true_pair():
+    rng = np.random.default_rng(12)
+    pivots = np.array([P.parity_sketch(rng.integers(0, 1 << 63, 90, dtype=np.uint64), P.SKETCH) for _ in range(P.PIVOTS)])
+    of, close, prints = P._measures(pivots), P._near_pivots(0.75), P._near_prints(0.85)
+    for n, drop, new in ((90, 10, 9), (8, 1, 1), (3000, 300, 300), (94, 0, 20)):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[drop:], rng.integers(0, 1 << 63, new, dtype=np.uint64)])
+        assert close(np.array([of(a)]), np.array([of(b)]))[0]
+        if (n - drop) / (n + new) >= 0.85:
+            assert prints(np.array([[len(a), *P._print(a)]]), np.array([[len(b), *P._print(b)]]))[0]
+    x, y = (rng.integers(0, 1 << 63, 90, dtype=np.uint64) for _ in range(2))
+    assert not close(np.array([of(x)]), np.array([of(y)]))[0]
