@@ -57,8 +57,8 @@ def tokens(c: Column) -> Column:
 
 
 def closing_form(c: Column) -> Column:
-    """TX5 without the compatibility step, which changes no ASCII letter: lower-case words joined."""
-    return F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z][a-z'-]*"), F.lit(0)), " ")
+    """TX5: compatibility composition, then lower-case words joined."""
+    return F.array_join(F.regexp_extract_all(F.lower(nfkc(c)), F.lit(r"[a-z][a-z'-]*"), F.lit(0)), " ")
 
 
 def word_count(c: Column) -> Column:

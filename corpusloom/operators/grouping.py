@@ -28,15 +28,21 @@ def with_groups(df: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     return df.join(roots, key, "left").withColumn("root", F.coalesce("root", F.col(key)))
 
 
+def exact_groups(df: DataFrame, key: str, value: Column, within: str) -> DataFrame:
+    """CL2 alone: (key, root): equal values of a stratum are a group already, so its root is the least key of the value, found
+    by an aggregate. Rows without a value are their own root."""
+    x = df.select(F.col(key), F.col(within).alias("_s"), F.when(value != "", value).alias("_v"))
+    least = x.where("_v is not null").groupBy("_s", "_v").agg(F.min(key).alias("root"))
+    return x.alias("x").join(least.alias("l"), F.col("x._s").eqNullSafe(F.col("l._s")) & (F.col("x._v") == F.col("l._v")), "left").select(F.col(f"x.{key}").alias(key), F.coalesce("root", f"x.{key}").alias("root"))
+
+
 def group_ids(grouped: DataFrame, stratum: str, prefix: str = "g-") -> DataFrame:
-    """CL5: group ids numbered over strata in order and groups by smallest member. The numbers come from group counts per
-    stratum and a rank inside each stratum; strata are few, groups of a stratum are ranked in their own task."""
-    g = grouped.select(stratum, "root").distinct()
-    sizes = g.groupBy(stratum).agg(F.count("*").alias("n"))
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy(F.asc_nulls_first(stratum)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per stratum
-    ranked = g.withColumn("r", F.row_number().over(W.partitionBy(stratum).orderBy("root")))
-    base = base.select(F.col(stratum).alias("_s"), "base")
-    x = ranked.join(base, F.col(stratum).eqNullSafe(F.col("_s"))).select(F.col("root").alias("_root"), "_s", F.format_string(prefix + "%06d", F.col("base") + F.col("r") - 1).alias("group_new"))
+    """CL5: group ids numbered over strata in order and groups by smallest member. The numbers are positions in one order of all
+    groups, given by ranges of it, so no stratum has to fit into a task."""
+    from corpusloom.operators.profile import batches
+
+    g = grouped.select(F.col(stratum).alias("_s"), F.col("root").alias("_root")).distinct()
+    x = batches(g, F.struct("_s", "_root"), 1).select("_s", "_root", F.format_string(prefix + "%06d", F.col("position")).alias("group_new"))
     return grouped.join(x, (F.col("root") == F.col("_root")) & F.col(stratum).eqNullSafe(F.col("_s"))).drop("_root", "_s")
 
 

@@ -41,17 +41,45 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], lid: str, rid:
 
 def screen_by_grams(corpus: DataFrame, key: str, text: Column, held: DataFrame, held_text: Column, n: int = 6) -> DataFrame:
     """JN14, JN15, VA5: (key, n_shared, exact, pass): distinct n-grams a row shares with the held-out texts, and equality
-    after normalisation. The corpus side is exploded per row only for rows with a shared gram: held-out grams are joined
-    to exploded grams and counted per row, so the shuffle carries grams once."""
-    grams = held.select(F.explode(X.ngrams(X.tokens(held_text), n)).alias("gram")).distinct()
-    c = corpus.select(F.col(key).alias("key"), X.tokens(text).alias("w"))
-    shared = c.select("key", F.explode(X.ngrams(F.col("w"), n)).alias("gram")).join(grams, "gram").groupBy("key").agg(F.count("*").alias("n_shared"))
-    same = held.select(F.array_join(X.tokens(held_text), " ").alias("norm")).where("norm <> ''").distinct().withColumn("same", F.lit(True))
-    out = c.select("key", F.array_join("w", " ").alias("norm")).join(same, "norm", "left").join(shared, "key", "left")
-    out = out.select(F.col("key").alias(key), F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("same", F.lit(False)).alias("exact"))
+    after normalisation. Words are taken once per text, grams are made from them. A row's equality is carried as one more
+    gram, marked, so that one pass and one join give both."""
+    words = lambda df, c, *keep: df.select(*keep, X.tokens(c).alias("w")).where("w is not null")
+    whole = F.when(F.size("w") > 0, F.array(F.concat(F.lit("="), F.array_join("w", " ")))).otherwise(F.array().cast("array<string>"))
+    grams = F.concat(X.ngrams(F.col("w"), n), whole)
+    wanted = words(held, held_text).select(F.explode(grams).alias("gram")).distinct()
+    got = words(corpus, text, F.col(key).alias("key")).select("key", F.explode(grams).alias("gram")).join(wanted, "gram")
+    exact = F.col("gram").startswith("=")
+    shared = got.groupBy("key").agg(F.count_if(~exact).alias("n"), F.count_if(exact).alias("e"))
+    out = corpus.select(F.col(key).alias("key")).join(shared, "key", "left").select(F.col("key").alias(key), F.coalesce("n", F.lit(0)).alias("n_shared"), (F.coalesce("e", F.lit(0)) > 0).alias("exact"))
     return out.withColumn("pass", (F.col("n_shared") == 0) & ~F.col("exact"))
 
 
+def gram_sources(corpus: DataFrame, key: str, text: Column, held: DataFrame, held_key: str, held_text: Column, n: int = 6, most: int = 20) -> DataFrame:
+    """JN14: (key, gram, n_sources, sources): each shared gram of a row with how many held-out texts have it and the first
+    ``most`` of their ids; the count is whole."""
+    a = corpus.select(F.col(key).alias("key"), X.tokens(text).alias("w")).select("key", F.explode(X.ngrams(F.col("w"), n)).alias("gram"))
+    b = held.select(F.col(held_key).cast("string").alias("source"), X.tokens(held_text).alias("w")).select("source", F.explode(X.ngrams(F.col("w"), n)).alias("gram"))
+    from pyspark.sql import Window as W
+
+    counts = b.groupBy("gram").agg(F.count("*").alias("n_sources"))
+    first = b.withColumn("r", F.row_number().over(W.partitionBy("gram").orderBy("source"))).where(F.col("r") <= most)  # cut inside each task before the shuffle
+    named = first.groupBy("gram").agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources"))
+    return a.join(counts, "gram").join(named, "gram").select(F.col("key").alias(key), "gram", "n_sources", "sources")
+
+
+def group_mismatches(left: DataFrame, right: DataFrame, key: str, group: str) -> DataFrame:
+    """JN2: (key, left_group, right_group) where both sides have the key in different groups."""
+    x = left.select(key, F.col(group).alias("left_group")).join(right.select(key, F.col(group).alias("right_group")), key)
+    return x.where(~F.col("left_group").eqNullSafe(F.col("right_group")))
+
+
+def unknown_keys(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """JN8, JN17, JN23: (key, problem): wanted keys that are not known, and known ones that are not unique."""
+    lacking = wanted.select(key).where(F.col(key).isNotNull()).distinct().join(known.select(key).distinct(), key, "left_anti").select(key, F.lit("unknown").alias("problem"))
+    twice = known.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.lit("repeated").alias("problem"))
+    return lacking.unionByName(twice)
+
+
 def purge_groups(df: DataFrame, group: str, bad: DataFrame, key: str) -> DataFrame:
     """JN16: all rows of groups without a bad row; rows without a group stand alone."""
     spoiled = df.join(bad.select(key).distinct(), key, "left_semi")

@@ -22,10 +22,10 @@ def duplicate_report(df: DataFrame, key: Column) -> DataFrame:
     return n.agg(F.count("*").alias("unique_values"), F.count_if(dup).alias("values_with_dup"), F.coalesce(F.sum(F.when(dup, F.col("n"))), F.lit(0)).alias("rows_in_dup"), F.coalesce(F.sum(F.when(dup, F.col("n") - 1)), F.lit(0)).alias("extra_rows"))
 
 
-def percentiles(df: DataFrame, by: list[str], c: Column, at: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """AG3 to AG5: exact linear percentiles, minimum, maximum and mean."""
+def percentiles(df: DataFrame, by: list[str], c: Column, at: tuple[float, ...] = (0.5, 0.9, 0.99), over: float | None = None) -> DataFrame:
+    """AG3 to AG5: exact linear percentiles, minimum, maximum and mean; with ``over`` the number of values at least that."""
     names = ["p" + str(int(p * 100)) for p in at]
-    aggs = [F.percentile(c, p).alias(n) for p, n in zip(at, names)]
+    aggs = [F.percentile(c, p).alias(n) for p, n in zip(at, names)] + ([] if over is None else [F.count_if(c >= over).alias("n_over")])
     return df.groupBy(*by).agg(F.count(c).alias("n"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("most"), F.round(F.avg(c), 6).alias("mean"), *aggs)
 
 
@@ -63,10 +63,32 @@ def confusion_at(df: DataFrame, score: str, label: str, thresholds: list[float])
 
 
 def pick_threshold(table: DataFrame) -> DataFrame:
-    """AG11: the lowest threshold without false positives, else the highest that keeps any pair."""
-    clean = F.min(F.when((F.col("fp") == 0) & (F.col("tp") > 0), F.col("threshold")))
-    any_ = F.max(F.when(F.col("tp") + F.col("fp") > 0, F.col("threshold")))
-    return table.agg(F.coalesce(clean, any_).alias("threshold"), clean.isNotNull().alias("clean"))
+    """AG11: (threshold, rule): the lowest threshold without false positives, some pair above it and at least half of those
+    below labelled different; else the lowest without false positives; else the highest that keeps any pair; else the highest."""
+    below, above = F.col("fn") + F.col("tn"), F.col("tp") + F.col("fp")
+    clean = (F.col("fp") == 0) & (above > 0)
+    mostly = clean & ((below == 0) | (F.col("tn") * 2 >= below))
+    lowest = lambda c: F.min(F.when(c, F.col("threshold")))
+    some = F.max(F.when(above > 0, F.col("threshold")))
+    rule = F.when(lowest(mostly).isNotNull(), "clean_and_mostly_different_below").when(lowest(clean).isNotNull(), "clean").otherwise("most_conservative")
+    return table.agg(F.coalesce(lowest(mostly), lowest(clean), some, F.max("threshold")).alias("threshold"), rule.alias("rule"))
+
+
+def capped_accounting(pool: DataFrame, capped: DataFrame, stratum: str, synthetic: Column) -> DataFrame:
+    """AG14: (stratum, pool, pool_synthetic, capped, capped_synthetic): rows before and after a cap."""
+    one = lambda df, k: df.select(F.col(stratum), *[F.lit(int(x == k)).alias(x) for x in ("pool", "capped")], F.coalesce(synthetic, F.lit(False)).cast("int").alias("s"))
+    x = one(pool, "pool").unionByName(one(capped, "capped"))
+    return x.groupBy(stratum).agg(F.sum("pool").alias("pool"), F.sum(F.col("pool") * F.col("s")).alias("pool_synthetic"), F.sum("capped").alias("capped"), F.sum(F.col("capped") * F.col("s")).alias("capped_synthetic"))
+
+
+def paired_summary(pairs: DataFrame, low: Column, base_critical: Column, tuned_critical: Column) -> DataFrame:
+    """AG18: (n, base_rate, tuned_rate, points, win, tie, loss, base_critical, tuned_critical, verdict). low: the lower end of
+    the interval of the difference."""
+    rate = lambda c: F.avg(F.col(c).cast("int"))
+    x = pairs.agg(F.count("*").alias("n"), rate("base_pass").alias("b"), rate("tuned_pass").alias("t"), *[F.count_if(F.col("preferred") == p).alias(n) for p, n in (("tuned", "win"), ("tie", "tie"), ("base", "loss"))], F.count_if(base_critical).alias("base_critical"), F.count_if(tuned_critical).alias("tuned_critical"))
+    points = (F.col("t") - F.col("b")) * 100
+    made = verdict(points, low, F.col("tuned_critical") > F.col("base_critical"))
+    return x.select("n", F.round("b", 6).alias("base_rate"), F.round("t", 6).alias("tuned_rate"), F.round(points, 6).alias("points"), "win", "tie", "loss", "base_critical", "tuned_critical", made.alias("verdict"))
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -108,13 +130,30 @@ def missing_bounds(pairs: DataFrame, observed: Column) -> DataFrame:
 
 
 def concentration(df: DataFrame, gram: Column, stratum: str, share: float = 0.1, strata: int = 5) -> DataFrame:
-    """AG23: grams in more than a share of the rows or in more than so many strata."""
+    """Grams of an array column in more than a share of the rows or in more than so many strata."""
     n = df.count()
     x = df.select(F.col(stratum), F.explode(F.array_distinct(gram)).alias("gram"))
     c = x.groupBy("gram").agg(F.count("*").alias("n_rows"), F.count_distinct(stratum).alias("n_strata"))
     return c.where((F.col("n_rows") > share * n) | (F.col("n_strata") > strata)).withColumn("row_share", F.round(F.col("n_rows") / n, 6))
 
 
+def closer_audit(df: DataFrame, answer: Column, stratum: str, share: float = 0.1, strata: int = 5, kind_share: float = 0.6) -> DataFrame:
+    """AG23: the breaches (kind, what, n_rows, n_strata): closing sentences and their 6-grams (one gram of all words where there
+    are fewer) in more than a share of all rows or in more than so many strata, and kinds of closing in more than
+    ``kind_share`` of the rows. No row means not concentrated. A row's keys are exploded and combined before the shuffle."""
+    from corpusloom.functions import text as X
+    from corpusloom.operators.rules import last_sentence, sentence_kinds
+
+    n = df.count()
+    x = df.select(F.coalesce(F.col(stratum), F.lit("?")).alias("s"), last_sentence(F.coalesce(answer, F.lit(""))).alias("c"))
+    x = x.select("s", "c", X.closing_form(F.col("c")).alias("f")).where("f <> ''").select("s", "c", "f", F.split("f", " ").alias("w"))
+    named = lambda kind, a: F.transform(a, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("what")))
+    keys = F.concat(named("sentence", F.array("f")), named("6-gram", X.ngrams(F.col("w"), 6, short=True)), named("kind", sentence_kinds(F.col("c"))))
+    c = x.select("s", F.explode(keys).alias("k")).groupBy("k.kind", "k.what").agg(F.count("*").alias("n_rows"), F.count_distinct("s").alias("n_strata"))
+    wide = (F.col("kind") != "kind") & ((F.col("n_rows") > share * n) | (F.col("n_strata") > strata))
+    return c.where(wide | ((F.col("kind") == "kind") & (F.col("n_rows") > kind_share * n)))
+
+
 def latency_summary(df: DataFrame, by: list[str], latency: str, tokens: str, failed: Column) -> DataFrame:
     """AG24: attempts, failures, percentiles of the successes, rates over the summed time."""
     ok = F.when(~failed, F.col(latency))

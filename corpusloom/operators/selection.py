@@ -20,10 +20,14 @@ def split_counts(n: Column) -> dict[str, Column]:
 
 
 def split_groups(df: DataFrame, stratum: str, group: str, seed: str = "42") -> DataFrame:
-    """SP2: (stratum, group, split): whole groups, in hash order inside each stratum."""
+    """SP2: (stratum, group, split): whole groups, in hash order inside each stratum. A group's rank is its position in one
+    order of all groups less the first position of its stratum, so no stratum has to fit into a task."""
+    from corpusloom.operators.profile import batches
+
     g = df.where(F.col(group).isNotNull()).select(stratum, group).distinct()
-    w = W.partitionBy(stratum)
-    x = g.withColumn("r", F.row_number().over(w.orderBy(X.hash_order(seed, F.col(group)), group))).withColumn("n", F.count("*").over(w).cast("int"))
+    x = batches(g, F.struct(F.col(stratum), X.hash_order(seed, F.col(group)), F.col(group)), 1)
+    first = x.groupBy(F.col(stratum).alias("_s")).agg(F.min("position").alias("first"), F.count("*").cast("int").alias("n"))
+    x = x.join(first, F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("r", F.col("position") - F.col("first") + 1)
     c = split_counts(F.col("n"))
     return x.select(stratum, group, F.when(F.col("r") <= c["train"], "train").when(F.col("r") <= c["train"] + c["val"], "val").otherwise("test").alias("split_new"))
 
@@ -37,6 +41,8 @@ def cap_groups(df: DataFrame, stratum: str, group: str, cap: int, seed: str = "4
     groups a stratum, as a stratum sends its groups only up to a running size of the cap."""
     out = df if exempt is None else df.where(~exempt)
     free = cap if exempt is None else cap - df.where(exempt).count()
+    if free < 1 <= cap and exempt is not None:
+        return cap_groups(df, stratum, group, cap, seed)  # the exempt rows alone fill the cap, so all are capped alike
     g = out.groupBy(stratum, group).agg(F.count("*").alias("n"))
     w = W.partitionBy(stratum).orderBy(X.hash_order(seed, F.col(group)), group)
     # a stratum stops at its first group that does not fit, so what follows its running sum beyond the cap is never chosen
@@ -70,6 +76,44 @@ def quota(df: DataFrame, stratum: str, group: str, key: str, k: int, seed: str)
     return first.withColumn("r", F.row_number().over(W.partitionBy(stratum).orderBy("o", key))).where(F.col("r") <= k).select(stratum, group, key, "r")
 
 
+def curated(df: DataFrame, stratum: str, group: str, key: str, text: Column, k: int, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SP5: (selected rows with their rank, keys left out for a wording of slot rewriting, strata with fewer than k groups):
+    the exact digest order of "v3-curation:{seed}:{key}", of each group its first row."""
+    from corpusloom.operators.rules import without_artifacts
+
+    good, out = without_artifacts(df, key, text)
+    o = F.sha2(F.concat_ws(":", F.lit("v3-curation"), F.lit(seed), F.col(key).cast("string")), 256)
+    first = good.groupBy(stratum, group).agg(F.min(F.struct(o.alias("o"), F.col(key).alias(key))).alias("x")).select(stratum, group, "x.o", f"x.{key}")
+    got = first.withColumn("r", F.row_number().over(W.partitionBy(stratum).orderBy("o", key))).where(F.col("r") <= k).drop("o")
+    n = df.select(stratum).distinct().join(first.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("n")), F.col(stratum).eqNullSafe(F.col("_s")), "left").select(stratum, F.coalesce("n", F.lit(0)).alias("n_groups"))
+    return got, out, n.where(F.col("n_groups") < k)
+
+
+def micro_batches(df: DataFrame, key: str, seed: int, size: int, start: int = 0, n: int | None = None) -> DataFrame:
+    """SP9, SM5: (key, cursor, epoch, batch): the batches of one epoch in its hash order, from the global cursor ``start`` on; rows
+    that fill no batch are left out of the epoch. The cursor says the epoch, so a later call goes on where one ended."""
+    from corpusloom.operators.profile import batches
+
+    rows = df.count()
+    per = max(1, rows // size)
+    epoch = start // per
+    x = batches(df.select(key), F.struct(X.hash_order(f"epoch:{seed + epoch}", F.col(key)), key), size).where(F.col("batch") < per)
+    x = x.select(key, (F.lit(epoch * per) + F.col("batch")).cast("long").alias("cursor"), F.lit(epoch).alias("epoch"), F.col("batch").cast("long").alias("batch")).where(F.col("cursor") >= start)
+    return x if n is None else x.where(F.col("cursor") < start + n)
+
+
+def cells_left(cells: DataFrame, rows: DataFrame, by: list[str], want: str, seed: str, redo: DataFrame | None = None) -> DataFrame:
+    """SP13, SM4: cells (by..., want) still to do with their place in a seeded order: those without their quota of rows, or, with
+    a list of cells to redo, those in it and those without any row."""
+    have = rows.groupBy(*by).agg(F.count("*").alias("have"))
+    x = cells.join(have, by, "left").na.fill(0, ["have"])
+    if redo is None:
+        x = x.where(F.col("have") < F.col(want))
+    else:
+        x = x.join(redo.select(*by).distinct().withColumn("again", F.lit(True)), by, "left").where("have < 1 or again").drop("again")
+    return x.withColumn("place", X.hash_order(seed, *[F.col(c) for c in by]))
+
+
 def quota_backfilled(df: DataFrame, stratum: str, group: str, key: str, k: int, n: int, seed: str) -> DataFrame:
     """SP6: (stratum, group, key, backfilled): up to k groups per stratum in hash order, a row each, then what is missing of
     n taken from the groups left, strata taking turns, those with most groups left first. A group counts once over all

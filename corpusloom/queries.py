@@ -98,7 +98,7 @@ def leak_screen_summary(spark, d):
 
 @query(f"select id, {_norm('instruction')} norm, {_norm('response')} template_like, len({_tokens('instruction')}) n_tokens_ascii, len(regexp_extract_all(response, '[A-Za-z][A-Za-z''’-]*')) n_words, array_to_string(string_split(trim(regexp_replace(instruction, '\\s+', ' ', 'g')), ' ')[1:8], ' ') head from augmentation_context")
 def text_normal_forms(spark, d):
-    return _ctx(spark, d).select("id", X.normalize_ascii(F.col("instruction")).alias("norm"), X.normalize_ascii(F.col("response")).alias("template_like"), F.size(X.tokens(F.col("instruction"))).alias("n_tokens_ascii"), X.word_count(F.col("response")).alias("n_words"), X.first_words(F.col("instruction")).alias("head")).withColumn("n_tokens_ascii", F.when(F.col("n_tokens_ascii") >= 0, F.col("n_tokens_ascii").cast("long"))).withColumn("n_words", F.when(F.col("n_words") >= 0, F.col("n_words").cast("long")))
+    return _ctx(spark, d).select("id", X.normalize_ascii(F.col("instruction")).alias("norm"), X.response_template(F.col("response")).alias("template_like"), F.size(X.tokens(F.col("instruction"))).alias("n_tokens_ascii"), X.word_count(F.col("response")).alias("n_words"), X.first_words(F.col("instruction")).alias("head")).withColumn("n_tokens_ascii", F.when(F.col("n_tokens_ascii") >= 0, F.col("n_tokens_ascii").cast("long"))).withColumn("n_words", F.when(F.col("n_words") >= 0, F.col("n_words").cast("long")))
 
 
 @query()
@@ -231,34 +231,61 @@ def placeholder_rewrite(spark, d):
 
 
 def _words_sql(c):
-    return f"list_distinct(list_transform(regexp_extract_all({c}, '[A-Za-z][A-Za-z''’-]*'), lambda w: regexp_replace(lower(w), '^[''’-]+|[''’-]+$', '', 'g')))"
+    return f"list_distinct(list_transform(regexp_extract_all({_fold(c)}, '[a-z][a-z''’-]*'), lambda w: regexp_replace(w, '^[''’-]+|[''’-]+$', '', 'g')))"
 
 
 def _lint_sql(c, field):
-    hits = [f"case when regexp_matches({c}, '{p}') then '{field}:{k}' end" for k, p in rules.LINT_PATTERNS.items()]
-    hits += [f"case when list_has_any({_words_sql(c)}, {words!r}) then '{field}:{k}' end" for k, words in rules.LINT_WORDS.items()]
+    free = "case i when 'check_cancellation_fee' then ['fee', 'fees', 'charge', 'charges'] when 'recover_password' then ['password', 'passwords'] else []::varchar[] end"
+    words = f"list_filter({_words_sql(c)}, lambda w: not list_contains({free}, w))"
+    said = f"case i when 'check_cancellation_fee' then regexp_replace({c}, '(?i)\\b(?:fee|fees|charge|charges)\\b', ' ', 'g') when 'recover_password' then regexp_replace({c}, '(?i)\\b(?:password|passwords)\\b', ' ', 'g') else {c} end"
+    hits = [f"case when regexp_matches({c}, '[0-9]') then '{field}:digit' end", f"case when regexp_matches({c}, '[$€£¥₹¢%]') then '{field}:currency_symbol' end"]
+    hits += [f"case when regexp_matches({c}, '(?i)(https?://|www\\.|\\b[a-z0-9-]+\\.(?:com|net|org|io|co|in)\\b|@[a-z0-9-]+\\.)') then '{field}:url_or_address' end"]
+    hits += [f"case when contains({c}, '24/7') or contains(lower({c}), 'twenty-four seven') or contains(lower({c}), '24x7') then '{field}:always_open' end"]
+    hits += [f"case when list_has_any({words}, {w!r}) then '{field}:{k}' end" for k, w in rules.LINT_WORDS.items()]
+    hits += [f"case when regexp_matches({said}, '(?i)\\b(password|passwords|pin|otp|cvv|cvc|passcode|credential|credentials|one-time code|security code|verification code|card number|login details)\\b') then '{field}:credential_request' end"]
     return f"list_filter([{', '.join(hits)}], lambda x: x is not null)"
 
 
-@query(f"""with x as (select id, coalesce(instruction, '') q, coalesce(response, '') a from augmentation_context),
-y as (select id, q, a, len(regexp_extract_all(a, '[A-Za-z][A-Za-z''’-]*')) n, len(regexp_extract_all(q, '[A-Za-z][A-Za-z''’-]*')) m from x)
-select id, array_to_string(list_sort(list_distinct(list_concat(list_concat({_lint_sql('q', 'query')}, {_lint_sql('a', 'answer')}),
-list_filter([case when n < 35 or n > 75 then 'answer:word_band(' || n || ')' end, case when m < 4 then 'query:too_short' end], lambda x: x is not null)))), '|') lint from y""")
+_DONE_SQL = "(?i)\\b(i(?:''ve| have)\\s+(?:already\\s+)?(?:processed|cancelled|canceled|updated|refunded|escalated|checked|located|found|submitted|changed|removed|sent|raised|gone ahead|arranged|reset|opened)|(?:has|have) been (?:processed|cancelled|canceled|updated|refunded|escalated|raised|reset))"
+_OFFER_SQL = (
+    "(?i)(\\b(?:i(?:''ll| will| can)|let me|allow me to|happy to)\\s+(?:just\\s+|quickly\\s+|go ahead and\\s+)?(?:look(?:ing)? up|look into|pull up|check|verify|confirm|track|locate|find|retrieve|process|issue|cancel|refund|update|escalate|raise|forward|transfer|connect|put you through|reset|open|arrange|submit)"
+    "|\\b(?:connect(?:ing)?|transfer(?:ring)?) you\\b|\\bput you through\\b|\\bour (?:team|agents?|department|specialists?)\\s+(?:will|can)\\b|\\ba (?:representative|specialist|agent|colleague)\\s+(?:will|can)\\b)"
+)
+
+
+@query(f"""with x as (select id, {_INTENT_SQL} i, coalesce(instruction, '') q, coalesce(response, '') a from augmentation_context),
+y as (select *, len(regexp_extract_all(a, '[A-Za-z][A-Za-z''’-]*')) n, len(regexp_extract_all(q, '[A-Za-z][A-Za-z''’-]*')) m, {_fold('a')} f from x)
+select id, array_to_string(list_sort(list_concat(list_concat({_lint_sql('q', 'query')}, {_lint_sql('a', 'answer')}),
+list_filter([case when n < 35 or n > 75 then 'answer:word_band(' || n || ')' end, case when m < 4 then 'query:too_short' end, case when contains(f, 'i''m on it') or contains(f, 'i am on it') or contains(f, 'i''m on the same wavelength') or contains(f, 'rest assured') then 'answer:bitext_opener' end,
+case when regexp_matches(a, '{_DONE_SQL}') then 'answer:completed_action' end, case when regexp_matches(a, '{_OFFER_SQL}') then 'answer:offers_lookup_or_transfer' end], lambda x: x is not null))), '|') lint from y""")
 def lint_rows(spark, d):
-    return _ctx(spark, d).select("id", F.array_join(rules.lint_row(F.coalesce("instruction", F.lit("")), F.coalesce("response", F.lit(""))), "|").alias("lint"))
+    x = rules.lint(_ctx(spark, d), F.coalesce("instruction", F.lit("")), F.coalesce("response", F.lit("")), _intent())
+    return x.select("id", F.array_join("lint", "|").alias("lint"))
 
 
 @query("""with t as (select answer_id, replace(lower(translate(answer, '‘’‛′', '''''''''')), 'ß', 'ss') x from raw_answers where answer is not null)
 select answer_id, """ + " or ".join(f"contains(x, '{p.replace(chr(39), chr(39) * 2)}')" for p in rules.ADMIT) + """ admit, array_to_string(list_filter([""" + ", ".join(f"case when contains(x, '{p.replace(chr(39), chr(39) * 2)}') then '{p.replace(chr(39), chr(39) * 2)}' end" for p in rules.ADMIT) + """], lambda p: p is not null), '|') admit_phrases,
 starts_with(ltrim(x), 'i''m on it') or starts_with(ltrim(x), 'i''m on the same wavelength') opener, contains(x, 'rest assured') rest_assured, contains(x, 'i can''t assist with that') declines from t""")
 def phrase_scan(spark, d):
-    a = _ans(spark, d).where("answer is not null")
-    return a.select("answer_id", *[c.alias(k) for k, c in rules.phrase_scan(F.col("answer")).items()])
+    a = _ans(spark, d).where("answer is not null").select("answer_id", "answer")
+    return rules.phrase_scan(a, F.col("answer")).drop("answer")
 
 
-@query()
+def _asked_sql(p):
+    warned = "(?i)(?:\\b(?:never|do\\s+not|don''t|should\\s+not|shouldn''t|must\\s+not|avoid)\\s+|\\b(?:never|will\\s+not|won''t)\\s+ask(?:\\s+\\w+){0,3}\\s+to\\s+)$"
+    hit = f"regexp_extract(x, '{p}')"
+    before = f"left(x, strpos(x, {hit}) - 1)"
+    return f"case when {hit} <> '' and not regexp_matches(right({before}, 60), '{warned}') then {hit} end"
+
+
+_ASK_SQL = "(?i)\\b(?:provide|send|share|tell\\s+me|give\\s+me)\\b.{0,40}"
+
+
+@query("select answer_id, found from (select answer_id, coalesce(" + ", ".join(_asked_sql(p) for p in (
+    _ASK_SQL + "\\b(?:current\\s+)?password\\b", _ASK_SQL + "\\b(?:full\\s+)?(?:credit\\s+|debit\\s+|payment\\s+)?card\\b", _ASK_SQL + "\\b(?:cvv|cvc|pin|security\\s+code)\\b",
+    "(?i)\\benter\\b.{0,40}\\b(?:password|card|cvv|cvc|pin|security\\s+code)\\b.{0,20}\\b(?:here|below|in\\s+(?:this\\s+)?chat)\\b")) + ") found from (select answer_id, coalesce(answer, '') x from raw_answers)) where found is not null")
 def credential_requests(spark, d):
-    a = _ans(spark, d).select("answer_id", rules.asks_for(F.coalesce("answer", F.lit("")), rules.CREDENTIAL_REQUEST, rules.WARNING_BEFORE).alias("found"))
+    a = _ans(spark, d).select("answer_id", rules.credential_request(F.coalesce("answer", F.lit(""))).alias("found"))
     return a.where("found is not null")
 
 
@@ -271,17 +298,18 @@ def pii_secret_scan(spark, d):
     return rules.secret_scan(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""select family, count(*) n from (select case when regexp_matches(l, '(?i)^promises') then 'promises an amount' when regexp_matches(l, '(?i)claims that') then 'claims an action'
-when regexp_matches(l, '(?i)invents|states') then 'invents a fact' else 'other' end family from (select unnest(critical_fail_if) l from scenarios)) group by family""")
-def critical_families(spark, d):
-    x = _items(spark, d).select(F.explode("critical_fail_if").alias("l"))
-    return x.groupBy(rules.first_family(F.col("l"), rules.FAMILIES, "other").alias("family")).agg(F.count("*").alias("n"))
+_FAMILY_SQL = (
+    ("Asks for a secret", "asks for .*(password|card number)"), ("Pretends to be a human, or answers outside support", "speaking to a human|on the line with an agent|warehouse job|ceo salary|named gym|cash to the sister|packing is garbage"),
+    ("States policy, a fee, or a window as fact", "policy|fee|window as fact|refundable|no-questions|cutoff as fact|discounts will stack|automatically zeroes"),
+    ("Promises a date, a timeline, or an amount", "timeline|ship date|arrival date|arrive|day count|completion date|callback|call today|deadline|on the way|will work today|when the money|shipped today|in the bank|money has arrived|pickup point|same-day|tomorrow"),
+    ("Invents a fact it was never given", "invents|in stock|stock of|is unused|globally down|widget is working|as fact$|quotes a phone number|support hours|specific couriers|star rating|courier scan|current location"),
+)
 
 
-@query()
-def closing_kinds(spark, d):
-    a = _ans(spark, d).where("answer is not null").select(rules.closing_kinds(F.col("answer")).alias("kinds"))
-    return a.groupBy("kinds").agg(F.count("*").alias("n"))
+@query("select family, count(*) n from (select case " + " ".join(f"when regexp_matches(lower(l), '{p}') then '{n}'" for n, p in _FAMILY_SQL) + " else 'Claims an action it cannot take' end family from (select unnest(critical_fail_if) l from scenarios) where l is not null) group by family")
+def critical_families(spark, d):
+    x = _items(spark, d).select(F.explode("critical_fail_if").alias("l")).where("l is not null")
+    return x.groupBy(rules.first_family(F.col("l"), rules.FAMILIES, rules.LAST_FAMILY).alias("family")).agg(F.count("*").alias("n"))
 
 
 @query(f"""with x as (select intent, {_grams("regexp_extract_all(lower(response), '[a-z][a-z''-]*')")} g from augmentation_context where response is not null), n as (select count(*) n from x)
@@ -415,7 +443,8 @@ def threshold_confusion(spark, d):
     return profile.confusion_at(p, "similarity", "same", _T)
 
 
-@query("select coalesce(min(threshold) filter (fp = 0 and tp > 0), max(threshold) filter (tp + fp > 0)) threshold, min(threshold) filter (fp = 0 and tp > 0) is not null clean from (" + SQL["threshold_confusion"] + ")")
+@query("with t as (" + SQL["threshold_confusion"] + """) select coalesce(min(threshold) filter (fp = 0 and tp > 0 and (fn + tn = 0 or tn >= 0.5 * (fn + tn))), min(threshold) filter (fp = 0 and tp > 0), max(threshold) filter (tp + fp > 0), max(threshold)) threshold,
+case when count(*) filter (fp = 0 and tp > 0 and (fn + tn = 0 or tn >= 0.5 * (fn + tn))) > 0 then 'clean_and_mostly_different_below' when count(*) filter (fp = 0 and tp > 0) > 0 then 'clean' else 'most_conservative' end "rule" from t""")
 def threshold_pick(spark, d):
     return profile.pick_threshold(threshold_confusion(spark, d))
 
@@ -452,7 +481,7 @@ _KEYS = f"select id, intent, {_norm('instruction')} norm from augmentation_conte
 select k.id, coalesce(m.m, k.id) root from k left join m on k.intent is not distinct from m.intent and k.norm = m.norm""")
 def group_exact_components(spark, d):
     t = _ctx(spark, d).where("instruction is not null").select("id", "intent", X.normalize_ascii(F.col("instruction")).alias("norm"))
-    return grouping.with_groups(t.select("id"), "id", grouping.star_edges(t, "id", F.col("norm"), "intent"))
+    return grouping.exact_groups(t, "id", F.col("norm"), "intent")
 
 
 @query(f"""with k as ({_KEYS}), m as (select intent, norm, min(id) m from k where norm <> '' group by intent, norm),
@@ -461,7 +490,7 @@ g as (select intent, root, row_number() over (order by intent nulls first, root)
 select r.id, 'g-' || lpad(g.n::varchar, 6, '0') group_new from r join g on r.intent is not distinct from g.intent and r.root = g.root""")
 def group_ids(spark, d):
     t = _ctx(spark, d).where("instruction is not null").select("id", "intent", X.normalize_ascii(F.col("instruction")).alias("norm"))
-    g = grouping.with_groups(t.select("id", "intent"), "id", grouping.star_edges(t, "id", F.col("norm"), "intent"))
+    g = t.select("id", "intent").join(grouping.exact_groups(t, "id", F.col("norm"), "intent"), "id")
     return grouping.group_ids(g, "intent").select("id", "group_new")
 
 
@@ -628,29 +657,40 @@ def journal_violations(spark, d):
 # --- pipelines, sinks -----------------------------------------------------------------------------------------------
 
 
-@query()
+_SLOT_NAME = "regexp_extract_all({}, '\\{{\\{{([^{{}}]+)\\}}\\}}', 1)"
+
+_KEPT = f"""x as (select id, {_INTENT_SQL} intent, coalesce(instruction, '') i, coalesce(response, '') r, coalesce(n_tokens, 0) n from augmentation_context),
+y as (select *, regexp_extract_all(i, '\\d+') ni, regexp_extract_all(regexp_extract(r, '(?i)\\b(?:within|in) \\d+ (?:hours?|days?|weeks?)\\b|\\b\\d+ days most likely\\b'), '\\d+') nr, {_SLOT_NAME.format('i')} si, {_SLOT_NAME.format('r')} sr from x),
+z as (select *, list_transform(list_concat(si, sr), lambda s: trim(s, E' \\n\\t\\r')) s from y where n <= 512 and trim(i, E' \\n\\t\\r') <> '' and trim(r, E' \\n\\t\\r') <> ''
+and not regexp_matches(r, '(?i)\\b(?:i have|i''ve|we have|we''ve) (?:already )?(?:cancelled|canceled|processed|refunded|updated)\\b')
+and not (regexp_matches(r, '(?i)\\b(?:within|in) \\d+ (?:hours?|days?|weeks?)\\b|\\b\\d+ days most likely\\b') and not (len(nr) > 0 and list_has_all(ni, nr)))
+and not regexp_matches(r, '(?i)\\b(?:send|share|provide|give)\\b.{{0,30}}\\b(?:password|pin|card number)\\b')),
+k as (select * from z where len(list_filter(s, lambda v: v = '' or length(v) > 48 or (regexp_matches(v, '\\d') and regexp_matches(v, '(?i)(feature|platform|city|step|channel)')))) = 0)"""
+_PREPARED = f"""with recursive {_KEPT}, e0 as (select id, intent, i, r, {_norm('i')} nv, {_norm('r')} tv from k),
+st as (select min(id) over (partition by intent, nv) a, id b from e0 where nv <> '' union select min(id) over (partition by intent, tv), id from e0 where tv <> ''), u as (select a, b from st where a <> b union select b, a from st where a <> b),
+rr(n, m) as (select id, id from e0 union select u.b, rr.m from rr join u on rr.n = u.a where rr.m < u.b), c as (select n id, min(m) root from rr group by n), g as (select e0.id, e0.intent, e0.nv, e0.i, e0.r, c.root from e0 join c on e0.id = c.id),
+gi as (select intent, root, 'g-' || lpad((row_number() over (order by intent nulls first, root) - 1)::varchar, 6, '0') group_new from (select distinct intent, root from g)),
+sr as (select *, row_number() over (partition by intent order by md5('42:' || group_new), group_new) r, count(*) over (partition by intent) n from gi), sc as (select *, greatest(round_even(n * 0.1, 0)::int, 1) t from sr),
+sk as (select *, case when n <= 2 then 0 when n - 2 * t < 1 then (n - 1) // 2 else t end val, case when n <= 1 then 0 when n = 2 then 1 when n - 2 * t < 1 then n - 1 - (n - 1) // 2 else t end test from sc),
+ss as (select intent, root, group_new, case when r <= n - val - test then 'train' when r <= n - test then 'val' else 'test' end split_new from sk),
+p as (select g.id, g.intent, ss.group_new, ss.split_new, g.nv, g.i, g.r from g join ss on g.root = ss.root and g.intent is not distinct from ss.intent) """
+
+
+@query(_PREPARED + "select id, intent, group_new, split_new from p")
 def prepare_pipeline(spark, d):
     out, _ = plans.prepare(_ctx(spark, d).withColumn("intent", _intent()))
     return out.select("id", "intent", "group_new", "split_new")
 
 
-@query("select * from (values ('shared_instructions', 0::bigint), ('straddling_groups', 0::bigint)) t(\"check\", n)")
+@query(_PREPARED + """, v as (select count(distinct split_new) s from p where nv <> '' group by concat_ws(':', intent, nv))
+select 'shared_instructions' "check", coalesce(sum(s * (s - 1) // 2), 0)::bigint n from v union all select 'straddling_groups', count(*) from (select group_new from p group by 1 having count(distinct split_new) > 1) union all
+select 'slots_left', count(*) filter (contains(regexp_replace(i || chr(10) || r, '\\{\\{([^{}]+)\\}\\}', 'x', 'g'), '{{')) from p""")
 def prepare_audit(spark, d):
     out, _ = plans.prepare(_ctx(spark, d).withColumn("intent", _intent()))
-    return plans.audit(out).where("check <> 'slots_left'")
-
-
-_SLOT_NAME = "regexp_extract_all({}, '\\{{\\{{([^{{}}]+)\\}}\\}}', 1)"
+    return plans.audit(out)
 
 
-@query(f"""with x as (select id, coalesce(instruction, '') i, coalesce(response, '') r, coalesce(n_tokens, 0) n from augmentation_context),
-y as (select *, regexp_extract_all(i, '\\d+') ni, regexp_extract_all(regexp_extract(r, '(?i)\\b(?:within|in) \\d+ (?:hours?|days?|weeks?)\\b|\\b\\d+ days most likely\\b'), '\\d+') nr, {_SLOT_NAME.format('i')} si, {_SLOT_NAME.format('r')} sr from x),
-z as (select *, list_transform(list_concat(si, sr), lambda s: trim(s, E' \\n\\t\\r')) s from y where n <= 512 and trim(i, E' \\n\\t\\r') <> '' and trim(r, E' \\n\\t\\r') <> ''
-and not regexp_matches(r, '(?i)\\b(?:i have|i''ve|we have|we''ve) (?:already )?(?:cancelled|canceled|processed|refunded|updated)\\b')
-and not (regexp_matches(r, '(?i)\\b(?:within|in) \\d+ (?:hours?|days?|weeks?)\\b|\\b\\d+ days most likely\\b') and not (len(nr) > 0 and list_has_all(ni, nr)))
-and not regexp_matches(r, '(?i)\\b(?:send|share|provide|give)\\b.{{0,30}}\\b(?:password|pin|card number)\\b')),
-k as (select * from z where len(list_filter(s, lambda v: v = '' or length(v) > 48 or (regexp_matches(v, '\\d') and regexp_matches(v, '(?i)(feature|platform|city|step|channel)')))) = 0)
-select unnest(['kept', 'kept_with_slots', 'slots_left']) "check", unnest([count(*), count(*) filter (len(s) > 0), count(*) filter (contains(regexp_replace(i || chr(10) || r, '\\{{\\{{([^{{}}]+)\\}}\\}}', 'x', 'g'), '{{{{'))]) n from k""")
+@query(f"""with {_KEPT} select unnest(['kept', 'kept_with_slots', 'slots_left']) "check", unnest([count(*), count(*) filter (len(s) > 0), count(*) filter (contains(regexp_replace(i || chr(10) || r, '\\{{\\{{([^{{}}]+)\\}}\\}}', 'x', 'g'), '{{{{'))]) n from k""")
 def prepare_slots(spark, d):
     """Rows that prepare() keeps, those whose raw texts have a slot, and those with a slot left; the whole SQL is counted
     from the raw rows."""
@@ -739,3 +779,6 @@ def token_stats(spark, d):
 def head_limit(spark, d):
     """A limited head is the feature here."""
     return _items(spark, d).select("id", "intent").orderBy("id").limit(50)
+
+
+from corpusloom import queries_more  # noqa: E402,F401  # registers its queries here

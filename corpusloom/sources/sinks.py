@@ -55,3 +55,37 @@ def flat_grades(df: DataFrame) -> DataFrame:
 def manifest(tables: dict[str, DataFrame]) -> list[dict]:
     """One record per table: rows and content hash."""
     return [{"table": k, "rows": df.count(), "hash": content_hash(df)} for k, df in sorted(tables.items())]
+
+
+def html_rows(df: DataFrame) -> DataFrame:
+    """SNK8: (value): each row as JSON that may stand inside a script element."""
+    from corpusloom.functions.text import html_json
+
+    return df.select(html_json(F.struct(*sorted(df.columns))).alias("value"))
+
+
+def markdown_table(df: DataFrame, order: list[str], most: int = 1000) -> str:
+    """SNK9: a small result as a table in Markdown, rows in order; bars and line ends inside cells are escaped. An error beyond
+    ``most`` rows, as a report is read by people."""
+    rows = df.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for a report")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join(cell(r[c]) for c in df.columns) + " |" for r in rows]) + "\n"
+
+
+def chunks(df: DataFrame, key: str, content: str, size: int) -> DataFrame:
+    """SNK11: (key, part, name, chunk, sha, total_sha): contents cut into parts of at most ``size`` characters."""
+    n = F.greatest(F.ceil(F.length(content) / size), F.lit(1)).cast("int")
+    x = df.select(key, F.col(content).alias("_c"), F.sha2(content, 256).alias("total_sha"), F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+    chunk = F.substring("_c", F.col("part") * size + 1, F.lit(size))
+    return x.select(key, "part", F.format_string("part-%05d", F.col("part")).alias("name"), chunk.alias("chunk"), F.sha2(chunk, 256).alias("sha"), "total_sha")
+
+
+def reassembled(parts: DataFrame, key: str) -> DataFrame:
+    """SNK11: (key, content, intact): parts joined in the order of their names; intact if each part, the whole and the numbering
+    agree with their digests."""
+    g = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", "chunk"))).alias("p"), F.min(F.sha2("chunk", 256) == F.col("sha")).alias("ok"), F.max("total_sha").alias("total"), F.max("part").alias("last"), F.count("*").alias("n"))
+    whole = F.array_join(F.transform("p", lambda x: x["chunk"]), "")
+    return g.select(key, whole.alias("content"), (F.col("ok") & (F.sha2(whole, 256) == F.col("total")) & (F.col("n") == F.col("last") + 1)).alias("intact"))

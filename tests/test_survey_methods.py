@@ -43,8 +43,8 @@ def test_labels_attach(spark):
 
 
 def test_phrase_hits(spark):
-    x = {k: c for k, c in rules.phrase_scan(F.col("t")).items()}
-    df = spark.createDataFrame([("I can\u2019t do it, rest assured",), ("I don't know and I can't",), ("fine",), (None,)], "t string").select(*[c.alias(k) for k, c in x.items()])
+    df = spark.createDataFrame([("I can\u2019t do it, rest assured",), ("I don't know and I can't",), ("fine",), (None,)], "t string")
+    df = rules.phrase_scan(df, F.col("t"))
     hits = profile.phrase_hits(df, {"admit": F.col("admit"), "rest_assured": F.col("rest_assured"), "declines": F.col("declines")}, F.filter(F.split("admit_phrases", r"\|"), lambda p: p != ""))
     assert got(hits) == sorted([("rows", "", 4), ("flag", "admit", 2), ("flag", "rest_assured", 1), ("flag", "declines", 0), ("phrase", "i can't", 2), ("phrase", "i don't know", 1)], key=repr)
 

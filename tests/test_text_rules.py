@@ -117,21 +117,70 @@ def test_rejects(spark):
     assert [r[0] for r in got] == [None, "reject_invented_timeline", "reject_completed_action", None, "reject_empty_after_clean", "reject_empty_after_clean"] and all(r[1] for r in got)
 
 
-@pytest.mark.parametrize("text,rule", [("room 12", "digit"), ("ask me twelve times", "number_word"), ("come on monday", "time_or_duration"), ("see www.x", "url_or_address"), ("it is €", "currency_symbol")])
-def test_lint(spark, text, rule):
-    assert one(spark, text, lambda c: rules.lint_field(c, "query")) == ["query:" + rule]
+LINT = [
+    ("the room 12 is mine", "query:digit"), ("the room ١٢ is mine", "query:digit"), ("ask me twelve times", "query:number_word"), ("come here on monday", "query:time_or_duration"), ("see this www.x page", "query:url_or_address"),
+    ("it is €  in there", "query:currency_symbol"), ("we are always-there, always, yes", "query:policy_verb"), ("is there a fee here", "query:price_word"), ("open twenty-four seven it seems", "query:always_open|query:number_word"), ("my PIN is gone now", "query:credential_request"), ("too short", "query:too_short"),
+]
+ANSWERS = [
+    ("I'm on it " + "word " * 40, "answer:bitext_opener"), ("The item has been reset " + "word " * 40, "answer:completed_action"), ("Let me quickly look into it " + "word " * 40, "answer:offers_lookup_or_transfer"),
+    ("a colleague will do it " + "word " * 40, "answer:offers_lookup_or_transfer"), ("word " * 34, "answer:word_band(34)"), ("word " * 76, "answer:word_band(76)"), ("word " * 35, ""), ("word " * 75, ""),
+]
+
+
+def test_lint(spark):
+    df = spark.createDataFrame([(q, "word " * 40, "x", w) for q, w in LINT] + [("where is the page", a, "x", w) for a, w in ANSWERS], "q string, a string, i string, want string")
+    for r in rules.lint(df, F.col("q"), F.col("a"), F.col("i")).collect():
+        assert "|".join(r.lint) == r.want, r
+
+
+def test_lint_exempts_the_words_of_an_intent(spark):
+    rows = [("check_cancellation_fee", "what is the fee there", []), ("other", "what is the fee there", ["query:price_word"]), ("recover_password", "my password is lost there", []), ("recover_password", "my pin and password are lost", ["query:credential_request"]), (None, "what is the fee there", ["query:price_word"])]
+    df = spark.createDataFrame([(i, q, "word " * 40, w) for i, q, w in rows], "i string, q string, a string, want array<string>")
+    assert all(r.lint == r.want for r in rules.lint(df, F.col("q"), F.col("a"), F.col("i")).collect())
 
 
 def test_phrase_scan_folds_apostrophes(spark):
-    df = spark.createDataFrame([("I’m on it, but I can’t",), ("all fine",)], "x string")
-    a, b = df.select(*[c.alias(k) for k, c in rules.phrase_scan(F.col("x")).items()]).collect()
-    assert a.admit and a.opener and a.admit_phrases == "i can't" and not b.admit
+    df = spark.createDataFrame([("I’m on it, but I can’t",), ("all fine",), (None,)], "x string")
+    a, b, c = rules.phrase_scan(df, F.col("x")).collect()
+    assert a.admit and a.opener and a.admit_phrases == "i can't" and not b.admit and not c.opener
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("please send me your password", "send me your password"), ("never share your password", None), ("we will never ask you to send your card", None), ("shouldn't share the PIN", None), ("never share your password but tell me the pin", None), ("never share your password. if you are in a great hurry then please tell me the pin", "tell me the pin"),
+        ("enter your security code below", "enter your security code below"), ("enter your code", None), ("give me the debit card", "give me the debit card"), ("", None), ("send it. never send your password", "send it. never send your password"),
+    ],
+)
+def test_credential_requests(spark, text, want):
+    assert one(spark, text, rules.credential_request) == want
+
+
+@pytest.mark.parametrize("line,want", [("Asks for the full card number", 0), ("Says you are speaking to a human", 1), ("States the fee as fact", 2), ("Promises a callback", 3), ("Invents a ticket", 4), ("Cancels the order", 5)])
+def test_families_in_order(spark, line, want):
+    names = [n for n, _ in rules.FAMILIES] + [rules.LAST_FAMILY]
+    assert one(spark, line, lambda c: rules.first_family(c, rules.FAMILIES, rules.LAST_FAMILY)) == names[want]
+
+
+def test_closing_kinds(spark):
+    assert one(spark, "Wait. Look for it under the label. You can write it, with the number to hand.", rules.closing_kinds) == "draft_the_message|have_to_hand"
+    assert one(spark, "", rules.closing_kinds) == ""
+
+
+@pytest.mark.parametrize("text,want", [("our page", True), ("the 2 pages", False), ("Two Days", False), ("two pages", True), ("see www.x", False), ("€", False), ("always", False), ("allways", True), (" ", False), ("free of charge", False)])
+def test_neutral_phrases(spark, text, want):
+    assert one(spark, text, rules.phrase_is_neutral) is want
+
+
+def test_applied_rules_and_missing_token_counts(spark):
+    df = spark.createDataFrame([("about {{Order Number}}", "see {{Website URL}} or {{x y}}", None), ("plain", "w " * 600, None), ("plain", "short", 10)], "instruction string, response string, n_tokens int")
+    got = rules.clean(df, slots=rules.Slots(substitute=rules.SUBSTITUTIONS)).collect()
+    assert got[0].applied == ["placeholder_order_number", "substitute_website_url", "placeholder_x_y", "replace_placeholders"] and got[1].applied == []
+    assert [r.over_length for r in got] == [False, True, False]
 
 
-def test_warned_requests_are_no_hits(spark):
-    f = lambda c: rules.asks_for(c, rules.CREDENTIAL_REQUEST, rules.WARNING_BEFORE)
-    assert one(spark, "please send me your password", f) == "send me your password"
-    assert one(spark, "never share your password", f) is None
+def test_closing_form_takes_the_compatible_letters(spark):
+    assert one(spark, "Ｆｕｌｌ ﬁne it's-so 5", X.closing_form) == "full fine it's-so"
 
 
 def test_secrets_and_mail(spark):
