@@ -34,12 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it. Only where that is unset (tests on one
-    machine) a temporary folder is used."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Only on a local master, where that may be unset (tests),
+    a temporary folder is used; a cluster without the setting is an error."""
     global _OWN_DIR
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(lambda d=_OWN_DIR[7:]: __import__("shutil").rmtree(d, ignore_errors=True))
@@ -48,10 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once into the shared folder and read it back: cuts lineage, computes each row once (an RDD checkpoint
-    computes twice) and survives the loss of any executor. release() removes the files early."""
+    computes twice) and survives the loss of any executor. release() removes the files early, the end of the application
+    those that are left."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out

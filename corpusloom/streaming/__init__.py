@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def append_new(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, key: str) -> None:
+def append_new(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, key: str, parts: int = 256) -> None:
     """SM1, SM4: files that arrive in ``source`` are appended to ``sink`` once per key. A batch that is run again after a
-    failure finds its own rows in the sink, so nothing is doubled. Rows with an error are kept and not tried again."""
+    failure finds its own rows in the sink, so nothing is doubled. Rows with an error are kept and not tried again. The sink is
+    partitioned by the hash of the key (column _part), and a batch reads the partitions of its own keys only."""
 
     def write(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates([key])
+        new = batch.dropDuplicates([key]).withColumn("_part", F.expr(f"pmod(xxhash64({key}), {parts})"))
+        mine = [r[0] for r in new.select("_part").distinct().collect()]  # at most ``parts`` numbers
         try:
-            seen = spark.read.schema(new.schema).parquet(sink).select(key)
+            seen = spark.read.schema(new.schema).parquet(sink).where(F.col("_part").isin(mine)).select(key)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             seen = None
-        (new if seen is None else new.join(seen, key, "left_anti")).write.mode("append").parquet(sink)
+        (new if seen is None else new.join(seen, key, "left_anti")).write.mode("append").partitionBy("_part").parquet(sink)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -33,18 +35,21 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
-def check_manifest(path: str, wanted: dict) -> None:
-    """SM2: writes the manifest at the first start; a later start with another one is refused."""
-    import os
-
-    if os.path.exists(path):
-        with open(path) as f:
-            have = json.load(f)
+def check_manifest(spark: SparkSession, path: str, wanted: dict) -> None:
+    """SM2: writes the manifest at the first start; a later start with another one is refused. The file lies where the path
+    says, by the file systems that Spark knows, so a driver on another machine finds it; it is created, never overwritten."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        have = json.loads(spark.read.text(path, wholetext=True).first()[0])
         if have != wanted:
             raise ValueError("the inputs changed since the first start: " + ", ".join(sorted(k for k in {*have, *wanted} if have.get(k) != wanted.get(k))))
         return
-    with open(path, "x") as f:
-        json.dump(wanted, f, sort_keys=True)
+    out = fs.create(place, False)
+    try:
+        out.write(json.dumps(wanted, sort_keys=True).encode())
+    finally:
+        out.close()
 
 
 def attempts(events: DataFrame) -> DataFrame:
