@@ -463,7 +463,7 @@ def tail_scores(prof: DataFrame) -> DataFrame:
     tails = materialize(tail_evidence(prof))
     counts = {r.e: r.n for r in tails.groupBy("e").agg(F.count("*").alias("n")).collect()}
     odds = spark.createDataFrame(list(fit_cut_model(counts).items()), "e string, log_odds double")
-    return tails.join(F.broadcast(odds), "e").withColumn("cut", F.col("log_odds") > 0)  # at most 4,032 rows
+    return tails.join(odds, "e").withColumn("cut", F.col("log_odds") > 0)  # at most 4,032 rows
 
 
 def truncated_answers(answers: DataFrame, items: DataFrame) -> DataFrame:

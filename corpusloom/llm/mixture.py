@@ -110,7 +110,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
         want.setdefault(r.s, (r.w or 0.0, r.r or 0))
     stock = unique.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs"))
     named = spark.createDataFrame([(s,) for s in want] or [("",)], "source string")
-    supply = {r.source: r for r in stock.join(F.broadcast(named), "source", "left_semi").collect()}  # at most one row a target
+    supply = {r.source: r for r in stock.join(named, "source", "left_semi").collect()}  # at most one row a target
     give = budgets({s: r.n for s, r in supply.items()}, want, total)
     if not give:
         empty = "doc_id long, source string, use int, tokens long, slot long, place long"
@@ -120,7 +120,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     n_blocks = {s: max(1, math.ceil(x / block)) for s, x in give.items()}
     slots = schedule(n_blocks, give)
     plan = spark.createDataFrame([(s, float(x), int(supply[s].n), min(want[s][1], math.ceil(x / supply[s].n)), max(1, math.ceil(supply[s].docs / per_bucket))) for s, x in give.items()], "source string, budget double, stock long, passes int, buckets int")
-    order = unique.join(F.broadcast(plan), "source").withColumn("o", F.xxhash64(F.lit(seed), "id")).withColumn("b", F.expr("pmod(shiftright(o, 20), buckets)"))
+    order = unique.join(plan, "source").withColumn("o", F.xxhash64(F.lit(seed), "id")).withColumn("b", F.expr("pmod(shiftright(o, 20), buckets)"))
     before = order.groupBy("source", "b").agg(F.sum("tokens").alias("n"))
     before = before.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("source", "b", "base")
     line = order.withColumn("run", F.sum("tokens").over(W.partitionBy("source", "b").orderBy("o", "id").rowsBetween(W.unboundedPreceding, 0))).join(before, ["source", "b"])
@@ -129,7 +129,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     taken = uses.where(F.col("place") + F.col("tokens") / 2.0 <= F.col("budget"))
     where = spark.createDataFrame([(s, i, k) for (s, i), k in slots.items()], "source string, i int, slot long")
     taken = taken.withColumn("i", F.least(F.floor(F.col("place") / block).cast("int"), F.ceil(F.col("budget") / block).cast("int") - 1))
-    return taken.join(F.broadcast(where), ["source", "i"]).select(F.col("id").alias("doc_id"), "source", F.col("use").cast("int").alias("use"), "tokens", "slot", "place")
+    return taken.join(where, ["source", "i"]).select(F.col("id").alias("doc_id"), "source", F.col("use").cast("int").alias("use"), "tokens", "slot", "place")
 
 
 def shares(selection: DataFrame, targets: DataFrame) -> DataFrame:

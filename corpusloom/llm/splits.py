@@ -136,7 +136,7 @@ def assign_splits(df: DataFrame, shares=SHARES, large_share: float = 0.002, per_
     small = sets.where(F.col("n") <= bound).withColumn("o", F.xxhash64(F.lit(seed), "s")).withColumn("b", F.expr(f"pmod(shiftright(o, 20), {buckets})"))
     before = small.groupBy("main", "b").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("main").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("main", "b", "base")
     line = small.withColumn("run", F.sum("n").over(W.partitionBy("main", "b").orderBy("o", "s").rowsBetween(W.unboundedPreceding, 0))).join(before, ["main", "b"])
-    placed = line.join(F.broadcast(ends), "main").withColumn("mid", F.col("base") + F.col("run") - F.col("n") / 2.0)
+    placed = line.join(ends, "main").withColumn("mid", F.col("base") + F.col("run") - F.col("n") / 2.0)
     placed = placed.select("s", F.expr("coalesce(filter(ends, e -> e.hi > mid)[0].split_new, element_at(ends, -1).split_new)").alias("split_new"))
     if where:
         placed = placed.unionByName(spark.createDataFrame(list(where.items()), "s string, split_new string"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.operators.joins import salted_join
 from corpusloom.session import materialize, spread
 
 # Letters of Cyrillic and Greek whose usual shape is that of a Latin letter, and that letter.
@@ -131,8 +132,7 @@ def look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     members = keys.join(mixed, "look", "left_semi")
     texts = members.select("look", "own").distinct()
-    pairs = texts.alias("x").join(texts.alias("y"), F.expr("x.look = y.look and x.own < y.own"))
-    pairs = pairs.select(F.col("x.look").alias("look"), F.col("x.own").alias("own"), F.col("y.own").alias("other"))
-    left = pairs.join(members, ["look", "own"]).select("look", F.col("other").alias("own"), F.col("id").alias("i"))
-    both = left.join(members, ["look", "own"])
+    pairs = salted_join(texts, texts.withColumnRenamed("own", "other"), ["look"], "own", "other").where("own < other")
+    left = salted_join(pairs, members, ["look", "own"], "other", "id").select("look", F.col("other").alias("own"), F.col("id").alias("i"))
+    both = salted_join(left, members, ["look", "own"], "i", "id")
     return both.select(F.least("i", "id").alias("doc_a"), F.greatest("i", "id").alias("doc_b"))
