@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +68,19 @@ def gram_sources(corpus: DataFrame, key: str, text: Column, held: DataFrame, hel
     return a.join(counts, "gram").join(named, "gram").select(F.col("key").alias(key), "gram", "n_sources", "sources")
 
 
+def coverage_violations(items: DataFrame, sides: dict[str, DataFrame], key: str) -> DataFrame:
+    """JN3: (key, problem): items without a row of a side, rows of a side without an item, repeated and failed rows. Each side
+    has the key and ``ok``; a sheet is made only if nothing is left here."""
+    out = None
+    for name, df in sides.items():
+        g = df.groupBy(key).agg(F.count("*").alias("n"), F.min("ok").alias("ok"))
+        x = items.select(key, F.lit(True).alias("there")).join(g, key, "full_outer")
+        problem = F.filter(F.array(F.when(F.col("n").isNull(), f"{name}_missing"), F.when(F.col("there").isNull(), f"{name}_unknown"), F.when(F.col("n") > 1, f"{name}_repeated"), F.when(~F.col("ok"), f"{name}_failed")), lambda p: p.isNotNull())
+        y = x.select(key, F.explode(problem).alias("problem"))
+        out = y if out is None else out.unionByName(y)
+    return out
+
+
 def group_mismatches(left: DataFrame, right: DataFrame, key: str, group: str) -> DataFrame:
     """JN2: (key, left_group, right_group) where both sides have the key in different groups."""
     x = left.select(key, F.col(group).alias("left_group")).join(right.select(key, F.col(group).alias("right_group")), key)
@@ -123,16 +137,16 @@ _NEAR = "key long, nearest long, similarity double"
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, block: int = 4096, within: Column | None = None) -> DataFrame:
     """JN9 to JN11: (key, nearest, similarity) of each query's most similar other base row; ties go to the smaller key.
 
-    Blocked matrix products: base and queries are cut into blocks of rows, each pair of blocks is one product in numpy, and
-    the best of each block pair are reduced by key. ``within`` restricts to equal strata, which become part of the block
-    key, so unrelated strata never meet. Null vectors are left out; a stratum without another row gives no row."""
+    Blocked matrix products: base and queries are each cut into blocks of about ``block`` rows, each pair of blocks is one
+    product in numpy, and the best of each block pair are reduced by key. ``within`` restricts to equal strata, which become
+    part of the block key, so unrelated strata never meet. Null vectors are left out; a stratum without another row gives no
+    row."""
     s = F.lit(0) if within is None else within
-    base_n = base.count()
-    n = max(1, -(-base_n // block))
+    n, m = (max(1, -(-x.count() // block)) for x in (base, queries))
     b = base.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"), s.alias("s")).where("v is not null and s is not null").withColumn("bb", F.pmod(F.xxhash64("k"), F.lit(n)))
-    q = queries.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"), s.alias("s")).where("v is not null and s is not null").withColumn("qb", F.pmod(F.xxhash64("k"), F.lit(n)))
+    q = queries.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"), s.alias("s")).where("v is not null and s is not null").withColumn("qb", F.pmod(F.xxhash64("k"), F.lit(m)))
     q = q.withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).groupBy("s", "qb", "bb")
-    b = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).groupBy("s", "qb", "bb")
+    b = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("s", "qb", "bb")
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -153,13 +167,34 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, block: i
     return best.select(F.col("key").alias(key), (-F.col("x.m")).alias("nearest"), F.round("x.similarity", 6).alias("similarity"))
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: str) -> DataFrame:
-    """JN12, JN13: (a, b, similarity) of pairs a < b of one stratum with at least this similarity. An equi join on the
-    stratum with the product as its condition, so only pairs of a stratum meet."""
-    x, y = df.alias("x"), df.alias("y")
-    pairs = x.join(y, (F.col(f"x.{within}") == F.col(f"y.{within}")) & (F.col(f"x.{key}") < F.col(f"y.{key}")))
-    sim = F.round(X.dot(F.col(f"x.{vector}"), F.col(f"y.{vector}")), 6)
-    return pairs.select(F.col(f"x.{within}").alias(within), F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= least)
+def similar_pairs(df: DataFrame, key: str, vector: str, least: float, within: str, block: int = 2048) -> DataFrame:
+    """JN12, JN13: (within, a, b, similarity) of pairs a < b of one stratum with at least this similarity.
+
+    Only pairs of a stratum meet. Each stratum is cut into blocks of about ``block`` rows by the hash of the key, and each
+    pair of its blocks is one matrix product in numpy, so a hot stratum is many tasks of bounded size. Null vectors and
+    strata are left out."""
+    kinds = dict(df.dtypes)
+    x = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(within).alias("s")).where("k is not null and v is not null and s is not null")
+    n = x.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    x = x.join(n, "s").withColumn("b", F.expr("cast(pmod(xxhash64(k), n) as int)"))
+    one = x.select("s", "k", "v", F.col("b").alias("i"), F.explode(F.expr("sequence(b, n - 1)")).alias("j")).groupBy("s", "i", "j")
+    two = x.select(*[F.col(c).alias(c) for c in ("s", "k", "v")], F.col("b").alias("j"), F.explode(F.expr("sequence(0, b)")).alias("i")).groupBy("s", "i", "j")
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        ka, kc = left["k"].combine_chunks(), right["k"].combine_chunks()
+        if not len(ka) or not len(kc):
+            return pa.table({"s": left["s"].slice(0, 0), "a": ka.slice(0, 0), "b": ka.slice(0, 0), "similarity": pa.array([], pa.float64())})
+        sim = np.array(left["v"].to_pylist(), np.float64) @ np.array(right["v"].to_pylist(), np.float64).T
+        i, j = np.nonzero(sim >= least - 1e-5)  # cut by the rounded value afterwards
+        x, y = ka.take(pa.array(i)), kc.take(pa.array(j))
+        if left["i"][0].as_py() == left["j"][0].as_py():
+            ok = pc.less(x, y)  # a block with itself has each pair twice
+            x, y, i, j = x.filter(ok), y.filter(ok), i[ok.to_numpy(zero_copy_only=False)], j[ok.to_numpy(zero_copy_only=False)]
+        turn = pc.less(x, y)
+        return pa.table({"s": pa.array([left["s"][0].as_py()] * len(x), left["s"].type), "a": pc.if_else(turn, x, y), "b": pc.if_else(turn, y, x), "similarity": pa.array(sim[i, j])})
+
+    got = one.cogroup(two).applyInArrow(product, f"s {kinds[within]}, a {kinds[key]}, b {kinds[key]}, similarity double")
+    return got.select(F.col("s").alias(within), "a", "b", F.round("similarity", 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def band(similarity: Column, edges: list[float]) -> Column:

@@ -42,13 +42,23 @@ def scenario_rules() -> dict[str, Column]:
     blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
     texts = lambda c: F.coalesce(F.size(c) < 1, F.lit(True)) | F.exists(c, lambda x: x.isNull() | (F.trim(x) == ""))
     cosine = F.col("max_bitext_cosine")
+    from corpusloom.operators.rules import has_control_marks
+
     return {
         "id_form": ~F.coalesce(F.col("id").rlike(r"^(?:ch2|ch)-\d{3}$"), F.lit(False)), "kind": ~F.coalesce(F.col("kind").isin("ordinary", "hard"), F.lit(False)),
         "query_blank": blank("query"), "facts_blank": blank("facts"), "actions": texts("acceptable_actions"), "critical": texts("critical_fail_if"),
         "cosine_range": cosine.isNull() | F.isnan(cosine) | ~cosine.between(0, 1), "cosine_cap": cosine >= 0.85, "demo": ~F.coalesce(F.col("demo") == F.lit(False), F.lit(False)),
+        "control_mark": has_control_marks(F.concat_ws("\n", "query", "facts")),
     }
 
 
+def split_manifest(df: DataFrame, split: str, group: str, key: str) -> DataFrame:
+    """VA8: (split, n_rows, n_groups, digest) of frozen splits: the digest sums the hashes of the keys with their groups, so it
+    depends on no order of rows and is combined before the shuffle."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.coalesce(F.col(group).cast("string"), F.lit(""))), 256), 1, 12), 16, 10).cast("long")
+    return df.groupBy(split).agg(F.count("*").alias("n_rows"), F.count_distinct(group).alias("n_groups"), F.sum(h % 1_000_000_007).alias("digest"))
+
+
 def judgment_rules(passed: str, critical: str, credential: str | None = None) -> dict[str, Column]:
     """VA6: a pass is neither critical nor a credential violation, and the latter is critical."""
     out = {"pass_with_critical": F.col(passed) & F.col(critical)}

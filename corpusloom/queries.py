@@ -605,7 +605,7 @@ def rouge_l_pairs(spark, d):
 
 @query("""select rule_id, count(*) n from (select unnest(list_filter([case when not coalesce(regexp_full_match(id, '(?:ch2|ch)-\\d{3}'), false) then 'id_form' end, case when not coalesce(kind in ('ordinary', 'hard'), false) then 'kind' end,
 case when query is null or trim(query) = '' then 'query_blank' end, case when facts is null or trim(facts) = '' then 'facts_blank' end, case when coalesce(len(acceptable_actions) < 1, true) then 'actions' end, case when coalesce(len(critical_fail_if) < 1, true) then 'critical' end,
-case when max_bitext_cosine is null or isnan(max_bitext_cosine) or max_bitext_cosine < 0 or max_bitext_cosine > 1 then 'cosine_range' end, case when max_bitext_cosine >= 0.85 then 'cosine_cap' end, case when not coalesce(demo = false, false) then 'demo' end], lambda x: x is not null)) rule_id from scenarios) group by rule_id""")
+case when max_bitext_cosine is null or isnan(max_bitext_cosine) or max_bitext_cosine < 0 or max_bitext_cosine > 1 then 'cosine_range' end, case when max_bitext_cosine >= 0.85 then 'cosine_cap' end, case when not coalesce(demo = false, false) then 'demo' end, case when regexp_matches(concat_ws(chr(10), query, facts), '<\\|(im_start|im_end|endoftext)\\|>') then 'control_mark' end], lambda x: x is not null)) rule_id from scenarios) group by rule_id""")
 def scenario_violations(spark, d):
     v = validate.row_violations(_items(spark, d), "id", validate.scenario_rules())
     return v.groupBy("rule_id").agg(F.count("*").alias("n"))

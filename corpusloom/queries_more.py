@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom import sources
+from corpusloom import sources, streaming
 from corpusloom.functions import text as X
 from corpusloom.operators import audits, grouping, joins, profile, rules, selection, sheets, stats, validate
 from corpusloom.queries import _DOT, _INTENT_SQL, _PAIRED, _PAIRS, _SPLIT_SQL, SQL, _ans, _ctx, _intent, _items, _pairs, _split, _tokens, _vec, leak_sixgram_screen, paired_breakdown, query, split_groups_hash
@@ -214,6 +214,13 @@ def nearest_across_splits(spark, d):
     return joins.nearest(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), "vec_id", "embedding", within=F.col("label"))
 
 
+@query("""with b as (select id, count(*) n, min((answer is not null and error is null)::int) ok from raw_answers where model = 'base' and id is not null group by id), x as (select s.id i, b.id j, b.n, b.ok from scenarios s full join b on s.id = b.id)
+select coalesce(i, j) id, unnest(list_filter([case when j is null then 'base_missing' end, case when i is null then 'base_unknown' end, case when n > 1 then 'base_repeated' end, case when ok = 0 then 'base_failed' end], lambda p: p is not null)) problem from x""")
+def pair_coverage(spark, d):
+    a = _ans(spark, d).where("model = 'base' and id is not null").select("id", (F.col("answer").isNotNull() & F.col("error").isNull()).alias("ok"))
+    return joins.coverage_violations(_items(spark, d), {"base": a}, "id")
+
+
 # --- aggregates and statistics --------------------------------------------------------------------------------------
 
 
@@ -471,6 +478,18 @@ def manifest_violations(spark, d):
     return validate.row_violations(x, "doc_id", picked).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""select {_SPLIT_SQL} split, count(*) n_rows, count(distinct group_id) n_groups, sum(('0x' || substr(sha256(concat_ws(':', id, coalesce(group_id, ''))), 1, 12))::bigint % 1000000007)::bigint digest from augmentation_context where split is not null group by 1""")
+def split_manifest(spark, d):
+    x = _ctx(spark, d).where("split is not null").withColumn("split", _split())
+    return validate.split_manifest(x, "split", "group_id", "id")
+
+
+@query("""select strftime(time_bucket(interval '6 hours', ts, timestamp '1970-01-01'), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) n, round(sum(value), 4) total from events where ts is not null group by 1, 2""")
+def event_windows(spark, d):
+    x = streaming.windowed_counts(table(spark, d, "events").where("ts is not null"), "ts", window="6 hours")
+    return x.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 # --- grouping -------------------------------------------------------------------------------------------------------
 
 

@@ -135,3 +135,26 @@ def test_gram_sources_count_all_and_name_some(spark):
     held = spark.createDataFrame([(f"h{k:02d}", text) for k in range(30)], "hid string, t string")
     r = joins.gram_sources(spark.createDataFrame([("a", text), ("b", "none")], "id string, t string"), "id", F.col("t"), held, "hid", F.col("t"), most=3).collect()
     assert [(x.id, x.n_sources, x.sources) for x in r] == [("a", 30, "h00,h01,h02")]
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(f"k{i:02d}", v[i].tolist(), None if i % 11 == 0 else f"s{i % 3 == 0}") for i in range(60)] + [("none", None, "sTrue"), (None, v[0].tolist(), "sTrue")]
+    df = spark.createDataFrame(rows, "id string, e array<double>, s string")
+    want = {(f"k{i:02d}", f"k{j:02d}") for i in range(60) for j in range(i + 1, 60) if rows[i][2] and rows[i][2] == rows[j][2] and round(float(v[i] @ v[j]), 6) >= 0.2}
+    for block in (1, 5, 1000):
+        got_ = [(r.a, r.b) for r in joins.similar_pairs(df, "id", "e", 0.2, "s", block).collect()]
+        assert len(got_) == len(set(got_)) and set(got_) == want
+    assert joins.similar_pairs(df.limit(0), "id", "e", 0.2, "s").count() == 0
+
+
+def test_many_queries_against_a_small_base(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(40, 4))
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(40)], "k long, e array<double>")
+    near = {r.k: r.nearest for r in joins.nearest(df, df.where("k < 3"), "k", "e", block=4).collect()}
+    for i in range(40):
+        sims = [(round(float(v[i] @ v[j]), 9), -j) for j in range(3) if j != i]
+        assert near[i] == -max(sims)[1]
