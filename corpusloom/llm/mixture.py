@@ -19,6 +19,7 @@ targets, gets no share; zero shares and zero repeats give nothing; no documents
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import math
 
@@ -34,16 +35,19 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Targets are read by the driver, which schedules them; more are an error.
+MOST_TARGETS = 10_000
+
+
 def source_name(c) -> F.Column:
     """One spelling of a source: lower case, one underscore between its parts."""
     return F.regexp_replace(F.regexp_replace(F.lower(c.cast("string")), r"^[\s_\-]+|[\s_\-]+$", ""), r"[\s_\-]+", "_")
 
 
-def _tokenizer(path: str):
+def _tokenizer(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -51,13 +55,20 @@ _HELD: dict = {}
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, source, tokens): tokens of each whole text."""
+    """(id, source, tokens): tokens of each whole text. The vocabulary file is read once, where this is called, and sent to the
+    workers; its size does not depend on the data, and more than 64 MB are refused."""
+    with open(vocabulary, "rb") as f:
+        held = f.read((1 << 26) + 1)
+    if len(held) > 1 << 26:
+        raise ValueError(f"{vocabulary} is too large for a vocabulary")
+    sent = df.sparkSession.sparkContext.broadcast(held)
+    token = hashlib.sha256(held).hexdigest()
     src = df.select(F.col(id_col).alias("id"), source_name(F.col("source")).alias("source"), F.col(text_col).cast("string").alias("t")).where("id is not null and t is not null and t <> ''")
 
     def run(batches):
-        if vocabulary not in _HELD:
-            _HELD[vocabulary] = _tokenizer(vocabulary)
-        encode = _HELD[vocabulary].encode_ordinary
+        if token not in _HELD:
+            _HELD[token] = _tokenizer(sent.value)
+        encode = _HELD[token].encode_ordinary
         for b in batches:
             n = [len(encode(t)) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(n, pa.int64())], names=["id", "source", "tokens"])
@@ -106,6 +117,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     counted = token_counts(documents, vocabulary=vocabulary).where("tokens > 0 and source is not null")
     unique = materialize(counted.groupBy("id").agg(F.min(F.struct("source", "tokens")).alias("x")).select("id", "x.source", "x.tokens"))
     want = {}
+    if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     for r in targets.select(source_name(F.col("source")).alias("s"), F.col("target_share").cast("double").alias("w"), F.col("max_repeats").cast("int").alias("r")).where("s is not null").collect():
         want.setdefault(r.s, (r.w or 0.0, r.r or 0))
     stock = unique.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs"))

@@ -344,7 +344,7 @@ def split_overlaps(df: DataFrame, t: float = 0.85, per_task: int = 1_000_000) ->
     worded, grouped = members.where("k is not null"), members.where("g is not null")
     tr = worded.where("train").select(F.col("k").alias("a"), F.col("id").alias("ia"), F.col("g").alias("ga"))
     he = worded.where("not train").select(F.col("k").alias("b"), F.col("id").alias("ib"), F.col("g").alias("gb"))
-    alike = salted_join(salted_join(classes, tr, ["a"], "b", "ia", per_task), he, ["b"], "ia", "ib", per_task).where("ga is null or gb is null or ga <> gb")
+    alike = salted_join(materialize(salted_join(classes, tr, ["a"], "b", "ia", per_task)), he, ["b"], "ia", "ib", per_task).where("ga is null or gb is null or ga <> gb")
     same = salted_join(grouped.where("train").select("g", F.col("id").alias("ia")), grouped.where("not train").select("g", F.col("id").alias("ib")), ["g"], "ia", "ib", per_task)
     return _ordered(alike).unionByName(_ordered(same))
 
@@ -448,7 +448,7 @@ def near_duplicate_pairs(df: DataFrame, t: float = 0.75) -> DataFrame:
     """(id_a, id_b): all pairs of records whose instruction and response together have an overlap of at least t."""
     recs, pairs = near_classes(df, "id", both_texts(), t)
     a, b = recs.select(F.col("k").alias("a"), F.col("id").alias("ia")), recs.select(F.col("k").alias("b"), F.col("id").alias("ib"))
-    across = salted_join(salted_join(pairs, a, ["a"], "b", "ia"), b, ["b"], "ia", "ib")
+    across = salted_join(materialize(salted_join(pairs, a, ["a"], "b", "ia")), b, ["b"], "ia", "ib")
     inside = salted_join(a.withColumnRenamed("a", "k"), b.withColumnRenamed("b", "k"), ["k"], "ia", "ib").where("ia < ib")
     return _ordered(across).unionByName(_ordered(inside))
 

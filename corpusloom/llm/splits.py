@@ -11,7 +11,9 @@ end by size, and the line is cut at the shares that the large sets left open. Ru
 then inside them), so no label, however frequent, has to fit into one task.
 
 Defined results: a null or stand-in entity relates nothing; a null label is a label of its own; rows with a null id are left
-out; a repeated id stays one record; an empty table gives no rows; extra columns are ignored.
+out; a repeated id stays one record; an empty table gives no rows; extra columns are ignored. More than MOST_LABELS labels are
+an error. The joins by group and thread have one row a key on their small side, so a hot key is only many rows of the large
+side, which Spark's skew join splits.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ from corpusloom.session import materialize
 SHARES = (("train", 0.8), ("val", 0.1), ("test", 0.1))
 
 
+#: Label totals are read by the driver, which cuts them into shares; more labels are an error.
+MOST_LABELS = 100_000
+
+
 def thread_name(c) -> F.Column:
     """A real thread reference (it holds a digit), trimmed and in lower case; null for blanks and stand-ins."""
     t = F.lower(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""))
@@ -105,6 +111,8 @@ def assign_splits(df: DataFrame, shares=SHARES, large_share: float = 0.002, per_
     counts = materialize(recs.groupBy("s", "label").agg(F.count("*").alias("n")))
     sets = counts.groupBy("s").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("m")).select("s", "n", F.col("m.label").alias("main"))
     sets = materialize(sets)
+    if counts.select("label").distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels to balance")
     totals = {r.label: r.n for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     total = sum(totals.values())
     bound = max(1, math.floor(large_share * total))

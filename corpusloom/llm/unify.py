@@ -130,9 +130,9 @@ def look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     mixed = (
         keys.groupBy("look").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("look")
     )
-    members = keys.join(mixed, "look", "left_semi")
+    members = materialize(keys.join(mixed, "look", "left_semi"))
     texts = members.select("look", "own").distinct()
-    pairs = salted_join(texts, texts.withColumnRenamed("own", "other"), ["look"], "own", "other").where("own < other")
-    left = salted_join(pairs, members, ["look", "own"], "other", "id").select("look", F.col("other").alias("own"), F.col("id").alias("i"))
+    pairs = materialize(salted_join(texts, texts.withColumnRenamed("own", "other"), ["look"], "own", "other").where("own < other"))
+    left = materialize(salted_join(pairs, members, ["look", "own"], "other", "id")).select("look", F.col("other").alias("own"), F.col("id").alias("i"))
     both = salted_join(left, members, ["look", "own"], "i", "id")
     return both.select(F.least("i", "id").alias("doc_a"), F.greatest("i", "id").alias("doc_b"))
