@@ -404,8 +404,14 @@ WIDTH = 1 + PIVOTS // 4 + 2
 
 def _measures(pivots: np.ndarray):
     """Word hashes to WIDTH numbers: the size, the distances to the reference fingerprints, four to a number, and a 128-bit
-    fingerprint."""
-    return lambda h: [len(h), *(parity_sketch(h, SKETCH) ^ pivots).sum(1, dtype=np.int16).view(np.int64).tolist(), *_print(h, 128)]
+    fingerprint folded from the same bits."""
+
+    def of(h):
+        s = parity_sketch(h, SKETCH)
+        small = np.bitwise_xor.reduce(s.reshape(-1, 128), 0)  # parities of joined buckets are those of their words
+        return [len(h), *(s ^ pivots).sum(1, dtype=np.int16).view(np.int64).tolist(), *np.packbits(small).view(np.int64).tolist()]
+
+    return of
 
 
 def _near_pivots(t: float):
