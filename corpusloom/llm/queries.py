@@ -112,7 +112,7 @@ _BOTH = "concat_ws(chr(10), instruction, response)"
 _SPLIT = "case when lower(split) = 'train' then 'train' when lower(split) = 'test' then 'test' when lower(split) in ('val', 'validation') then 'val' end"
 _RECORDS = f"select id, target_source, {_SPLIT} s, nullif({_NUMBER}, '') g, coalesce({_WORDS.format('instruction')}, []) w from augmentation_context where id is not null"
 _CROSS = f"""with x as (select *, s = 'train' tr from ({_RECORDS}) where s is not null),
-p as (select a.id t, b.id h from x a join x b on a.tr and not b.tr where coalesce(a.g = b.g, false) or (len(a.w) > 0 and least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w)) - 1e-9 and {_OVER.format(t=0.85)}))"""
+p as materialized (select a.id t, b.id h from x a join x b on a.tr and not b.tr where coalesce(a.g = b.g, false) or (len(a.w) > 0 and least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w)) - 1e-9 and {_OVER.format(t=0.85)}))"""
 #: The form of a text that looks the same: ignorable characters go, blanks and line ends are one, then width, joined letters and
 #: letters of other alphabets. Composed letters of those alphabets are listed with theirs.
 _LOOK = (
@@ -144,8 +144,8 @@ y as (select x.id, coalesce(k1.m, k2.m) m from x left join k k1 on k1.n = 'g' ||
 select id, min(id) over (partition by m) root_id from y where m in (select m from o)""",
     "p6_groups": f"""
 with recursive x as (select id, {_WORDS.format(_BOTH)} w from augmentation_context where id is not null),
-p as (select a.id a, b.id b from x a join x b on a.id < b.id and len(a.w) > 0 and least(len(a.w), len(b.w)) >= 0.75 * greatest(len(a.w), len(b.w)) - 1e-9 where {_OVER.format(t=0.75)}),
-u as (select a, b from p union all select b, a from p), r(n, m) as (select id, id from x where len(w) > 0 union select u.b, r.m from r join u on r.n = u.a where r.m < u.b)
+p as materialized (select a.id a, b.id b from x a join x b on a.id < b.id and len(a.w) > 0 and least(len(a.w), len(b.w)) >= 0.75 * greatest(len(a.w), len(b.w)) - 1e-9 where {_OVER.format(t=0.75)}),
+u as materialized (select a, b from p union all select b, a from p), r(n, m) as (select id, id from x where len(w) > 0 union select u.b, r.m from r join u on r.n = u.a where r.m < u.b)
 select r.n id, min(r.m) group_id, coalesce(max(k.n), 0) n_links from r left join (select a, count(*) n from u group by a) k on k.a = r.n group by r.n""",
     "p9_found": f"""with x as (select doc_id, text, {_LOOK} k from documents where text is not null) select least(a.doc_id, b.doc_id) doc_a, greatest(a.doc_id, b.doc_id) doc_b from x a join x b on a.k = b.k and a.doc_id < b.doc_id and a.text <> b.text""",
     "p9_classes": f"""with x as (select doc_id, text, {_LOOK} k from documents where text is not null) select doc_id, min(doc_id) over (partition by k) class_id, count(*) over (partition by k) n_docs, v.n n_variants from x join (select k, count(distinct text) n from x group by k) v using (k)""",
